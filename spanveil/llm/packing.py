@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -46,7 +47,7 @@ class Packing:
     word_cut: float = 48.0
     block: int = 1 << 20
     #: Words whose ids are kept at hand in each worker.
-    remembered: int = 600_000
+    remembered: int = 1_200_000
 
 
 class Words:
@@ -55,9 +56,10 @@ class Words:
     Words that came before are looked up, so that the tokenizer sees each distinct word about once and no long text as a whole.
     """
 
-    SPECIAL = re.compile(rb"<\|")
-    #: Signs behind a letter, up to white space: the tokenizer parts them from the letters in any case.
-    TAIL = re.compile(rb"(?<=[a-z])([!-/:-@\[-`{-~]+)(?= |$)")
+    #: A word with signs behind its last plain letter: the tokenizer parts them in any case.
+    TAIL = re.compile(rb"(.*[a-z])([!-/:-@\[-`{-~]+)", re.DOTALL)
+    #: Byte-level letters: bytes without a printable Latin-1 character take the characters from U+0100 on, in order.
+    BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
     BLANK = bytes.maketrans(b"\t\r\n\x0b\x0c", b"     ")
     LOWER = bytes.maketrans(bytes(range(65, 91)) + b"\t\r\n\x0b\x0c", bytes(range(97, 123)) + b"     ")
 
@@ -66,32 +68,46 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.bar = self.tokenizer.encode("|", add_special_tokens=False).ids[0]
+        self.model = self.tokenizer.model
         self.remembered = remembered
         self.known: dict[bytes, bytes] = {}
         self.ends = np.array(sorted({i for i in map(self.tokenizer.token_to_id, (".</w>", "!</w>", "?</w>")) if i is not None}), dtype=np.uint32)
 
     def learn(self, words: list[bytes]) -> None:
-        """Many words in one call, a bar between them; words with a bar go one by one."""
-        plain = [w for w in words if b"|" not in w]
-        for at in range(0, len(plain), 1024):
-            part = plain[at : at + 1024]
-            ids = np.array(self.tokenizer.encode(b" | ".join(part).decode(), add_special_tokens=False).ids, dtype="<u4")
-            stops = [*np.flatnonzero(ids == self.bar).tolist(), len(ids)]
-            if len(stops) != len(part):
-                raise ValueError("this tokenizer does not keep a bar between words apart")
-            data, begin = ids.tobytes(), 0
-            for word, stop in zip(part, stops, strict=True):
-                self.known[word] = data[4 * begin : 4 * stop]
-                begin = stop + 1
+        """A word's signs at the end are parted from its letters first, so that few distinct words are left to ask for."""
+        parted = [(w, m) for w in words if (m := self.TAIL.fullmatch(w)) and b"<|" not in w]
+        whole = {w for w, _ in parted}
+        own = {m[i] for _, m in parted for i in (1, 2)}.union(w for w in words if w not in whole)
+        self.ask([w for w in own if w not in self.known])
+        for word, m in parted:
+            self.known[word] = self.known[m[1]] + self.known[m[2]]
+
+    def ask(self, words: list[bytes]) -> None:
+        """Plain lower-case words go to the tokenizer's model as they are; other words go through its whole chain."""
+        tokenize, known = self.model.tokenize, self.known
+        odd = []
         for word in words:
-            if b"|" in word:
-                self.known[word] = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+            if word.isalpha():  # of bytes: ASCII letters only
+                piece = word.decode().lower()
+            elif (piece := self.latin(word)) is None:
+                odd.append(word)
+                continue
+            known[word] = array("I", [t.id for t in tokenize(piece)]).tobytes()
+        for at in range(0, len(odd), 1024):
+            part = odd[at : at + 1024]
+            for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                known[word] = np.array(found.ids, dtype="<u4").tobytes()
+
+    def latin(self, word: bytes) -> str | None:
+        """The byte-level form of a word of letters up to U+00FF, which normalising only lowers; None for any other word."""
+        text = word.decode()
+        if not text.isalpha() or max(text) > "\u00ff":
+            return None
+        return text.lower().encode().decode("latin-1").translate(self.BYTES)
 
     def split(self, text: bytes) -> list[bytes]:
-        if self.SPECIAL.search(text):  # special tokens are found before letters are lowered
-            return text.translate(self.BLANK).split(b" ")
-        return self.TAIL.sub(rb" \1", text.translate(self.LOWER)).split(b" ")
+        """Special tokens are found before letters are lowered, so a text that may hold one keeps its letters."""
+        return text.translate(self.BLANK if b"<|" in text else self.LOWER).split(b" ")
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as little-endian 32-bit numbers."""
