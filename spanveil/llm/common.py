@@ -1,16 +1,15 @@
-"""What the operators of this subpackage share: tables, the shared folder, worker imports, distributed running totals."""
+"""What the operators of this subpackage share: tables, the shared folder, worker imports, bounded batches."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[2])
 #: A word of the mixing and near-duplicate contracts: anything between these white-space characters.
@@ -85,25 +84,3 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, budget: int = 8 << 20
             held += length
         if first < len(lengths):
             yield batch.slice(first)
-
-
-def spread(column: Column, buckets: int) -> Column:
-    """An even bucket number for any value, null included."""
-    return F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int")
-
-
-def running_total(df: DataFrame, keys: Sequence[str], bucket: Sequence[str], order: Sequence[Column], amount: Column | None = None, into: str = "before") -> DataFrame:
-    """Add ``into``: the sum of ``amount`` (rows if None) over all earlier rows of the same keys, by bucket columns and then ``order``.
-
-    Two levels, so that no key's rows meet in one task: totals of each bucket are pre-aggregated and summed over the few buckets of
-    a key, and only rows of one bucket are ordered together. Keys and bucket columns hold no nulls.
-    """
-    value = amount if amount is not None else F.lit(1).cast("long")
-    data = df.withColumn("__amount", value)
-    totals = data.groupBy(*keys, *bucket).agg(F.sum("__amount").alias("__total"))
-    earlier = Window.partitionBy(*keys).orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("__base", F.coalesce(F.sum("__total").over(earlier), F.lit(0).cast("long"))).drop("__total")
-    inside = Window.partitionBy(*keys, *bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    data = data.withColumn("__inside", F.coalesce(F.sum("__amount").over(inside), F.lit(0).cast("long")))
-    joined = data.join(totals, [*keys, *bucket])
-    return joined.withColumn(into, F.col("__base") + F.col("__inside")).drop("__amount", "__inside", "__base")

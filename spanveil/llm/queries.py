@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, packing, pii, urls
+from . import embeddings, language, media, mixing, packing, pii, sharding, simhash, urls
 from .common import table
 
 #: The rules of hosts and paths.
@@ -33,17 +33,38 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_back(media.store(table(spark, sf_dir, "documents")))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.learn(docs))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents"))
+
+
+def op6_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.links(table(spark, sf_dir, "embeddings"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op3_media_columns, op8_pii, op10_packing)}
+    return {f.__name__: f for f in (op1_url_filter, op3_media_columns, op4_language, op5_simhash, op6_embedding_links, op7_mixing, op8_pii, op9_sharding, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": urls.oracle(URL_RULES)}
+    return {"op1_url_filter": urls.oracle(URL_RULES), "op7_mixing": mixing.oracle()}
