@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, language, media, mixing, packing, pii, sharding, simhash, urls
+from . import embeddings, language, media, mixing, packing, pii, scoring, sharding, simhash, urls
 from .common import table
 
 #: The rules of hosts and paths.
@@ -29,6 +29,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_back(media.store(table(spark, sf_dir, "documents")))
 
@@ -63,7 +67,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op3_media_columns, op4_language, op5_simhash, op6_embedding_links, op7_mixing, op8_pii, op9_sharding, op10_packing)}
+    return {f.__name__: f for f in (op1_url_filter, op2_lm_scoring, op3_media_columns, op4_language, op5_simhash, op6_embedding_links, op7_mixing, op8_pii, op9_sharding, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,11 +2,15 @@
 
 A fingerprint has 64 bits: a bit is set if it is set in over half of the XXH64 hashes of the text's word shingles, repeats included.
 Two fingerprints that differ in at most t bits differ in at most t of their 8 bytes, so they share at least 8 - t positional bytes:
-the guaranteed minimum of matches. The index therefore posts each distinct fingerprint under every choice of 8 - t positions with
-their bytes. Whatever meets in a list is compared: its shared positional bytes are tallied, pairs below the minimum go, each pair is
-kept only in the list of its first shared positions, and the rest is verified by its differing bits.
+the guaranteed minimum of matches. The index posts each distinct fingerprint under every choice of that many positions with
+their bytes. Whatever meets in a list is compared: its shared positional bytes are tallied, pairs below the minimum go, and the rest
+is verified by the differing bits.
 
-Copies never form pairs: equal fingerprints are one node before anything is posted. Lists with one member go before any pair is made.
+A text may have several fingerprints of different seeds. Then a pair is verified over the bits of all of them, at a distance that one fingerprint's
+index could not guarantee, and it is a candidate if any one of them shares the minimum. ``SimHash()`` has one fingerprint and finds every
+link; ``similar`` sets the distance for a share of common shingles and finds pairs above it the more surely, the nearer they are.
+
+Copies never form pairs: texts with equal fingerprints are one node before anything is posted. Lists with one member go before any pair is made.
 A long list (a large group of near copies) is cut into blocks by hash and all pairs of blocks meet in cells, so that no task holds a
 whole list and none of its links is lost; a cell returns a forest of its links, not the links, which leaves components as they are.
 Components are then found by Spark joins (``graph``). No cap, sample or prefix is used anywhere.
@@ -24,8 +28,9 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import map_arrow, settle, slices
 from .graph import components
@@ -37,88 +42,113 @@ LOWER = bytes.maketrans(bytes(range(65, 91)) + b"\t\n\x0b\x0c\r", bytes(range(97
 @dataclass(frozen=True)
 class SimHash:
     shingle: int = 4
+    #: Most differing bits of a link, over all fingerprints.
     bits: int = 4
+    #: Least shared positional bytes of one fingerprint.
+    matches: int = 4
+    seeds: tuple[int, ...] = (SEED,)
     #: Members of a list that are compared in one go; longer lists are cut into blocks.
     block: int = 1024
 
+    @classmethod
+    def similar(cls, least: float = 0.8, shingle: int = 5, prints: int = 4) -> SimHash:
+        """Links texts whose shingle sets have about that Jaccard similarity or more."""
+        angle = np.arccos(2 * least / (1 + least)) / np.pi
+        return cls(shingle, int(round(64 * prints * angle)), 4, tuple(range(SEED, SEED + prints)))
+
 
-def fingerprint(text: bytes | None, shingle: int) -> int:
+def fingerprint(text: bytes | None, shingle: int, seeds: tuple[int, ...] = (SEED,)) -> bytes:
+    """The fingerprints of the seeds, 8 bytes each, high bits first."""
     from xxhash import xxh64_intdigest
 
     words = [w for w in (text or b"").translate(LOWER).split(b" ") if w]
     if not words:
-        return 0
+        return bytes(8 * len(seeds))
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     n = max(1, len(words) - shingle + 1)
     begins = np.concatenate(([0], ends[: n - 1])).tolist()
     stops = (ends[len(words) - n :] - 1).tolist()
-    hashes = np.fromiter((xxh64_intdigest(joined[i:j], SEED) for i, j in zip(begins, stops, strict=True)), np.uint64, n)
-    counts = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
-        part = hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
-
+    hashes = np.fromiter((xxh64_intdigest(joined[i:j], seeds[0]) for i, j in zip(begins, stops, strict=True)), np.uint64, n)
+    out = []
+    for turn, seed in enumerate(seeds):
+        if turn:  # further hashes are mixed from the first one
+            own = (hashes ^ np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+            own = (own ^ (own >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            own ^= own >> np.uint64(32)
+        else:
+            own = hashes
+        counts = np.zeros(64, np.int64)
+        for at in range(0, n, 1 << 16):
+            part = own[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
+            counts += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+        out.append(np.packbits(2 * counts > n).tobytes())
+    return b"".join(out)
+
+
+def fingerprints(docs: DataFrame, options: SimHash) -> DataFrame:
+    """doc_id and fp, the fingerprints' bytes."""
+    shingle, seeds = options.shingle, options.seeds
 
-def signed(value: int) -> int:
-    return value - (1 << 64) if value >> 63 else value
-
-
-def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found = [signed(fingerprint(t, shingle)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], ["doc_id", "fp"])
-
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), run, "doc_id long, fp long")
+            found = [fingerprint(t, shingle, seeds) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "fp"])
 
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), run, "doc_id long, fp binary")
 
-def position_choices(bits: int) -> list[tuple[int, ...]]:
-    return list(combinations(range(8), 8 - bits))
 
+def postings(nodes: DataFrame, options: SimHash) -> DataFrame:
+    """node and key: a hash of each choice of positions with their bytes, for each fingerprint."""
+    choices = [(p, sum(255 << 8 * b for b in c)) for p in range(len(options.seeds)) for c in combinations(range(8), options.matches)]
+    prints = np.array([p for p, _ in choices])
+    masks = np.array([m for _, m in choices], np.uint64)
+    salts = np.random.default_rng(0).integers(1 << 63, size=len(choices), dtype=np.uint64)
 
-def _mask(positions: tuple[int, ...]) -> int:
-    return signed(sum(255 << 8 * p for p in positions))
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                values = np.frombuffer(b"".join(batch.column("fp").to_pylist()), ">u8").reshape(batch.num_rows, -1).astype(np.uint64)
+                keys = (values[:, prints] & masks) + salts
+                keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+                keys ^= keys >> np.uint64(27)
+                node = np.repeat(batch.column("node").to_numpy(), len(choices))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(node)], ["key", "node"])
 
-def choice_table(bits: int) -> np.ndarray:
-    """For each set of shared positions, as 8 bits, the number of the choice of its first 8 - bits ones, or -1 below the minimum."""
-    number = {c: i for i, c in enumerate(position_choices(bits))}
-    shared = [[p for p in range(8) if s >> p & 1] for s in range(256)]
-    return np.array([number[tuple(p[: 8 - bits])] if len(p) >= 8 - bits else -1 for p in shared])
+    return map_arrow(nodes.select("node", "fp"), run, "key long, node long")
 
 
-def verified(x: np.ndarray, y: np.ndarray, choice: np.ndarray | int, table: np.ndarray, bits: int) -> np.ndarray:
-    """Which pairs of one list are links and belong to this list."""
+def verified(x: np.ndarray, y: np.ndarray, options: SimHash) -> np.ndarray:
+    """Which pairs are links. x, y: fingerprints' bytes, one row each (or one row for all)."""
     differ = x ^ y
-    near = np.bitwise_count(differ) <= bits
-    same = (differ.view(np.uint8).reshape(*differ.shape, 8) == 0) if differ.dtype.byteorder != ">" else None
-    shared = np.packbits(same, axis=-1, bitorder="little")[..., 0]
-    return near & (table[shared] == choice)
+    shared = (differ.reshape(len(differ), -1, 8) == 0).sum(axis=2).max(axis=1)
+    return (shared >= options.matches) & (np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= options.bits)
 
 
-def forest(fps: np.ndarray, side: np.ndarray, choice: int, table: np.ndarray, bits: int) -> list[tuple[int, int]]:
+def forest(fps: np.ndarray, side: np.ndarray, options: SimHash) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what the links of one cell connect. side: 0 and 1 for the two blocks, all 0 for a block with itself."""
     label = np.arange(len(fps))
     two = bool(side.any())
     for i in range(len(fps) - 1):
         later = np.arange(i + 1, len(fps))
+        later = later[label[later] != label[i]]
         if two:
             later = later[side[later] != side[i]]
-        linked = later[verified(fps[later], fps[i : i + 1].repeat(len(later)), choice, table, bits)]
+        if not len(later):
+            continue
+        linked = later[verified(fps[later], fps[i : i + 1], options)]
         if len(linked):
             met = np.unique(np.append(label[linked], label[i]))
             label[np.isin(label, met)] = met[0]
     off = np.flatnonzero(label != np.arange(len(fps)))
-    return list(zip(fps[off].view(np.int64).tolist(), fps[label[off]].view(np.int64).tolist(), strict=True))
+    return off, label[off]
 
 
-def link_lists(cells: DataFrame, bits: int) -> DataFrame:
-    """a, b: links of the cells. cells: choice, shared, lo, hi, side, fp, with each cell's rows together and in order."""
-    table = choice_table(bits)
+def link_lists(cells: DataFrame, options: SimHash) -> DataFrame:
+    """a, b: links of the cells. cells: key, lo, hi, side, node, fp, with each cell's rows together and in order."""
 
-    def groups(choice: np.ndarray, fps: np.ndarray, side: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[list, list]]:
+    def groups(node: np.ndarray, fps: np.ndarray, side: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         small = sizes <= 16
         place = np.concatenate([np.arange(n) for n in sizes[small]]) if small.any() else np.zeros(0, np.int64)
         left = np.repeat(sizes[small], sizes[small]) - place
@@ -127,13 +157,11 @@ def link_lists(cells: DataFrame, bits: int) -> DataFrame:
             first = rows[left > step]
             if not len(first):
                 break
-            kept = verified(fps[first], fps[first + step], choice[first], table, bits)
-            yield fps[first[kept]].view(np.int64).tolist(), fps[first[kept] + step].view(np.int64).tolist()
+            first = first[verified(fps[first], fps[first + step], options)]
+            yield node[first], node[first + step]
         for begin, n in zip(begins[~small].tolist(), sizes[~small].tolist(), strict=True):
-            found = forest(fps[begin : begin + n], side[begin : begin + n], int(choice[begin]), table, bits)
-            if found:
-                a, b = zip(*found, strict=True)
-                yield list(a), list(b)
+            a, b = forest(fps[begin : begin + n], side[begin : begin + n], options)
+            yield node[begin + a], node[begin + b]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -143,19 +171,20 @@ def link_lists(cells: DataFrame, bits: int) -> DataFrame:
             whole = pa.Table.from_batches(held).combine_chunks()
             if not whole.num_rows:
                 return
-            data = {c: whole.column(c).to_numpy() for c in whole.column_names}
-            changed = np.zeros(whole.num_rows - 1, bool)
-            for c in ("choice", "shared", "lo", "hi"):
-                changed |= data[c][1:] != data[c][:-1]
+            key, lo, hi, side, node = (whole.column(c).to_numpy() for c in ("key", "lo", "hi", "side", "node"))
+            changed = (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
             begins = np.concatenate(([0], np.flatnonzero(changed) + 1))
             end = whole.num_rows if last else int(begins[-1])
             held = [] if last else whole.slice(end).combine_chunks().to_batches()
             begins = begins[begins < end]
             if len(begins):
-                sizes = np.diff(np.append(begins, end))
-                for a, b in groups(data["choice"].astype(np.int64), data["fp"].view(np.uint64), data["side"], begins, sizes):
-                    if a:
-                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                fps = np.frombuffer(b"".join(whole.column("fp").to_pylist()), np.uint8).reshape(whole.num_rows, -1)
+                seen: set[tuple[int, int]] = set()
+                for a, b in groups(node, fps, side, begins, np.diff(np.append(begins, end))):
+                    seen.update(zip(np.maximum(a, b).tolist(), np.minimum(a, b).tolist(), strict=True))
+                if seen:
+                    a, b = zip(*seen, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
             held.append(batch)
@@ -168,62 +197,57 @@ def link_lists(cells: DataFrame, bits: int) -> DataFrame:
 
 
 def links(nodes: DataFrame, options: SimHash) -> DataFrame:
-    """a, b: links between distinct fingerprints (column fp), enough of them for the components."""
-    masks = F.array(*[F.lit(_mask(c)) for c in position_choices(options.bits)])
-    posted = nodes.select("fp", F.posexplode(F.transform(masks, lambda m: m.bitwiseAND(F.col("fp")))).alias("choice", "shared"))
-    length = F.count(F.lit(1)).over(Window.partitionBy("choice", "shared"))
-    lists = posted.withColumn("n", length).where(F.col("n") > 1)
+    """a, b: links between nodes (columns node, fp), enough of them for the components."""
+    length = F.count(F.lit(1)).over(Window.partitionBy("key"))
+    lists = postings(nodes, options).withColumn("n", length).where(F.col("n") > 1)
     parts = F.ceil(F.col("n") / options.block).cast("int")
-    own: Column = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    lists = settle(lists.select("choice", "shared", "fp", parts.alias("parts"))).withColumn("own", own)
-    met = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cell = met.select(
-        "choice",
-        "shared",
-        F.least("own", "other").alias("lo"),
-        F.greatest("own", "other").alias("hi"),
-        (F.col("own") > F.col("other")).cast("int").alias("side"),
-        "fp",
-    )
-    key = ["choice", "shared", "lo", "hi"]
-    together = cell.repartition(*key).sortWithinPartitions(*key, "fp")
-    return link_lists(together, options.bits).distinct()
-
-
-def roots(nodes: DataFrame, options: SimHash) -> DataFrame:
-    """node, root: fingerprints with links and the smallest of their components."""
-    return components(links(nodes, options), "a", "b")
+    lists = settle(lists.select("key", "node", parts.alias("parts")))
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    met = lists.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cell = met.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node")
+    cell = cell.join(nodes.select("node", "fp"), "node")
+    order = ["key", "lo", "hi"]
+    together = cell.repartition(*order).sortWithinPartitions(*order, "node")
+    return link_lists(together, options).distinct()
+
+
+def numbered(groups: DataFrame) -> DataFrame:
+    """With a column node: a row's place in a table that is written once."""
+    return settle(settle(groups).withColumn("node", F.monotonically_increasing_id()))
+
+
+def rooted(nodes: DataFrame, options: SimHash) -> DataFrame:
+    """The nodes with the root of their component."""
+    root = components(links(nodes, options), "a", "b")
+    return nodes.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def groups(docs: DataFrame, options: SimHash = SimHash()) -> DataFrame:
     """doc_id, fingerprint as hex, and component_id: the smallest doc_id that is reachable by links, itself included."""
-    marked = settle(fingerprints(docs, options.shingle))
-    nodes = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    root = roots(nodes.select("fp"), options)
-    rooted = nodes.join(root, nodes["fp"] == root["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    marked = settle(fingerprints(docs, options))
+    nodes = numbered(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    named = rooted(nodes, options)
+    smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = named.join(smallest, "root").select("fp", "component_id")
+    return marked.join(named, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, options: SimHash = SimHash()) -> DataFrame:
     """The documents with one of each component: a row of its smallest doc_id."""
     names, at = docs.columns, docs.columns.index("text")
-    shingle = options.shingle
+    shingle, seeds = options.shingle, options.seeds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, names[at]):
             found = [None if t is None else t.encode() for t in batch.column(at).to_pylist()]
-            marks = pa.array([signed(fingerprint(t, shingle)) for t in found], pa.int64())
+            marks = pa.array([fingerprint(t, shingle, seeds) for t in found], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, marks], [*names, "__fp"])
 
-    schema = docs.schema.add("__fp", "long")
+    schema = T.StructType([*docs.schema.fields, T.StructField("__fp", T.BinaryType())])
     marked = settle(map_arrow(docs, run, schema).withColumn("__row", F.monotonically_increasing_id()))
-    light = marked.select("__fp", F.col("doc_id").cast("long").alias("doc_id"), "__row")
     # Of equal fingerprints, and then of each component, the row with the smallest doc_id; among its repeats the first one.
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
-    nodes = settle(light.groupBy(F.col("__fp").alias("fp")).agg(F.min(rank).alias("best")))
-    root = roots(nodes.select("fp"), options)
-    rooted = nodes.join(root, nodes["fp"] == root["node"], "left").select(F.coalesce("root", "fp").alias("root"), "best")
-    kept = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.__row").alias("__row"))
+    doc_id = F.col("doc_id").cast("long")
+    rank = F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), F.col("__row").alias("row"))
+    nodes = numbered(marked.groupBy(F.col("__fp").alias("fp")).agg(F.min(rank).alias("best")))
+    kept = rooted(nodes, options).groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("__row"))
     return marked.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in names])
