@@ -7,7 +7,7 @@ not be empty (``dialect.compile_pattern`` sees to that). Patterns that Java can'
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -22,7 +22,8 @@ def finditer(text: Column, java: str, groups: Sequence[int] = ()) -> Column:
     """array<struct<start, end, text, groups>>: groups holds the texts of the asked groups, empty where a group took no part."""
     rx = F.lit(java)
     found = F.regexp_extract_all(text, rx, F.lit(0))
-    pieces = F.zip_with(F.slice(F.split(text, java, -1), F.lit(1), F.size(found)), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("text"), F.array().cast("array<string>").alias("groups")))
+    pieces = F.zip_with(F.split(text, java, -1), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("text"), F.array().cast("array<string>").alias("groups")))
+    pieces = F.filter(pieces, lambda p: p["text"].isNotNull())  # behind the last match there is one piece more
     for group in groups:
         own = F.regexp_extract_all(text, rx, F.lit(group))
         pieces = F.zip_with(pieces, own, lambda p, g: F.struct(p["gap"].alias("gap"), p["text"].alias("text"), F.array_append(p["groups"], g).alias("groups")))
@@ -36,6 +37,11 @@ def finditer(text: Column, java: str, groups: Sequence[int] = ()) -> Column:
     return F.coalesce(F.aggregate(pieces, begin, step, lambda acc: acc["out"]), F.array().cast(f"array<{MATCH}>"))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def python_finditer(pattern: Pattern, groups: Sequence[int] = ()):
     """The same with Python's own engine, a batch at a time."""
     source, flags, wanted = pattern.python, pattern.flags, tuple(groups)

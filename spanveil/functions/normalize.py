@@ -40,4 +40,4 @@ def original(offset: Column, deletions: Column) -> Column:
 
 def map_spans(spans: Column, deletions: Column) -> Column:
     moved = lambda s: s.withField("start", original(s["start"], deletions)).withField("end", original(s["end"] - 1, deletions) + 1)
-    return F.when(F.size(deletions) > 0, F.transform(spans, moved)).otherwise(spans)
+    return F.transform(spans, moved)

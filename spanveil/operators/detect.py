@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import PROFILES, SHIPPED, Bundle
 from ..functions.dialect import Pattern
-from ..functions.finditer import matches
+from ..functions.finditer import bind, matches
 from ..functions.validators import VALIDATORS
 from ..schema import no_spans, span
 
@@ -126,30 +126,40 @@ def _sub(text: Column, start: Column, end: Column) -> Column:
     return text.substr(start + 1, F.greatest(end - start, F.lit(0)))
 
 
-def header_subjects(text: Column, bundle: Bundle) -> Column:
-    def one(m: Column) -> Column:
-        start, end = m["start"], next_section(text, m["end"])
-        gap = _last_gap(_sub(text, start, start + MOST_SUBJECT))
-        cut = F.when(gap > 0, start + gap).otherwise(start + MOST_SUBJECT)
-        return span(start, F.when(end - start > MOST_SUBJECT, cut).otherwise(end), "SUBJECT", SCORES["HEADER"])
+def _trimmed(text: Column, start: Column, end: Column, score: float) -> Column:
+    """A subject span; a longer one ends at the last blank line within the most characters, or there."""
+
+    def cut(b: Column) -> Column:
+        gap = _last_gap(b["head"])
+        close = F.when(b["end"] - b["start"] <= MOST_SUBJECT, b["end"]).when(gap > 0, b["start"] + gap).otherwise(b["start"] + MOST_SUBJECT)
+        return span(b["start"], close, "SUBJECT", score)
+
+    bounds = F.struct(start.alias("start"), end.alias("end"))
+    return bind(bounds, lambda b: bind(F.struct(b["start"], b["end"], _sub(text, b["start"], b["start"] + MOST_SUBJECT).alias("head")), cut))
 
-    return F.transform(_found(text, bundle, "subject_header_pattern"), one)
+
+def header_subjects(text: Column, bundle: Bundle) -> Column:
+    return F.transform(_found(text, bundle, "subject_header_pattern"), lambda m: _trimmed(text, m["start"], next_section(text, m["end"]), SCORES["HEADER"]))
 
 
 def keyword_subjects(text: Column, bundle: Bundle) -> Column:
     """For each keyword the paragraph of its first occurrence."""
-    low = F.lower(text)
-    spans = []
-    for word in bundle.subject_keywords:
-        at = F.locate(word, low) - 1
-        gap = _last_gap(_sub(low, F.lit(0), at))
+    words = list(bundle.subject_keywords)
+    if not words:
+        return no_spans()
+
+    def paragraph(p: Column) -> Column:
+        gap = _last_gap(p["before"])
         start = F.when(gap < 0, 0).otherwise(gap + 2)
-        close = F.locate("\n\n", low.substr(at + 1, F.length(low)))
-        end = F.when(close > 0, at + close - 1).otherwise(F.length(text))
-        inner = _last_gap(_sub(text, start, start + MOST_SUBJECT))
-        cut = F.when(inner > 0, start + inner).otherwise(start + MOST_SUBJECT)
-        spans.append(F.when(at >= 0, span(start, F.when(end - start > MOST_SUBJECT, cut).otherwise(end), "SUBJECT", SCORES["KEYWORD"])))
-    return F.array_compact(F.array(*spans)) if spans else no_spans()
+        close = F.locate("\n\n", p["after"])
+        end = F.when(close > 0, F.length(p["before"]) + close - 1).otherwise(F.length(text))
+        return _trimmed(text, start, end, SCORES["KEYWORD"])
+
+    def places(low: Column) -> Column:
+        cut = lambda word: F.substring_index(low, word, 1)
+        return F.array(*[F.when(low.contains(w), F.struct(cut(w).alias("before"), low.substr(F.length(cut(w)) + 1, F.length(low)).alias("after"))) for w in words])
+
+    return F.transform(F.array_compact(bind(F.lower(text), places)), paragraph)
 
 
 def subjects(text: Column, bundle: Bundle) -> Column:
@@ -168,18 +178,20 @@ def addresses(text: Column, bundle: Bundle) -> Column:
     if None in (window, street, house) or None in (street.java, house.java):
         return no_spans()
 
-    def one(m: Column) -> Column:
+    def widened(m: Column) -> Column:
         left = F.greatest(m["start"] - WIDEN, F.lit(0))
-        right = F.least(m["end"] + WIDEN, F.length(text))
-        stop = F.regexp_instr(_sub(text, m["end"], right), F.lit(r"(?dU)[.;](?:\s|$)"))
-        right = F.when(stop > 0, m["end"] + stop).otherwise(right)
-        piece = _sub(text, left, right)
-        at = F.call_function("locate", piece, text) - 1
-        start = F.when(at >= 0, at).otherwise(left)
-        return span(start, start + F.length(piece), "ADDR", SCORES["ADDR"])
+        tail = _sub(text, m["end"], F.least(m["end"] + WIDEN, F.length(text)))
+        stop = F.regexp_instr(tail, F.lit(r"(?dU)[.;](?:\s|$)"))
+        right = m["end"] + F.when(stop > 0, stop).otherwise(F.length(tail))
+        return F.struct(left.alias("left"), _sub(text, left, right).alias("piece"))
+
+    def first_copy(w: Column) -> Column:
+        """The place of the first equal piece of the text."""
+        start = F.call_function("locate", w["piece"], text) - 1
+        return span(start, start + F.length(w["piece"]), "ADDR", SCORES["ADDR"])
 
     found = F.filter(_found(text, bundle, "addr_window_pattern"), lambda m: m["text"].rlike(street.java) | m["text"].rlike(house.java))
-    return F.transform(found, one)
+    return F.transform(F.transform(found, widened), first_copy)
 
 
 def regex_spans(text: Column, bundle: Bundle, include_subject: bool = True) -> list[Column]:

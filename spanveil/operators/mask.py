@@ -65,5 +65,4 @@ def masked(text: Column, spans: Column, options: Options = Options(), key: Colum
         return F.when(s["start"] < acc["at"], acc).otherwise(taken)
 
     rest = lambda acc: text.substr(acc["at"] + 1, F.length(text))
-    done = F.aggregate(ordered, begin, step, lambda acc: F.struct(F.concat(F.array_join(acc["out"], ""), rest(acc)).alias("redacted"), acc["logs"].alias("logs")))
-    return F.when(F.size(spans) > 0, done).otherwise(F.struct(text.alias("redacted"), F.array().cast(f"array<{LOG}>").alias("logs")))
+    return F.aggregate(ordered, begin, step, lambda acc: F.struct(F.concat(F.array_join(acc["out"], ""), rest(acc)).alias("redacted"), acc["logs"].alias("logs")))

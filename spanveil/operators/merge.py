@@ -61,7 +61,7 @@ def merged(spans: Column) -> Column:
         return F.struct(done.alias("done"), F.when(meets, joined(acc["now"], s)).otherwise(s).cast(SPAN).alias("now"))
 
     close = lambda acc: F.when(acc["now"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["now"]))
-    return F.when(F.size(spans) > 0, F.aggregate(ordered, begin, step, close)).otherwise(F.array().cast(SPANS))
+    return F.aggregate(ordered, begin, step, close)
 
 
 def scored(spans: Column, least: float) -> Column:

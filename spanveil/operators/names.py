@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.finditer import bind
 from ..schema import NAMES, SPANS, span
 from .merge import similar
 
@@ -71,14 +72,15 @@ def without_stop_words(text: Column, spans: Column) -> Column:
 
 def extracted_names(text: Column, names: Column, known: Column) -> Column:
     """Names that are no stop words, have at least four characters, begin with a letter, and are not near a known person."""
-    people = F.filter(known, lambda s: s["label"] == "PERSON")
 
-    def good(s: Column) -> Column:
+    def good(s: Column, people: Column) -> Column:
         piece = F.regexp_replace(_fragment(text, s), r"(?U)^\s+|\s+$", "")
         fits = (F.length(piece) >= SHORTEST) & piece.rlike(r"^\p{L}")
         return ~stop_fragment(_fragment(text, s)) & fits & ~F.exists(people, lambda p: similar(s, p))
 
-    return F.filter(names, good)
+    # Both arrays may come from Python workers, which lambdas can't call: they are bound before.
+    both = F.struct(names.alias("names"), F.filter(known, lambda s: s["label"] == "PERSON").alias("people"))
+    return bind(both, lambda x: F.filter(x["names"], lambda s: good(s, x["people"])))
 
 
 def name_spans(text: Column, full: Callable[[], Model] | None = None, names: Callable[[], Model] | None = rules, addresses: Callable[[], Model] | None = None) -> list[Column]:

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 
 def logs(redacted: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row a masked span."""
-    return redacted.select(key, F.inline("logs"))
+    """One row a masked span.
+
+    The outer generator keeps the optimizer from repeating the whole detection in a filter below it.
+    """
+    return redacted.select(key, F.inline_outer("logs")).where(F.col("label").isNotNull())
 
 
 def per_document(redacted: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -36,4 +39,4 @@ def totals(results: DataFrame) -> DataFrame:
 
 def by_label(redacted: DataFrame) -> DataFrame:
     """Masked spans of each label; partial counts are made before the shuffle."""
-    return redacted.select(F.explode("logs.label").alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return redacted.select(F.explode_outer("logs.label").alias("label")).where(F.col("label").isNotNull()).groupBy("label").agg(F.count(F.lit(1)).alias("n"))

@@ -34,7 +34,7 @@ def detect(df: DataFrame, bundle: Bundle | None = None, options: Options = Optio
     staged = df.withColumn("__norm", normalized(content))
     staged = staged.withColumn("__found", merged(detected(F.col("__norm"), bundle, options, models)))
     if options.offset_mode == "exact":
-        staged = staged.withColumn("__found", map_spans(F.col("__found"), edits(content)))
+        staged = staged.withColumn("__edits", edits(content)).withColumn("__found", map_spans(F.col("__found"), F.col("__edits"))).drop("__edits")
     return staged.withColumn("spans", merged(scored(F.col("__found"), options.min_score))).drop("__norm", "__found")
 
 

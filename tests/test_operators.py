@@ -1,0 +1,138 @@
+import hashlib
+import random
+
+import pyspark.sql.functions as F
+import pytest
+
+from spanveil.operators import names, structured, summary
+from spanveil.operators.mask import ALPHABET, masked
+from spanveil.operators.merge import merged, overlap, scored, similar
+from spanveil.schema import SOURCE_PRIORITY, SPANS, MaskStyle, Options
+
+
+def random_spans(n, seed):
+    draw = random.Random(seed)
+    rows = []
+    for _ in range(n):
+        spans = []
+        for k in range(draw.randint(0, 7)):
+            start = draw.randint(0, 30)
+            spans.append((start, start + draw.randint(1, 9), draw.choice(["ROLE", "PERSON", "ORG"]), draw.choice([0.5, 0.7, 0.9]), draw.choice(list(SOURCE_PRIORITY)), None, None, k))
+        rows.append(spans)
+    return rows
+
+
+def plain_merge(spans):
+    """Islands first, then a walk through each island."""
+    out, islands = [], []
+    for s in sorted(spans, key=lambda s: (s[0], -s[1], s[7])):
+        if islands and s[0] < max(x[1] for x in islands[-1]):
+            islands[-1].append(s)
+        else:
+            islands.append([s])
+    for island in islands:
+        best, end, joined = island[0], island[0][1], None
+        for s in island[1:]:
+            power = lambda x, length: (round(x[3], 6), SOURCE_PRIORITY[x[4]], length)
+            joined = "ROLE+PERSON" if {best[2], s[2]} == {"ROLE", "PERSON"} else None
+            if power(s, s[1] - s[0]) > power(best, end - island[0][0]):
+                best = s
+            end = max(end, s[1])
+        out.append((island[0][0], end, *best[2:5], joined))
+    return out
+
+
+def test_merging_equals_plain_walk(spark):
+    rows = random_spans(800, 3)
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(rows)], f"id int, s {SPANS}")
+    for row in df.select("id", merged(F.col("s")).alias("m"), merged(merged(F.col("s"))).alias("again")).collect():
+        got = [tuple(s)[:6] for s in row["m"]]
+        assert got == plain_merge(rows[row["id"]])
+        assert [s[:2] for s in got] == [tuple(s)[:2] for s in row["again"]]
+
+
+def test_touching_spans_and_nearness(spark):
+    df = spark.createDataFrame([((0, 3), (3, 5)), ((0, 4), (3, 5)), ((0, 10), (2, 4)), ((0, 4), (2, 6)), ((0, 6), (2, 8))], "a struct<start:int,end:int>, b struct<start:int,end:int>")
+    got = df.select(overlap(F.col("a"), F.col("b")), similar(F.col("a"), F.col("b"))).collect()
+    assert [tuple(r) for r in got] == [(False, False), (True, False), (True, True), (True, False), (True, True)]
+
+
+def test_weak_spans_widen_but_do_not_stand(spark):
+    spans = [(0, 4, "ORG", 0.9, "Regex", None, None, 0), (3, 8, "ROLE", 0.3, "Regex", None, None, 1), (10, 12, "ROLE", 0.3, "Regex", None, None, 2)]
+    got = spark.createDataFrame([(spans,)], f"s {SPANS}").select(scored(merged(F.col("s")), 0.5).alias("m")).first()["m"]
+    assert [tuple(s)[:3] for s in got] == [(0, 8, "ORG")]
+
+
+@pytest.mark.parametrize("keep", [False, True])
+@pytest.mark.parametrize("style", list(MaskStyle))
+def test_masks(spark, style, keep):
+    text = "ab 😀cde fgh"
+    spans = [(3, 7, "KPP", 0.9, "Regex", None, None, 0), (5, 8, "ORG", 0.9, "Regex", None, None, 1), (8, 11, "ROLE", 0.9, "Regex", "ROLE+PERSON", None, 2)]
+    df = spark.createDataFrame([(text, spans)], f"t string, s {SPANS}")
+    row = df.select(masked(F.col("t"), F.col("s"), Options(style, keep), salt="pepper").alias("m")).first()["m"]
+    pieces = ["😀cde", "fgh"]
+    assert [e["substr"] for e in row["logs"]] == pieces and [e["label"] for e in row["logs"]] == ["KPP", "ROLE+PERSON"]
+    masks = [e["after"] for e in row["logs"]]
+    assert row["redacted"] == f"ab {masks[0]} {masks[1]}"
+    sha = [hashlib.sha256(("pepper" + p).encode()).hexdigest() for p in pieces]
+    assert [e["before_hash"] for e in row["logs"]] == sha
+    if keep:
+        assert len(row["redacted"]) == len(text)
+    elif style == MaskStyle.TAG:
+        assert masks == ["[[ENTITY:KPP]]", "[[ENTITY:ROLE]]"]
+    elif style == MaskStyle.HASH:
+        assert masks == [s[:12] for s in sha]
+    elif style == MaskStyle.ASTERISKS:
+        assert masks == ["****", "***"]
+    else:
+        assert all(len(m) == 6 and set(m) <= set(ALPHABET) for m in masks) and masks[0] != masks[1]
+
+
+def test_no_spans_and_null_text(spark):
+    df = spark.createDataFrame([("abc", []), (None, [])], f"t string, s {SPANS}")
+    got = df.select(masked(F.col("t"), F.col("s")).alias("m")).collect()
+    assert [r["m"]["redacted"] for r in got] == ["abc", None] and [r["m"]["logs"] for r in got] == [[], []]
+
+
+@pytest.mark.parametrize(("fragment", "stop"), [("договор", True), ("Договор Иванова", True), ("Иванов Пётр", False), ("123", True), ("", True), ("акт счет раздел глава Иван", False), ("акт счет пени глава Ия", True), ("акт счет пени глава Иннокентий", False)])
+def test_stop_fragments(spark, fragment, stop):
+    assert spark.createDataFrame([(fragment,)], "f string").select(names.stop_fragment(F.col("f"))).first()[0] is stop
+
+
+def full_model():
+    return lambda texts: [[(0, 11, "PERSON", 0.8)] if t.startswith("Иванов И.И.") else [] for t in texts]
+
+
+def broken_model():
+    raise RuntimeError("no model")
+
+
+def test_names(spark):
+    text = "Иванов И.И. и Петров Пётр Петрович, Договор А.А. и Ли А.Б."
+    df = spark.createDataFrame([(text,)], "t string")
+    found = names.name_spans(F.col("t"), full=full_model, names=names.rules)
+    row = df.select(F.concat(*found).alias("s")).first()["s"]
+    assert [(text[s["start"] : s["end"]], s["score"]) for s in row] == [("Иванов И.И.", 0.8), ("Петров Пётр Петрович", 0.75), ("Договор А.А.", 0.75), ("Ли А.Б.", 0.75)]
+    assert df.select(F.concat(*names.name_spans(F.col("t"), full=broken_model, names=None, addresses=broken_model)).alias("s")).first()["s"] == []
+
+
+def test_structured_identifiers_and_contacts(spark):
+    df = spark.createDataFrame([("ИНН 7707-083 893, тел +7 (495) 123-45-67, a.b@c.example.com",), (None,)], "text string")
+    off = structured.Settings(enable_phone_recognizer=False)
+    found = df.select(F.concat(*structured.structured_spans(F.col("text"), off)).alias("s")).first()["s"]
+    assert {(s["label"], s["score"], s["source"]) for s in found} == {("INN", 1.0, "Presidio Custom"), ("EMAIL_ADDRESS", 1.0, "Presidio Default")}
+    one = lambda style: structured.anonymize_contacts(df, style, settings=structured.Settings()).first()["text"]
+    assert one("tag") == "ИНН 7707-083 893, тел [[ENTITY:PHONE]], [[ENTITY:EMAIL]]"
+    assert one("mask") == "ИНН 7707-083 893, тел " + "*" * 18 + ", " + "*" * 17
+    assert one("hash").endswith(hashlib.sha256(b"a.b@c.example.com").hexdigest())
+
+
+def test_summaries(spark):
+    log = "array<struct<start:int,end:int,label:string>>"
+    df = spark.createDataFrame([(1, "x", [(0, 3, "ORG"), (5, 6, "ORG"), (7, 9, "ROLE+PERSON")]), (2, "y", []), (3, None, None)], f"doc_id int, redacted string, logs {log}")
+    rows = {r["doc_id"]: r for r in summary.per_document(df).collect()}
+    assert (rows[1]["status"], rows[1]["replacements"], rows[1]["chars_masked"]) == ("ok", {"ORG": 2, "ROLE+PERSON": 1}, 6)
+    assert (rows[2]["replacements"], rows[2]["chars_masked"], rows[3]["status"], rows[3]["replacements"]) == ({}, 0, "skipped", None)
+    assert summary.totals(summary.per_document(df)).first().asDict() == {"files": 3, "ok": 2, "chars_masked": 6}
+    assert {r["label"]: r["n"] for r in summary.by_label(df).collect()} == {"ORG": 2, "ROLE+PERSON": 1}
+    assert summary.logs(df).count() == 3
