@@ -19,7 +19,7 @@ from ..operators import names, structured, summary
 from ..operators.mask import masked
 from ..operators.merge import merged, scored, similar
 from ..schema import MaskStyle, Options, span
-from .pipeline import detect, redact
+from .pipeline import redact, spread
 
 SHIPPED, DOCUMENTED = bundle(PROFILES["shipped"]), bundle(PROFILES["documented"])
 PLAIN_HEADER = "ПРЕДМЕТ ДОГОВОРА"
@@ -215,12 +215,12 @@ def _masked(style: MaskStyle, keep_length: bool = False) -> Callable[[SparkSessi
 
 def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: every document through the whole pipeline."""
-    out = redact(documents(spark, sf_dir), SHIPPED, key="doc_id")
+    out = redact(spread(documents(spark, sf_dir)), SHIPPED, key="doc_id")
     return out.select("doc_id", "redacted", F.size("logs").cast("bigint").alias("n_masked"))
 
 
 def _contract_logs(spark, sf_dir) -> DataFrame:
-    return redact(contracts(spark, sf_dir).select("doc_id", "text"), SHIPPED, Options(), key="doc_id")
+    return redact(spread(contracts(spark, sf_dir).select("doc_id", "text")), SHIPPED, Options(), key="doc_id")
 
 
 def redaction_log(spark, sf_dir):
@@ -232,7 +232,7 @@ def summary_by_label(spark, sf_dir):
 
 
 def chars_masked_per_document(spark, sf_dir):
-    out = redact(documents(spark, sf_dir), SHIPPED)
+    out = redact(spread(documents(spark, sf_dir)), SHIPPED)
     done = summary.per_document(out)
     return done.select("doc_id", "status", F.coalesce(F.element_at("replacements", F.lit("EMAIL")), F.lit(0)).cast("bigint").alias("emails"), "chars_masked")
 

@@ -45,6 +45,14 @@ def redact(df: DataFrame, bundle: Bundle | None = None, options: Options = Optio
     return found.withColumn("__done", done).withColumn("redacted", F.col("__done.redacted")).withColumn("logs", F.col("__done.logs")).drop("__done", "spans")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: dealt out anew only where its scan has fewer partitions than there are cores, as of one small file."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 class Pipeline:
     """Options and patterns, kept together."""
 
