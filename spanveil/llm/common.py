@@ -11,6 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+#: Most rows of an Arrow batch; Spark itself bounds its bytes.
+BATCH_ROWS = 2048
 ROOT = str(Path(__file__).resolve().parents[2])
 #: A word of the mixing and near-duplicate contracts: anything between these white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -68,7 +70,11 @@ def discard(df: DataFrame | None) -> None:
 
 
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    workers_import(df.sparkSession)
+    """mapInArrow over small batches: rows here are whole texts, and a worker and its executor each hold a batch or two."""
+    spark = df.sparkSession
+    workers_import(spark)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return df.mapInArrow(function, schema)
 
 

@@ -6,7 +6,7 @@ the guaranteed minimum of matches. The index posts each distinct fingerprint und
 their bytes. Whatever meets in a list is compared: its shared positional bytes are tallied, pairs below the minimum go, and the rest
 is verified by the differing bits.
 
-A text may have several fingerprints of different seeds. Then a pair is verified over the bits of all of them, at a distance that one fingerprint's
+A text may have several fingerprints of different seeds, each with its own index, one after the other. Then a pair is verified over the bits of all of them, at a distance that one fingerprint's
 index could not guarantee, and it is a candidate if any one of them shares the minimum. ``SimHash()`` has one fingerprint and finds every
 link; ``similar`` sets the distance for a share of common shingles and finds pairs above it the more surely, the nearer they are.
 
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, settle, slices
+from .common import discard, map_arrow, settle, slices
 from .graph import components
 
 SEED = 42
@@ -98,25 +98,23 @@ def fingerprints(docs: DataFrame, options: SimHash) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), run, "doc_id long, fp binary")
 
 
-def postings(nodes: DataFrame, options: SimHash) -> DataFrame:
-    """node and key: a hash of each choice of positions with their bytes, for each fingerprint."""
-    choices = [(p, sum(255 << 8 * b for b in c)) for p in range(len(options.seeds)) for c in combinations(range(8), options.matches)]
-    prints = np.array([p for p, _ in choices])
-    masks = np.array([m for _, m in choices], np.uint64)
-    salts = np.random.default_rng(0).integers(1 << 63, size=len(choices), dtype=np.uint64)
+def postings(nodes: DataFrame, options: SimHash, turn: int) -> DataFrame:
+    """key, node and root: a key is a hash of a choice of positions with their bytes, of one of the fingerprints."""
+    masks = np.array([sum(255 << 8 * b for b in c) for c in combinations(range(8), options.matches)], np.uint64)
+    salts = np.random.default_rng(0).integers(1 << 63, size=len(masks), dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                values = np.frombuffer(b"".join(batch.column("fp").to_pylist()), ">u8").reshape(batch.num_rows, -1).astype(np.uint64)
-                keys = (values[:, prints] & masks) + salts
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                values = np.frombuffer(b"".join(batch.column("fp").to_pylist()), ">u8").reshape(batch.num_rows, -1)[:, turn].astype(np.uint64)
+                keys = (values[:, None] & masks) + salts
                 keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
                 keys ^= keys >> np.uint64(27)
-                node = np.repeat(batch.column("node").to_numpy(), len(choices))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(node)], ["key", "node"])
+                node, root = (pa.array(np.repeat(batch.column(c).to_numpy(), len(masks))) for c in ("node", "root"))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), node, root], ["key", "node", "root"])
 
-    return map_arrow(nodes.select("node", "fp"), run, "key long, node long")
+    return map_arrow(nodes.select("node", "root", "fp"), run, "key long, node long, root long")
 
 
 def verified(x: np.ndarray, y: np.ndarray, options: SimHash) -> np.ndarray:
@@ -126,9 +124,13 @@ def verified(x: np.ndarray, y: np.ndarray, options: SimHash) -> np.ndarray:
     return (shared >= options.matches) & (np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= options.bits)
 
 
-def forest(fps: np.ndarray, side: np.ndarray, options: SimHash) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what the links of one cell connect. side: 0 and 1 for the two blocks, all 0 for a block with itself."""
-    label = np.arange(len(fps))
+def forest(fps: np.ndarray, root: np.ndarray, side: np.ndarray, options: SimHash) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what the links of one cell connect beyond the roots that are known.
+
+    side: 0 and 1 for the two blocks, all 0 for a block with itself.
+    """
+    label = np.unique(root, return_index=True)[1][np.unique(root, return_inverse=True)[1]]
+    known = label.copy()
     two = bool(side.any())
     for i in range(len(fps) - 1):
         later = np.arange(i + 1, len(fps))
@@ -141,27 +143,27 @@ def forest(fps: np.ndarray, side: np.ndarray, options: SimHash) -> tuple[np.ndar
         if len(linked):
             met = np.unique(np.append(label[linked], label[i]))
             label[np.isin(label, met)] = met[0]
-    off = np.flatnonzero(label != np.arange(len(fps)))
+    off = np.flatnonzero(label != known)
     return off, label[off]
 
 
 def link_lists(cells: DataFrame, options: SimHash) -> DataFrame:
-    """a, b: links of the cells. cells: key, lo, hi, side, node, fp, with each cell's rows together and in order."""
+    """a, b: roots that links of the cells connect. cells: key, lo, hi, side, root, fp, with each cell's rows together and in order."""
 
-    def groups(node: np.ndarray, fps: np.ndarray, side: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def groups(root: np.ndarray, fps: np.ndarray, side: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         small = sizes <= 16
         place = np.concatenate([np.arange(n) for n in sizes[small]]) if small.any() else np.zeros(0, np.int64)
         left = np.repeat(sizes[small], sizes[small]) - place
         rows = np.repeat(begins[small], sizes[small]) + place
         for step in range(1, 16):
             first = rows[left > step]
-            if not len(first):
-                break
-            first = first[verified(fps[first], fps[first + step], options)]
-            yield node[first], node[first + step]
+            first = first[root[first] != root[first + step]]
+            if len(first):
+                first = first[verified(fps[first], fps[first + step], options)]
+                yield root[first], root[first + step]
         for begin, n in zip(begins[~small].tolist(), sizes[~small].tolist(), strict=True):
-            a, b = forest(fps[begin : begin + n], side[begin : begin + n], options)
-            yield node[begin + a], node[begin + b]
+            a, b = forest(fps[begin : begin + n], root[begin : begin + n], side[begin : begin + n], options)
+            yield root[begin + a], root[begin + b]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -171,7 +173,7 @@ def link_lists(cells: DataFrame, options: SimHash) -> DataFrame:
             whole = pa.Table.from_batches(held).combine_chunks()
             if not whole.num_rows:
                 return
-            key, lo, hi, side, node = (whole.column(c).to_numpy() for c in ("key", "lo", "hi", "side", "node"))
+            key, lo, hi, side, root = (whole.column(c).to_numpy() for c in ("key", "lo", "hi", "side", "root"))
             changed = (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
             begins = np.concatenate(([0], np.flatnonzero(changed) + 1))
             end = whole.num_rows if last else int(begins[-1])
@@ -180,7 +182,7 @@ def link_lists(cells: DataFrame, options: SimHash) -> DataFrame:
             if len(begins):
                 fps = np.frombuffer(b"".join(whole.column("fp").to_pylist()), np.uint8).reshape(whole.num_rows, -1)
                 seen: set[tuple[int, int]] = set()
-                for a, b in groups(node, fps, side, begins, np.diff(np.append(begins, end))):
+                for a, b in groups(root, fps, side, begins, np.diff(np.append(begins, end))):
                     seen.update(zip(np.maximum(a, b).tolist(), np.minimum(a, b).tolist(), strict=True))
                 if seen:
                     a, b = zip(*seen, strict=True)
@@ -196,19 +198,23 @@ def link_lists(cells: DataFrame, options: SimHash) -> DataFrame:
     return map_arrow(cells, run, "a long, b long")
 
 
-def links(nodes: DataFrame, options: SimHash) -> DataFrame:
-    """a, b: links between nodes (columns node, fp), enough of them for the components."""
-    length = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    lists = postings(nodes, options).withColumn("n", length).where(F.col("n") > 1)
+def links(nodes: DataFrame, options: SimHash, turn: int) -> DataFrame:
+    """a, b: links between roots of the nodes (columns node, root, fp) by one fingerprint's index, enough of them for the components.
+
+    Lists whose members have one root already are left out: they can't connect anything.
+    """
+    own = Window.partitionBy("key")
+    counted = postings(nodes, options, turn).withColumn("n", F.count(F.lit(1)).over(own))
+    lists = counted.withColumn("low", F.min("root").over(own)).withColumn("high", F.max("root").over(own)).where("n > 1 AND low < high")
     parts = F.ceil(F.col("n") / options.block).cast("int")
     lists = settle(lists.select("key", "node", parts.alias("parts")))
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    met = lists.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    block = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    met = lists.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cell = met.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node")
-    cell = cell.join(nodes.select("node", "fp"), "node")
+    cell = cell.join(nodes.select("node", "root", "fp"), "node")
     order = ["key", "lo", "hi"]
     together = cell.repartition(*order).sortWithinPartitions(*order, "node")
-    return link_lists(together, options).distinct()
+    return link_lists(together.select(*order, "side", "root", "fp"), options).distinct()
 
 
 def numbered(groups: DataFrame) -> DataFrame:
@@ -217,9 +223,15 @@ def numbered(groups: DataFrame) -> DataFrame:
 
 
 def rooted(nodes: DataFrame, options: SimHash) -> DataFrame:
-    """The nodes with the root of their component."""
-    root = components(links(nodes, options), "a", "b")
-    return nodes.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    """The nodes with the root of their component, one fingerprint's index after the other."""
+    nodes = nodes.withColumn("root", F.col("node"))
+    before: DataFrame | None = None
+    for turn in range(len(options.seeds)):
+        found = components(links(nodes, options, turn), "a", "b").select(F.col("node").alias("root"), F.col("root").alias("new"))
+        nodes = settle(nodes.join(found, "root", "left").withColumn("root", F.coalesce("new", "root")).drop("new"))
+        discard(before)
+        before = nodes
+    return nodes
 
 
 def groups(docs: DataFrame, options: SimHash = SimHash()) -> DataFrame:
