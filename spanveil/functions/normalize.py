@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .finditer import finditer
+from .finditer import MATCH, finditer
 
 # Characters that are replaced, one for one.
 QUOTES, DASHES = "«»”„", "—–−"
@@ -17,13 +17,20 @@ QUOTES, DASHES = "«»”„", "—–−"
 DELETED = r"(?d)(?<=\p{L})-\r?\n(?=\p{L})|\r(?=\n)"
 
 
+def _may_shrink(text: Column) -> Column:
+    """A cheap necessary condition for any deletion."""
+    return text.contains("-\n") | text.contains("\r\n")
+
+
 def normalized(text: Column) -> Column:
-    return F.translate(F.regexp_replace(text, DELETED, ""), QUOTES + DASHES, '"' * len(QUOTES) + "-" * len(DASHES))
+    joined = F.when(_may_shrink(text), F.regexp_replace(text, DELETED, "")).otherwise(text)
+    plain = F.translate(joined, QUOTES + DASHES, '"' * len(QUOTES) + "-" * len(DASHES))
+    return F.when(text.rlike(f"[{QUOTES}{DASHES}]"), plain).otherwise(joined)
 
 
 def edits(text: Column) -> Column:
     """array<struct<pos, deleted>>: how many characters went before which offset of the normalised text."""
-    found = F.when(text.contains("\n"), finditer(text, DELETED)).otherwise(finditer(F.lit(""), DELETED))
+    found = F.when(_may_shrink(text), finditer(text, DELETED)).otherwise(F.array().cast(f"array<{MATCH}>"))
     begin = F.struct(F.lit(0).alias("gone"), F.array().cast("array<struct<pos:int,deleted:int>>").alias("out"))
 
     def step(acc: Column, m: Column) -> Column:
