@@ -89,27 +89,29 @@ def mix(docs: DataFrame, options: Mix = Mix(), rows: bool = False) -> DataFrame:
     sized = keyed(docs, rows)
     if not rows:
         sized = settle(sized)
-    buckets = sized.groupBy("__source", "size", "__salt").agg(F.count(F.lit(1)).alias("__amount"))
-    if rows:
-        buckets = settle(buckets)
-    totals = buckets.join(targets(buckets, options), "__source")
-    placed = settle(running_total(sized, ["__source"], ["size", "__salt"], [F.col("doc_id")], into="__place", totals=totals))
+    buckets = settle(sized.groupBy("__source", "size", "__salt").agg(F.count(F.lit(1)).alias("__amount")))
+    known = _checked(settle(targets(buckets, options)), options)
+    placed = settle(running_total(sized, ["__source"], ["size", "__salt"], [F.col("doc_id")], into="__place", totals=buckets))
     rotated = [F.col("__offset") + k / options.draws for k in range(options.draws)]
     rotated = [u - F.floor(u) for u in rotated]
     crossed = lambda place, u: F.floor(place.cast("double") * F.col("__copies") + u)
     times = lambda u: (crossed(F.col("__place") + 1, u) - crossed(F.col("__place"), u)).cast("long")
-    tried = placed.groupBy("__source").agg(
+    tried = placed.select("__source", "size", "__place").join(known, "__source").groupBy("__source").agg(
         F.first("target").alias("target"), F.first("__offset").alias("__offset"), *[F.sum(times(u) * F.col("size")).alias(f"__words{k}") for k, u in enumerate(rotated)]
     )
     nearest = F.least(*[F.struct(F.abs(F.col(f"__words{k}") - F.col("target")).alias("miss"), F.lit(k).alias("k"), u.alias("u")) for k, u in enumerate(rotated)])
-    chosen = settle(tried.select("__source", nearest["u"].alias("__chosen")))
-    if chosen.count() <= options.most_broadcast:
-        chosen = F.broadcast(chosen)
+    chosen = tried.select("__source", nearest["u"].alias("__chosen"))
+    chosen = _checked(settle(known.join(chosen, "__source")), options)
     held = [F.col("__row")] if rows else []
     mixed = placed.join(chosen, "__source").withColumn("copies", times(F.col("__chosen")))
     return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *held)
 
 
+def _checked(sources: DataFrame, options: Mix) -> DataFrame:
+    """A settled table of sources, to be broadcast if it has been counted to be small."""
+    return F.broadcast(sources) if sources.count() <= options.most_broadcast else sources
+
+
 def copies(docs: DataFrame, options: Mix = Mix()) -> DataFrame:
     """The mixed documents: every row as often as it is taken, with its own columns."""
     mixed = mix(docs, options, rows=True)
