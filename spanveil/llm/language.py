@@ -4,7 +4,8 @@ A text becomes counts of the byte 2- and 3-grams of its lowered letters, hashed
 scaled to length 1. Document frequencies cover all labelled documents of the training part. Each language has up to ``centroids`` centroids from spherical k-means over a
 bounded sample of its labelled documents (``sample`` a language in expectation, chosen by a hash of the id). A text takes the language of
 the nearest centroid by cosine; its score is that cosine. A text farther from every centroid than ``slack`` times what training documents
-reach at least (their ``quantile``) is marked as rejected.
+reach at least (their ``quantile``) is marked as rejected. A text of few distinct n-grams can't come near a centroid of thousands, so the
+bound shrinks with the root of their number below ``evidence``.
 
 The training part is everything but one document in five, by a checksum of the id. Prediction sees the text alone, row by row, without a
 shuffle; the model (dims x centroids numbers) travels with the task.
@@ -37,6 +38,7 @@ class Identification:
     sample: int = 600
     quantile: float = 0.01
     slack: float = 0.5
+    evidence: int = 64
     rounds: int = 10
 
 
@@ -46,6 +48,10 @@ class Model:
     centroids: np.ndarray
     idf: np.ndarray
     least: float
+    evidence: int
+
+    def bound(self, distinct: np.ndarray) -> np.ndarray:
+        return self.least * np.sqrt(np.minimum(distinct / self.evidence, 1.0))
 
 
 def has_letter(text: str | None) -> bool:
@@ -157,7 +163,7 @@ def learn(docs: DataFrame, options: Identification = Identification()) -> Model:
         names += [lang] * len(own)
         centres = np.concatenate((centres, own))
     least = float(np.quantile((points @ centres.T).max(axis=1), options.quantile)) * options.slack if langs else 2.0
-    return Model(tuple(names), centres, idf, least)
+    return Model(tuple(names), centres, idf, least, options.evidence)
 
 
 def judged(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -166,12 +172,13 @@ def judged(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray
     langs, score, rejected = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
     for first in range(0, len(at), 512):
         part = at[first : first + 512]
-        near = vectors(np.array([counts(texts[i], len(model.idf)) for i in part]), model.idf) @ model.centroids.T
+        grams = np.array([counts(texts[i], len(model.idf)) for i in part])
+        near = vectors(grams, model.idf) @ model.centroids.T
         best = near.argmax(axis=1)
         score[part] = np.clip(np.round(near.max(axis=1).astype(np.float64), 6), 0, 1)
+        rejected[part] = score[part] < model.bound((grams > 0).sum(axis=1))
         for i, b in zip(part, best.tolist(), strict=True):
             langs[i] = model.languages[b]
-    rejected[at] = score[at] < model.least
     return langs, score, rejected
 
 

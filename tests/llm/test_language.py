@@ -71,3 +71,12 @@ def test_counts_do_not_depend_on_pieces(monkeypatch):
     text = "Ünd the thing " * 100_000
     whole = language.counts(text, 4096)
     assert whole.sum() == sum(len(b" " + b" ".join(text.lower().encode().translate(language.LETTERS).split()) + b" ") - n + 1 for n in (2, 3))
+
+
+def test_short_texts_stay_and_foreign_ones_go(spark):
+    rows = corpus(120)
+    model = language.learn(documents(spark, rows), language.Identification(sample=40))
+    short = ["The", "der", "Nation.", "House of", "einfach", "und", "Of."]
+    foreign = ["Съешь же ещё этих мягких французских булок да выпей чаю " * 3, "東京都は日本の首都であり世界最大級の都市である" * 4, "ααα βββ γγγ δδδ εεε ζζζ ηηη θθθ " * 4]
+    assert not language.judged(short, model)[2].any()
+    assert language.judged(foreign, model)[2].all()
