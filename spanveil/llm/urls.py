@@ -67,6 +67,7 @@ class Judge:
         if vocabulary.weights():
             self.automaton.make_automaton()
         self.empty = not vocabulary.weights()
+        self.depth = max((r.host.count(".") + 1 for r in rules), default=1)  # a host may have very many labels
         self.rules: dict[str, list[Rule]] = {}
         for rule in rules:
             self.rules.setdefault(rule.host, []).append(rule)
@@ -84,7 +85,7 @@ class Judge:
 
     def rule(self, host: str, path: str) -> Rule | None:
         best = None
-        labels = host.split(".")
+        labels = host.rsplit(".", self.depth)[-self.depth :]
         for at in range(len(labels)):
             for rule in self.rules.get(".".join(labels[at:]), ()):
                 if path.startswith(rule.path) and (best is None or len(rule.text) > len(best.text)):
