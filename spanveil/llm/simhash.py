@@ -51,10 +51,11 @@ class SimHash:
     block: int = 1024
 
     @classmethod
-    def similar(cls, least: float = 0.8, shingle: int = 5, prints: int = 4) -> SimHash:
-        """Links texts whose shingle sets have about that Jaccard similarity or more."""
+    def similar(cls, least: float = 0.8, shingle: int = 5, prints: int = 8) -> SimHash:
+        """Links texts whose shingle sets have about that Jaccard similarity or more: within the bits expected at it and one deviation."""
         angle = np.arccos(2 * least / (1 + least)) / np.pi
-        return cls(shingle, int(round(64 * prints * angle)), 4, tuple(range(SEED, SEED + prints)))
+        mean = 64 * prints * angle
+        return cls(shingle, int(round(mean + np.sqrt(mean * (1 - angle)))), 4, tuple(range(SEED, SEED + prints)))
 
 
 def fingerprint(text: bytes | None, shingle: int, seeds: tuple[int, ...] = (SEED,)) -> bytes:
@@ -99,7 +100,7 @@ def fingerprints(docs: DataFrame, options: SimHash) -> DataFrame:
 
 
 def postings(nodes: DataFrame, options: SimHash, turn: int) -> DataFrame:
-    """key, node and root: a key is a hash of a choice of positions with their bytes, of one of the fingerprints."""
+    """key, node and root (null where it is the node): a key is a hash of a choice of positions with their bytes, of one of the fingerprints."""
     masks = np.array([sum(255 << 8 * b for b in c) for c in combinations(range(8), options.matches)], np.uint64)
     salts = np.random.default_rng(0).integers(1 << 63, size=len(masks), dtype=np.uint64)
 
@@ -111,8 +112,8 @@ def postings(nodes: DataFrame, options: SimHash, turn: int) -> DataFrame:
                 keys = (values[:, None] & masks) + salts
                 keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
                 keys ^= keys >> np.uint64(27)
-                node, root = (pa.array(np.repeat(batch.column(c).to_numpy(), len(masks))) for c in ("node", "root"))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), node, root], ["key", "node", "root"])
+                node, root = (np.repeat(batch.column(c).to_numpy(), len(masks)) for c in ("node", "root"))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(node), pa.array(root, mask=root == node)], ["key", "node", "root"])
 
     return map_arrow(nodes.select("node", "root", "fp"), run, "key long, node long, root long")
 
@@ -203,9 +204,9 @@ def links(nodes: DataFrame, options: SimHash, turn: int) -> DataFrame:
 
     Lists whose members have one root already are left out: they can't connect anything.
     """
-    own = Window.partitionBy("key")
+    own, root = Window.partitionBy("key"), F.coalesce("root", "node")
     counted = postings(nodes, options, turn).withColumn("n", F.count(F.lit(1)).over(own))
-    lists = counted.withColumn("low", F.min("root").over(own)).withColumn("high", F.max("root").over(own)).where("n > 1 AND low < high")
+    lists = counted.withColumn("low", F.min(root).over(own)).withColumn("high", F.max(root).over(own)).where("n > 1 AND low < high")
     parts = F.ceil(F.col("n") / options.block).cast("int")
     lists = settle(lists.select("key", "node", parts.alias("parts")))
     block = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
