@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..workers import reach_workers
 from .dialect import Pattern
 
 MATCH = "struct<start:int,end:int,text:string,groups:array<string>>"
@@ -44,6 +45,7 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def python_finditer(pattern: Pattern, groups: Sequence[int] = ()):
     """The same with Python's own engine, a batch at a time."""
+    reach_workers()
     source, flags, wanted = pattern.python, pattern.flags, tuple(groups)
 
     @F.pandas_udf(f"array<{MATCH}>")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from ..config import PROFILES, Bundle, bundle
+from ..workers import reach_workers
 from . import validators
 
 #: Label, pattern and score of the detectors whose matches are spans as they are.
@@ -56,6 +57,7 @@ def spans_of(text: str | None, patterns: Bundle) -> list[tuple[int, int, str, fl
 
 def register(spark: SparkSession, patterns: Bundle | None = None, salt: str = "") -> None:
     """validate_*, redact(text[, style]) and detect_spans(text) for SQL of this session."""
+    reach_workers(spark)
     held = patterns or bundle(PROFILES["shipped"])
     validators.register(spark)
 

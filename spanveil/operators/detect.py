@@ -14,6 +14,7 @@ from ..functions.dialect import Pattern
 from ..functions.finditer import bind, matches
 from ..functions.validators import VALIDATORS
 from ..schema import no_spans, span
+from ..workers import reach_workers
 
 #: A section begins at a line of capitals or at a numbered short line. The line feed before it is looked for, so that a suffix of a text can be searched.
 CAPITAL_LINE = r"(?dUm)(?<=\n)\s*[A-ZА-ЯЁ0-9][A-ZА-ЯЁ0-9\s\.-]{2,}$"
@@ -97,6 +98,7 @@ def roles(text: Column, bundle: Bundle) -> Column:
 
 def named_groups(pattern: Pattern):
     """Offsets of the groups num and date of any other pattern, by Python's engine, a batch at a time."""
+    reach_workers()
     source, flags = pattern.python, pattern.flags
     names = [n for n in ("num", "date") if n in pattern.groups]
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.finditer import bind
 from ..schema import NAMES, SPANS, span
+from ..workers import reach_workers
 from .merge import similar
 
 # The words of the domain that never are names.
@@ -48,6 +49,7 @@ def rules() -> Model:
 
 def model_spans(text: Column, build: Callable[[], Model]) -> Column:
     """array<SPAN> of a model, a batch at a time; a model that can't be built or fails gives no spans."""
+    reach_workers()
 
     @F.pandas_udf("array<struct<start:int,end:int,label:string,score:double>>")
     def run(texts: pd.Series) -> pd.Series:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import PROFILES, bundle
-from ..functions import validators
+from ..functions import sql, validators
 from ..functions.finditer import matches
 from ..functions.normalize import edits, normalized, original
 from ..operators import detect as detectors
@@ -19,7 +19,7 @@ from ..operators import names, structured, summary
 from ..operators.mask import masked
 from ..operators.merge import merged, scored, similar
 from ..schema import MaskStyle, Options, span
-from .pipeline import redact, spread
+from .pipeline import redact, redact_text, spread
 
 SHIPPED, DOCUMENTED = bundle(PROFILES["shipped"]), bundle(PROFILES["documented"])
 PLAIN_HEADER = "ПРЕДМЕТ ДОГОВОРА"
@@ -245,6 +245,35 @@ def redact_contracts(spark, sf_dir):
     return _contract_logs(spark, sf_dir).select("doc_id", "redacted")
 
 
+def redact_text_column(spark, sf_dir):
+    done = redact_text(F.col("text"), SHIPPED)
+    return spread(documents(spark, sf_dir)).select("doc_id", done.alias("done")).select("doc_id", "done.redacted")
+
+
+def redact_all_recognisers(spark, sf_dir):
+    """Contracts through recognisers, the name rules and patterns together."""
+    options = Options(recognizers=("structured", "ner", "regex"))
+    signed = F.concat(F.col("text"), F.lit(" Подписал: Иванов И.И."))
+    out = redact(contracts(spark, sf_dir).select("doc_id", signed.alias("text")), SHIPPED, options)
+    return summary.logs(out).select("doc_id", "label", "start", "end", "score", "source")
+
+
+def person_names(spark, sf_dir):
+    text = F.concat(F.lit("Договор подписал Иванов И.И. и Петрова Анна Ивановна, "), F.col("doc_id").cast("string"))
+    df = contracts(spark, sf_dir).select("doc_id", text.alias("text")).withColumn("spans", F.concat(*names.name_spans(F.col("text"))))
+    return _spans(df, F.col("spans"))
+
+
+def sql_redact(spark, sf_dir):
+    sql.register(spark, SHIPPED)
+    return spark.sql("SELECT doc_id, redact(text) AS redacted FROM {documents}", documents=documents(spark, sf_dir))
+
+
+def sql_detect_spans(spark, sf_dir):
+    sql.register(spark, SHIPPED)
+    return spark.sql("SELECT doc_id, s.label, s.start, s.end, s.value FROM {documents}, LATERAL detect_spans(text) AS s", documents=documents(spark, sf_dir))
+
+
 def stream_redact(spark, sf_dir):
     from ..streaming.redact import redact_available
 
@@ -332,6 +361,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         validate_inn10, validate_inn12, validate_ogrn, validate_lengths, detect_email, detect_url, detect_org, detect_role, subject_header, subject_keyword, detect_address,
         structured_ids, anonymize_contacts, stop_fragment, overlap_anti, normalize_text, offset_map, merge_spans, merge_spans_label, min_score_filter, redact_documents,
         redaction_log, summary_by_label, chars_masked_per_document, summary_totals, redact_contracts, stream_redact,
+        redact_text_column, redact_all_recognisers, person_names, sql_redact, sql_detect_spans,
     )
     found = {f.__name__: f for f in plain}
     found |= {f"detect_{label.lower()}": _detected_id(label) for label in detectors.DIGITS}
@@ -347,6 +377,8 @@ def oracle_sql() -> dict[str, str]:
     paragraph = f"""SELECT doc_id, 'SUBJECT' AS label, CAST({tail} AS INT) AS start, CAST(strpos(norm, 'конец.') + 5 AS INT) AS "end", substr(norm, {tail} + 1, strpos(norm, 'конец.') + 5 - ({tail})) AS value FROM (SELECT *, {_NORM} AS norm FROM ({CONTRACTS}) AS k) AS q"""
     head = f"strpos(norm, '{PLAIN_HEADER}') - 1 - back"
     section = f"""SELECT doc_id, 'SUBJECT' AS label, CAST({head} AS INT) AS start, CAST(strpos(norm, '1. СТОРОНЫ') - 1 AS INT) AS "end", substr(norm, {head} + 1, strpos(norm, '1. СТОРОНЫ') - 1 - ({head})) AS value FROM (SELECT *, {_NORM} AS norm, 1 AS back FROM ({CONTRACTS}) AS k) AS q"""
+    masked_text = f"SELECT doc_id, regexp_replace(regexp_replace(text, '{_EMAIL}', '[[ENTITY:EMAIL]]', 'g'), '{_URL}', '[[ENTITY:URL]]', 'g') AS redacted FROM documents"
+    emails_blanked = f"SELECT doc_id, regexp_replace(text, '{_EMAIL}', ' ', 'g') AS text FROM documents"  # no URL stands beside an e-mail here
     found = {
         "validate_inn10": ok("inn", "inn_ok"),
         "validate_inn12": ok("inn12", "inn12_ok"),
@@ -396,6 +428,17 @@ def oracle_sql() -> dict[str, str]:
         "redact_documents": f"""
             SELECT doc_id, regexp_replace(mailed, '{_URL}', '[[ENTITY:URL]]', 'g') AS redacted, CAST(len(regexp_extract_all(text, '{_EMAIL}')) + len(regexp_extract_all(mailed, '{_URL}')) AS BIGINT) AS n_masked
             FROM (SELECT doc_id, text, regexp_replace(text, '{_EMAIL}', '[[ENTITY:EMAIL]]', 'g') AS mailed FROM documents) AS t""",
+        "redact_text_column": masked_text,
+        "sql_redact": masked_text,
+        "stream_redact": masked_text,
+        "sql_detect_spans": f"SELECT * FROM ({_oracle_matches(_EMAIL, 'EMAIL')}) AS m UNION ALL SELECT * FROM ({_oracle_matches(_URL, 'URL', emails_blanked)}) AS u",
+        "person_names": """
+            WITH t AS (SELECT c_custkey AS doc_id, unnest(['Иванов И.И.', 'Петрова Анна Ивановна']) AS value FROM customer)
+            SELECT doc_id, 'PERSON' AS label, CAST(strpos('Договор подписал Иванов И.И. и Петрова Анна Ивановна, ', value) - 1 AS INT) AS start, CAST(strpos('Договор подписал Иванов И.И. и Петрова Анна Ивановна, ', value) - 1 + length(value) AS INT) AS "end", value FROM t""",
+        "redact_contracts": f"""
+            SELECT doc_id, replace(replace(replace(replace(replace(replace(replace(replace(replace(text, 'ООО «Звезда ' || doc_id || '»', '[[ENTITY:ORG]]'), 'КПП ' || kpp, 'КПП [[ENTITY:KPP]]'), CASE WHEN inn_ok THEN inn ELSE '?' END, '[[ENTITY:INN]]'),
+                CASE WHEN inn12_ok THEN inn12 ELSE '?' END, '[[ENTITY:INN]]'), CASE WHEN ogrn_ok THEN ' ' || ogrn ELSE '?' END, ' [[ENTITY:OGRN]]'), rs, '[[ENTITY:RS]]'), mail, '[[ENTITY:EMAIL]]'), 'в лице д', '[[ENTITY:ROLE]]'),
+                poa || ' от ' || poa_date, '[[ENTITY:ROLE]] от [[ENTITY:ROLE]]') AS redacted FROM ({CONTRACTS}) AS k""",
         "redaction_log": _oracle_log(),
         "summary_by_label": f"SELECT label, count(*) AS n FROM (SELECT label FROM ({_oracle_log()}) AS l UNION ALL SELECT 'ORG' FROM customer) AS u GROUP BY label",
         "chars_masked_per_document": f"""

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..workers import reach_workers
+
 SUFFIXES = ("txt", "pdf", "docx")
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -76,6 +78,7 @@ def read_documents(spark: SparkSession, root: str, recursive: bool = False, enab
 
     Only office files go through Python workers; the frame is a union of two narrow scans.
     """
+    reach_workers(spark)
     files = discover(spark, root, recursive)
     office = F.lower("path").rlike(r"\.(pdf|docx)$")
     plain = files.where(~office).select(F.col("path").alias("doc_id"), plain_text(F.col("content")).alias("text"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..operators.summary import logs
+from ..workers import reach_workers
 from .files import is_file, mirrored, root_of
 
 
@@ -19,6 +20,7 @@ def write_texts(redacted: DataFrame, source: str, output: str) -> None:
     For large collections write ``redacted`` as Parquet instead; this is for people who want files.
     """
     spark = redacted.sparkSession
+    reach_workers(spark)
     root, single = root_of(spark, source), is_file(spark, source)
     files = redacted.where(F.col("redacted").isNotNull()).select(mirrored(F.col("doc_id"), root, single).alias("below"), "redacted")
 
