@@ -1,19 +1,19 @@
-"""What the operators of this subpackage share: tables, the shared folder, worker imports, bounded batches."""
+"""What the operators of this subpackage share: tables, the shared folder, bounded batches."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..workers import reach_workers
+
 #: Most rows of an Arrow batch; Spark itself bounds its bytes.
 BATCH_ROWS = 2048
-ROOT = str(Path(__file__).resolve().parents[2])
 #: A word of the mixing and near-duplicate contracts: anything between these white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,14 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def workers_import(spark: SparkSession) -> None:
-    """Python workers find this package by the driver's path; a cluster without that path takes it from --py-files."""
-    env = spark.sparkContext.environment
-    known = env.get("PYTHONPATH", "")
-    if ROOT not in known.split(":"):
-        env["PYTHONPATH"] = f"{ROOT}:{known}" if known else ROOT
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a temporary one only where that is unset, as in local tests."""
     context = spark.sparkContext
@@ -72,7 +64,7 @@ def discard(df: DataFrame | None) -> None:
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     """mapInArrow over small batches: rows here are whole texts, and a worker and its executor each hold a batch or two."""
     spark = df.sparkSession
-    workers_import(spark)
+    reach_workers(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return df.mapInArrow(function, schema)
