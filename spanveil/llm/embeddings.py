@@ -5,7 +5,7 @@ vectors are ordered by label and then lexicographically by key, so that vectors
 ``window`` rows before it; where comparisons at the window's edge still succeed (a dense group), the window goes on until they no longer do. The
 candidates of all passes are united, and each pair is verified once by its cosine in double precision, so no link is below the threshold.
 
-Equal vectors are one node with a count before anything is sorted. A pass moves a key, an id and a 256-bit sketch of each vector, not the
+Equal vectors are one node with a count before anything is sorted. A pass moves a key, an id, a number for label and length, and a 128-bit sketch of each vector, not the
 vector; a sketch leaves out pairs that are far beyond the threshold (about six deviations). The order is dealt out by ranges of the
 whole sort key, so no label or key lies in one task, and the rows at the edges of ranges are compared in a second, small step.
 
@@ -31,13 +31,13 @@ from .common import map_arrow, settle
 from .graph import components
 
 KEY_BITS = 64
-SKETCH_BITS = 256
+SKETCH_BITS = 128
 
 
 @dataclass(frozen=True)
 class Passes:
     least: float = 0.98
-    passes: int = 20
+    passes: int = 16
     window: int = 24
     seed: int = 5
 
@@ -66,9 +66,8 @@ def by_length(batch: pa.RecordBatch, column: int) -> Iterator[tuple[np.ndarray,
 
 
 def keyed(nodes: DataFrame, options: Passes) -> DataFrame:
-    """A row for each node and pass: pass, label, length, key (its unsigned order as a signed number), node, sketch."""
-    kinds = pa.schema([("pass", pa.int32()), ("label", pa.string()), ("size", pa.int32()), ("key", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary(SKETCH_BITS // 8))])
-    plain = pa.schema([*list(kinds)[:-1], ("sketch", pa.binary())])
+    """A row for each node and pass: pass, kind (of label and length), key (its unsigned order as a signed number), node, sketch (two numbers)."""
+    schema = pa.schema([("pass", pa.int32()), ("kind", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("one", pa.int64()), ("two", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
@@ -82,17 +81,18 @@ def keyed(nodes: DataFrame, options: Passes) -> DataFrame:
                     scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
                     bits = np.packbits(scaled @ known[size] > 0, axis=1)
                     keys = np.ascontiguousarray(bits[:, : options.passes * KEY_BITS // 8]).view(">u8").astype(np.uint64) ^ np.uint64(1 << 63)
-                    sketch = [x.tobytes() for x in bits[:, : SKETCH_BITS // 8]]
-                    node, label = batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows))
+                    sketch = np.ascontiguousarray(bits[:, : SKETCH_BITS // 8]).view(np.int64)
+                    node, kind = batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows))
                     for k in range(options.passes):
-                        columns = [pa.array(np.full(len(rows), k, np.int32)), label, pa.array(np.full(len(rows), size, np.int32)), pa.array(keys[:, k].view(np.int64)), node, pa.array(sketch, pa.binary())]
-                        yield pa.RecordBatch.from_arrays(columns, schema=plain)
+                        columns = [pa.array(np.full(len(rows), k, np.int32)), kind, pa.array(keys[:, k].view(np.int64)), node, pa.array(sketch[:, 0]), pa.array(sketch[:, 1])]
+                        yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return map_arrow(nodes.select("node", "label", "vector"), run, "pass int, label string, size int, key long, node long, sketch binary")
+    kind = F.xxhash64("label", F.size("vector"))
+    return map_arrow(nodes.select("node", kind.alias("kind"), "vector"), run, "pass int, kind long, key long, node long, one long, two long")
 
 
 def candidates(same: np.ndarray, sketch: np.ndarray, window: int, most_bits: int, only_across: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows near each other in order, with near sketches. same: a number for each pass, label and length, rows in order.
+    """Pairs of rows near each other in order, with near sketches. same: a number for each pass and kind, rows in order.
 
     The window goes on for rows that met a partner in its last quarter. only_across: pairs must lie on both sides of that row.
     """
@@ -116,14 +116,14 @@ def candidates(same: np.ndarray, sketch: np.ndarray, window: int, most_bits: int
     return np.concatenate(firsts or [rows[:0]]), np.concatenate(seconds or [rows[:0]])
 
 
-FOUND = "a long, b long, edge int, side int, place int, pass int, label string, size int, sketch binary"
+FOUND = "a long, b long, edge int, side int, place int, pass int, kind long, one long, two long"
 
 
 def _arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    kinds = list(zip(*(table.column(c).to_pylist() for c in ("pass", "label", "size")), strict=True))
-    number = {k: i for i, k in enumerate(dict.fromkeys(kinds))}
-    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(kinds), -1)
-    return np.array([number[k] for k in kinds], np.int64), sketch, table.column("node").to_numpy()
+    turn, kind, one, two, node = (table.column(c).to_numpy() for c in ("pass", "kind", "one", "two", "node"))
+    changed = (turn[1:] != turn[:-1]) | (kind[1:] != kind[:-1])
+    same = np.concatenate(([0], np.cumsum(changed))) if len(turn) else turn
+    return same, np.column_stack((one, two)).view(np.uint64), node  # bits of a signed number are those of its absolute value
 
 
 def neighbours(ordered: DataFrame, options: Passes) -> DataFrame:
@@ -140,14 +140,14 @@ def neighbours(ordered: DataFrame, options: Passes) -> DataFrame:
         same, sketch, node = _arrays(table)
         first, second = candidates(same, sketch, window, most_bits)
         none = lambda kind, n=len(first): pa.nulls(n, kind)
-        yield pa.RecordBatch.from_arrays([pa.array(node[first]), pa.array(node[second]), none(pa.int32()), none(pa.int32()), none(pa.int32()), none(pa.int32()), none(pa.string()), none(pa.int32()), none(pa.binary())], [x.split()[0] for x in FOUND.split(", ")])
+        yield pa.RecordBatch.from_arrays([pa.array(node[first]), pa.array(node[second]), none(pa.int32()), none(pa.int32()), none(pa.int32()), none(pa.int32()), none(pa.int64()), none(pa.int64()), none(pa.int64())], [x.split()[0] for x in FOUND.split(", ")])
         part, n = TaskContext.get().partitionId(), table.num_rows
         for gap, side, rows in ((part - 1, 1, table.slice(0, min(n, window))), (part, 0, table.slice(max(0, n - window)))):
             k = rows.num_rows
             fill = lambda x, k=k: pa.array(np.full(k, x, np.int32))
             rows = rows.combine_chunks()
             flat = lambda c, rows=rows: pa.concat_arrays(rows.column(c).chunks)
-            yield pa.RecordBatch.from_arrays([flat("node"), pa.nulls(k, pa.int64()), fill(gap), fill(side), pa.array(np.arange(k, dtype=np.int32)), flat("pass"), flat("label"), flat("size"), flat("sketch")], [x.split()[0] for x in FOUND.split(", ")])
+            yield pa.RecordBatch.from_arrays([flat("node"), pa.nulls(k, pa.int64()), fill(gap), fill(side), pa.array(np.arange(k, dtype=np.int32)), flat("pass"), flat("kind"), flat("one"), flat("two")], [x.split()[0] for x in FOUND.split(", ")])
 
     return map_arrow(ordered, run, FOUND)
 
@@ -167,7 +167,7 @@ def across(edges: DataFrame, options: Passes) -> DataFrame:
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """Pairs with a cosine of at least ``least`` in double precision."""
+    """Pairs of one label and length with a cosine of at least ``least`` in double precision."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,9 +181,10 @@ def verified(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
                 keep[rows] = dot >= least
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    one = nodes.select(F.col("node").alias("a"), F.col("vector").alias("x"))
-    two = nodes.select(F.col("node").alias("b"), F.col("vector").alias("y"))
-    return map_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y"), run, "a long, b long")
+    one = nodes.select(F.col("node").alias("a"), F.col("label").alias("k"), F.col("vector").alias("x"))
+    two = nodes.select(F.col("node").alias("b"), F.col("label").alias("m"), F.col("vector").alias("y"))
+    both = pairs.join(one, "a").join(two, "b").where((F.col("k") == F.col("m")) & (F.size("x") == F.size("y")))
+    return map_arrow(both.select("a", "b", "x", "y"), run, "a long, b long")
 
 
 def links(vectors: DataFrame, options: Passes = Passes(), key: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
@@ -197,13 +198,13 @@ def links(vectors: DataFrame, options: Passes = Passes(), key: str = "vec_id", e
     # Equal vectors are one node; its number is its place in a table that is written once.
     grouped = data.where(F.col("h").isNotNull()).groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first_id"), F.first("label").alias("label"), F.first("vector").alias("vector"))
     nodes = settle(settle(grouped).withColumn("node", F.monotonically_increasing_id()))
-    order = ["pass", "label", "size", "key", "node"]
+    order = ["pass", "kind", "key", "node"]
     ordered = keyed(nodes, options).repartitionByRange(*order).sortWithinPartitions(*order)
     found = settle(neighbours(ordered, options))
     inner = found.where(F.col("edge").isNull()).select("a", "b")
-    outer = across(found.where(F.col("edge").isNotNull()).select("a", "edge", "side", "place", "pass", "label", "size", "sketch"), options)
+    outer = across(found.where(F.col("edge").isNotNull()).select("a", "edge", "side", "place", "pass", "kind", "one", "two"), options)
     pairs = inner.unionByName(outer).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    edges = settle(verified(pairs, nodes.select("node", "vector"), options.least))
+    edges = settle(verified(pairs, nodes.select("node", "label", "vector"), options.least))
     root = components(edges, "a", "b")
     size = nodes.select(F.col("node").alias("b"), "n")
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
