@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -62,12 +63,29 @@ def discard(df: DataFrame | None) -> None:
 
 
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """mapInArrow over small batches: rows here are whole texts, and a worker and its executor each hold a batch or two."""
+    """mapInArrow over small batches: rows here are whole texts, and a worker and its executor each hold a batch or two.
+
+    A worker gives the memory of a task back at its end; an executor may keep many workers, and tasks go round among them.
+    """
     spark = df.sparkSession
     reach_workers(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return df.mapInArrow(function, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Freed memory back to the system, where its allocators can do that."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, budget: int = 8 << 20, rows: int = 2048) -> Iterator[pa.RecordBatch]:
