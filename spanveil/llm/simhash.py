@@ -99,16 +99,29 @@ def fingerprints(docs: DataFrame, options: SimHash) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), run, "doc_id long, fp binary")
 
 
-def postings(nodes: DataFrame, options: SimHash, turn: int) -> DataFrame:
+Turn = tuple[int, list[tuple[int, ...]]]
+
+
+def turns(options: SimHash) -> list[Turn]:
+    """A fingerprint's number and choices of positions, in the order of their use: all choices of all fingerprints, each once.
+
+    The first fingerprint's come in halves: what the first half connects need not be compared again in the second.
+    """
+    choices = list(combinations(range(8), options.matches))
+    return [(0, choices[::2]), (0, choices[1::2]), *((k, choices) for k in range(1, len(options.seeds)))]
+
+
+def postings(nodes: DataFrame, options: SimHash, turn: Turn) -> DataFrame:
     """key, node and root (null where it is the node): a key is a hash of a choice of positions with their bytes, of one of the fingerprints."""
-    masks = np.array([sum(255 << 8 * b for b in c) for c in combinations(range(8), options.matches)], np.uint64)
+    number, choices = turn
+    masks = np.array([sum(255 << 8 * b for b in c) for c in choices], np.uint64)
     salts = np.random.default_rng(0).integers(1 << 63, size=len(masks), dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                values = np.frombuffer(b"".join(batch.column("fp").to_pylist()), ">u8").reshape(batch.num_rows, -1)[:, turn].astype(np.uint64)
+                values = np.frombuffer(b"".join(batch.column("fp").to_pylist()), ">u8").reshape(batch.num_rows, -1)[:, number].astype(np.uint64)
                 keys = (values[:, None] & masks) + salts
                 keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
                 keys ^= keys >> np.uint64(27)
@@ -199,8 +212,8 @@ def link_lists(cells: DataFrame, options: SimHash) -> DataFrame:
     return map_arrow(cells, run, "a long, b long")
 
 
-def links(nodes: DataFrame, options: SimHash, turn: int) -> DataFrame:
-    """a, b: links between roots of the nodes (columns node, root, fp) by one fingerprint's index, enough of them for the components.
+def links(nodes: DataFrame, options: SimHash, turn: Turn) -> DataFrame:
+    """a, b: links between roots of the nodes (columns node, root, fp) by one turn's index, enough of them for the components.
 
     Lists whose members have one root already are left out: they can't connect anything.
     """
@@ -224,10 +237,10 @@ def numbered(groups: DataFrame) -> DataFrame:
 
 
 def rooted(nodes: DataFrame, options: SimHash) -> DataFrame:
-    """The nodes with the root of their component, one fingerprint's index after the other."""
+    """The nodes with the root of their component, one turn after the other."""
     nodes = nodes.withColumn("root", F.col("node"))
     before: DataFrame | None = None
-    for turn in range(len(options.seeds)):
+    for turn in turns(options):
         found = components(links(nodes, options, turn), "a", "b").select(F.col("node").alias("root"), F.col("root").alias("new"))
         nodes = settle(nodes.join(found, "root", "left").withColumn("root", F.coalesce("new", "root")).drop("new"))
         discard(before)
