@@ -105,10 +105,11 @@ Turn = tuple[int, list[tuple[int, ...]]]
 def turns(options: SimHash) -> list[Turn]:
     """A fingerprint's number and choices of positions, in the order of their use: all choices of all fingerprints, each once.
 
-    The first fingerprint's come in halves: what the first half connects need not be compared again in the second.
+    The first fingerprint's come in three parts, a small one first: what a few choices connect need not be compared again under the others.
     """
     choices = list(combinations(range(8), options.matches))
-    return [(0, choices[::2]), (0, choices[1::2]), *((k, choices) for k in range(1, len(options.seeds)))]
+    parts = (choices[::7], choices[1::7] + choices[2::7], [c for i, c in enumerate(choices) if i % 7 > 2])
+    return [*((0, part) for part in parts if part), *((k, choices) for k in range(1, len(options.seeds)))]
 
 
 def postings(nodes: DataFrame, options: SimHash, turn: Turn) -> DataFrame:
