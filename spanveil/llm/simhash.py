@@ -8,7 +8,7 @@ is verified by the differing bits.
 
 A text may have several fingerprints of different seeds, each with its own index, one after the other. Then a pair is verified over the bits of all of them, at a distance that one fingerprint's
 index could not guarantee, and it is a candidate if any one of them shares the minimum. ``SimHash()`` has one fingerprint and finds every
-link; ``similar`` sets the distance for a share of common shingles and finds pairs above it the more surely, the nearer they are.
+link. Bits do not reach a Jaccard similarity of 0.8; ``similar`` gives the options of ``near``, which does, for ``keep_one``.
 
 Copies never form pairs: texts with equal fingerprints are one node before anything is posted. Lists with one member go before any pair is made.
 A long list (a large group of near copies) is cut into blocks by hash and all pairs of blocks meet in cells, so that no task holds a
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -50,27 +51,35 @@ class SimHash:
     #: Members of a list that are compared in one go; longer lists are cut into blocks.
     block: int = 1024
 
-    @classmethod
-    def similar(cls, least: float = 0.8, shingle: int = 5, prints: int = 8) -> SimHash:
-        """Links texts whose shingle sets have about that Jaccard similarity or more: within the bits expected at it and one deviation."""
-        angle = np.arccos(2 * least / (1 + least)) / np.pi
-        mean = 64 * prints * angle
-        return cls(shingle, int(round(mean + np.sqrt(mean * (1 - angle)))), 4, tuple(range(SEED, SEED + prints)))
+    @staticmethod
+    def similar(least: float = 0.8, shingle: int = 5, prints: int = 8):
+        """Options that link texts by the Jaccard similarity of their shingle sets (``near``)."""
+        from .near import Near
 
+        return Near(least, shingle, tuple(range(SEED, SEED + prints)))
 
-def fingerprint(text: bytes | None, shingle: int, seeds: tuple[int, ...] = (SEED,)) -> bytes:
-    """The fingerprints of the seeds, 8 bytes each, high bits first."""
+
+def shingle_hashes(text: bytes | None, shingle: int, seed: int = SEED) -> np.ndarray | None:
+    """XXH64 of each word shingle, repeats included; None without words."""
     from xxhash import xxh64_intdigest
 
     words = [w for w in (text or b"").translate(LOWER).split(b" ") if w]
     if not words:
-        return bytes(8 * len(seeds))
+        return None
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     n = max(1, len(words) - shingle + 1)
     begins = np.concatenate(([0], ends[: n - 1])).tolist()
     stops = (ends[len(words) - n :] - 1).tolist()
-    hashes = np.fromiter((xxh64_intdigest(joined[i:j], seeds[0]) for i, j in zip(begins, stops, strict=True)), np.uint64, n)
+    return np.fromiter((xxh64_intdigest(joined[i:j], seed) for i, j in zip(begins, stops, strict=True)), np.uint64, n)
+
+
+def fingerprint(text: bytes | None, shingle: int, seeds: tuple[int, ...] = (SEED,)) -> bytes:
+    """The fingerprints of the seeds, 8 bytes each, high bits first."""
+    hashes = shingle_hashes(text, shingle, seeds[0])
+    if hashes is None:
+        return bytes(8 * len(seeds))
+    n = len(hashes)
     out = []
     for turn, seed in enumerate(seeds):
         if turn:  # further hashes are mixed from the first one
@@ -218,18 +227,22 @@ def links(nodes: DataFrame, options: SimHash, turn: Turn) -> DataFrame:
 
     Lists whose members have one root already are left out: they can't connect anything.
     """
+    return link_lists(cells(postings(nodes, options, turn), nodes, options.block).drop("node"), options).distinct()
+
+
+def cells(posted: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
+    """key, lo, hi, node, side, root, fp: lists of the postings as cells of at most two blocks, each cell's rows together and in order."""
     own, root = Window.partitionBy("key"), F.coalesce("root", "node")
-    counted = postings(nodes, options, turn).withColumn("n", F.count(F.lit(1)).over(own))
+    counted = posted.withColumn("n", F.count(F.lit(1)).over(own))
     lists = counted.withColumn("low", F.min(root).over(own)).withColumn("high", F.max(root).over(own)).where("n > 1 AND low < high")
-    parts = F.ceil(F.col("n") / options.block).cast("int")
+    parts = F.ceil(F.col("n") / block).cast("int")
     lists = settle(lists.select("key", "node", parts.alias("parts")))
-    block = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    met = lists.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = lists.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cell = met.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node")
     cell = cell.join(nodes.select("node", "root", "fp"), "node")
     order = ["key", "lo", "hi"]
     together = cell.repartition(*order).sortWithinPartitions(*order, "node")
-    return link_lists(together.select(*order, "side", "root", "fp"), options).distinct()
+    return together.select(*order, "node", "side", "root", "fp")
 
 
 def numbered(groups: DataFrame) -> DataFrame:
@@ -259,15 +272,18 @@ def groups(docs: DataFrame, options: SimHash = SimHash()) -> DataFrame:
     return marked.join(named, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, options: SimHash = SimHash()) -> DataFrame:
-    """The documents with one of each component: a row of its smallest doc_id."""
+def keep_one(docs: DataFrame, options=SimHash()) -> DataFrame:
+    """The documents with one of each component: a row of its smallest doc_id. options: of ``SimHash`` or ``near.Near``."""
+    from . import near
+
     names, at = docs.columns, docs.columns.index("text")
-    shingle, seeds = options.shingle, options.seeds
+    alike = isinstance(options, near.Near)
+    mark = partial(near.mark, options=options) if alike else partial(fingerprint, shingle=options.shingle, seeds=options.seeds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, names[at]):
             found = [None if t is None else t.encode() for t in batch.column(at).to_pylist()]
-            marks = pa.array([fingerprint(t, shingle, seeds) for t in found], pa.binary())
+            marks = pa.array([mark(t) for t in found], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, marks], [*names, "__fp"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("__fp", T.BinaryType())])
@@ -276,5 +292,10 @@ def keep_one(docs: DataFrame, options: SimHash = SimHash()) -> DataFrame:
     doc_id = F.col("doc_id").cast("long")
     rank = F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), F.col("__row").alias("row"))
     nodes = numbered(marked.groupBy(F.col("__fp").alias("fp")).agg(F.min(rank).alias("best")))
-    kept = rooted(nodes, options).groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("__row"))
+    if alike:
+        texts = marked.select(F.col("__row").alias("row"), F.col(f"`{names[at]}`").cast("binary").alias("text"))
+        named = near.rooted(nodes.withColumn("row", F.col("best.row")), texts, options)
+    else:
+        named = rooted(nodes, options)
+    kept = named.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("__row"))
     return marked.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in names])
