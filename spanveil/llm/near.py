@@ -107,7 +107,7 @@ def agreeing(x: np.ndarray, y: np.ndarray, options: Near) -> np.ndarray:
 def tree(root: np.ndarray, fps: np.ndarray, side: np.ndarray, options: Near, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of a cell's pairs of two roots that may reach the similarity.
 
-    Without ``every``, pairs that seem to reach it join their roots at once, and what is joined forms no further pairs.
+    Without ``every`` only pairs that seem to reach it, and these join their roots at once: what is joined forms no further pairs.
     """
     label = np.unique(root, return_inverse=True)[1]
     two, least, likely = bool(side.any()), options.fewest(options.least, 5), options.fewest(options.least, 0)
@@ -118,13 +118,11 @@ def tree(root: np.ndarray, fps: np.ndarray, side: np.ndarray, options: Near, eve
             later = later[side[later] != side[i]]
         if not len(later):
             continue
-        equal = agreeing(fps[later], fps[i : i + 1], options)
-        later, equal = later[equal >= least], equal[equal >= least]
-        if not every and (strong := later[equal >= likely]).size:
-            met, first = np.unique(label[strong], return_index=True)
+        later = later[agreeing(fps[later], fps[i : i + 1], options) >= (least if every else likely)]
+        if not every:
+            met, first = np.unique(label[later], return_index=True)
             label[np.isin(label, met)] = label[i]
-            yield np.full(len(first), i), strong[first]
-            later = later[label[later] != label[i]]
+            later = later[first]
         if len(later):
             yield np.full(len(later), i), later
 

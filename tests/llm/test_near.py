@@ -42,3 +42,25 @@ def test_pairs_at_the_limit_meet_in_a_band():
     options = near.Near()
     marks = [np.frombuffer(near.mark(r[1].encode(), options), np.uint8)[: options.size].reshape(-1, near.ROWS) for r in rows]
     assert all((a == b).all(axis=1).any() for a, b in zip(marks[::2], marks[1::2], strict=True))
+
+
+def test_pairs_below_the_limit_stay_and_do_not_chain(spark):
+    rows = planted(150, 0.7, 0.78, 5, words=(300,))
+    draw = random.Random(6)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
+    template = [word() for _ in range(300)]
+    for k in range(30):  # a family of which any two are below the limit
+        own = list(template)
+        for at in draw.sample(range(10 * (k % 3), 300, 30), 5) + draw.sample(range(5, 300, 30), 4):
+            own[at] = word()
+        rows.append((20000 + k, " ".join(own), "en", "s", 1))
+    family = [r[1] for r in rows[-30:]]
+    assert all(similarity(a, b) < 0.8 for i, a in enumerate(family) for b in family[:i])
+    ids = {r["doc_id"] for r in simhash.keep_one(documents(spark, rows), simhash.SimHash.similar(0.8)).collect()}
+    assert ids == {r[0] for r in rows}
+
+
+def test_brute_force_over_mixed_similarities(spark):
+    rows = planted(60, 0.6, 0.95, 7, words=(40, 120))
+    want = {r[0] for r in rows} - {b[0] for a, b in zip(rows[::2], rows[1::2], strict=True) if similarity(a[1], b[1]) >= 0.8}
+    assert {r["doc_id"] for r in simhash.keep_one(documents(spark, rows), simhash.SimHash.similar(0.8)).collect()} == want
