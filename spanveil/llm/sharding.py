@@ -3,8 +3,8 @@
 The law is ``rows``: after placing, the counts of any two shards differ by one at most. Documents start in a shard drawn from their
 id. Documents of one text are linked with each other; as they are interchangeable, the state is the number of a text's documents in a
 shard, one row for each text and shard that meet, however many copies there are. In each round a text's label is the shard that holds
-most of its documents among those with room; its documents elsewhere want to move there. A shard admits movers up to its quota, in
-order of the size of the group that attracts them. Moves go from smaller to larger holdings only, so every move lowers the number of
+most of its documents, at first among those with room, later in turns among all and among those with room; its documents elsewhere want to move there. A shard admits movers up to its quota and, in
+exchange, as many as leave it (``circulation``), in order of the size of the group that attracts them. Rounds end when neither kind admits any. Moves go from smaller to larger holdings only, so every move lowers the number of
 cut links. Then the documents without links fill all shards to their exact quota.
 
 Every prefix sum is distributed (``ranks``). The shards' loads, one number each, are all that reaches the driver.
@@ -27,7 +27,6 @@ from .ranks import running_total, salt
 @dataclass(frozen=True)
 class Sharding:
     shards: int = 24
-    rounds: int = 6
 
 
 def _numbers(values: list[int]) -> Column:
@@ -46,21 +45,72 @@ def _together(state: DataFrame) -> int | None:
     return state.agg(F.sum(F.col("n").cast("decimal(19,0)") * F.col("n"))).first()[0]
 
 
-def propagate(state: DataFrame, quotas: list[int], rounds: int) -> DataFrame:
-    """state: text, shard, n. Rounds of moves until none is admitted."""
-    together = _together(state)
-    for _ in range(rounds):
-        loads = _loads(state, len(quotas))
-        room = _numbers([max(0, q - n) for q, n in zip(quotas, loads, strict=True)])
+def circulation(wants: list[list[int]], free: list[int]) -> list[list[int]]:
+    """How many of the moves wanted from a shard (row) to another one are admitted: chains of moves that end where they began or in a free place.
+
+    The last node stands for free places: a shard with some gives them, and any shard may take them. Every cycle uses a want up, so the loop ends.
+    """
+    count = len(free)
+    left = [[*row, n] for row, n in zip(wants, free, strict=True)] + [[1 << 60] * count + [0]]
+    out = [[0] * count for _ in range(count)]
+
+    def cycle() -> list[int] | None:
+        seen: set[int] = set()
+        for start in range(count):
+            path, at = [start], [0]
+            while path:
+                if path[-1] in seen or at[-1] > count:
+                    seen.add(path.pop())
+                    at.pop()
+                    continue
+                to = at[-1]
+                at[-1] += 1
+                if left[path[-1]][to] > 0 and to not in seen:
+                    if to in path:
+                        found = path[path.index(to) :]
+                        if any(x < count and y < count for x, y in zip(found, [*found[1:], found[0]], strict=True)):
+                            return found
+                        continue
+                    path.append(to)
+                    at.append(0)
+        return None
+
+    while found := cycle():
+        steps = list(zip(found, [*found[1:], found[0]], strict=True))
+        n = min(left[x][y] for x, y in steps)
+        for x, y in steps:
+            left[x][y] -= n
+            if x < count and y < count:
+                out[x][y] += n
+    return out
+
+
+def propagate(state: DataFrame, quotas: list[int]) -> DataFrame:
+    """state: text, shard, n. Rounds of moves until none is admitted.
+
+    Of two kinds, free places come first, then they take turns: texts move to their largest holding with free places, or to their largest one in exchange.
+    """
+    count, together, still, turn = len(quotas), _together(state), 0, 0
+    exchange = False
+    while still < 2:
+        loads = _loads(state, count)
+        free = [max(0, q - n) for q, n in zip(quotas, loads, strict=True)]
         mine = Window.partitionBy("text")
-        free = F.element_at(room, F.col("shard") + 1)
         # More documents first, then a shard drawn from the text, so that ties do not all go to one shard.
         rank = F.struct("n", F.xxhash64("text", "shard").alias("draw"), "shard")
-        seen = state.withColumn("rank", rank).withColumn("label", F.max(F.when(free > 0, rank)).over(mine))
+        open_ = F.lit(True) if exchange else F.element_at(_numbers(free), F.col("shard") + 1) > 0
+        seen = state.withColumn("rank", rank).withColumn("label", F.max(F.when(open_, rank)).over(mine))
         moving = seen.where((F.col("label.shard") != F.col("shard")) & (F.col("rank") < F.col("label")))
         moving = moving.select("text", "shard", F.col("label.shard").alias("to"), "n", (-F.floor(F.log2("label.n"))).cast("int").alias("first"), salt("text", "shard").alias("salt"))
-        moving = running_total(moving, ["to"], ["first", "salt"], [F.col("text"), F.col("shard")], F.col("n"))
-        left = F.element_at(room, F.col("to") + 1) - F.col("before")
+        if exchange:
+            wants = [[0] * count for _ in quotas]
+            for row in moving.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect():  # at most one row for two shards
+                wants[row["shard"]][row["to"]] = row["n"]
+            admits, keys, place = [n for row in circulation(wants, free) for n in row], ["shard", "to"], F.col("shard") * count + F.col("to")
+        else:
+            admits, keys, place = free, ["to"], F.col("to")
+        moving = running_total(moving, keys, ["first", "salt"], [F.col("text"), F.col("shard")], F.col("n"))
+        left = F.element_at(_numbers(admits), place + 1) - F.col("before")
         admitted = moving.select("text", "shard", "to", F.greatest(F.lit(0).cast("long"), F.least("n", left)).alias("n")).where(F.col("n") > 0)
         change = admitted.select("text", F.explode(F.array(F.struct("shard", (-F.col("n")).alias("n")), F.struct(F.col("to").alias("shard"), "n"))).alias("c"))
         following = state.unionByName(change.select("text", "c.shard", "c.n")).groupBy("text", "shard").agg(F.sum("n").alias("n")).where(F.col("n") > 0)
@@ -68,8 +118,9 @@ def propagate(state: DataFrame, quotas: list[int], rounds: int) -> DataFrame:
         discard(state)
         state, before = following, together
         together = _together(state)
-        if together == before:  # every move raises this sum
-            break
+        still = still + 1 if together == before else 0  # every move raises this sum
+        turn += 1
+        exchange = exchange != (still > 0 or turn >= 6)  # few free places come up late, one after the other; exchanges do not wait for them
     return state
 
 
@@ -88,7 +139,7 @@ def shard(docs: DataFrame, options: Sharding = Sharding()) -> DataFrame:
     begin = F.pmod(F.xxhash64("doc_id", "size"), F.lit(options.shards)).cast("int")
     held = base.where(F.col("text").isNotNull()).groupBy("text", begin.alias("shard")).agg(F.count(F.lit(1)).alias("n"))
     held = held.withColumn("all", F.sum("n").over(Window.partitionBy("text"))).where(F.col("all") > 1).drop("all")
-    state = propagate(settle(held), quotas, options.rounds)
+    state = propagate(settle(held), quotas)
 
     # What a shard holds beyond its quota is freed; the rest are stretches of each text's documents, in order.
     kept = running_total(state.withColumn("salt", salt("text")), ["shard"], ["salt"], [F.col("text")], F.col("n"))

@@ -51,3 +51,17 @@ def test_reruns_agree(spark):
     docs = documents(spark, corpus(80))
     one, two = (sorted(map(tuple, sharding.shard(d).collect()), key=repr) for d in (docs, docs.repartition(3)))
     assert one == two
+
+
+def test_full_shards_exchange(spark):
+    rows = [(i, f"text {i // 2}", "en", "s", 1) for i in range(2400)]  # pairs only: all places are taken
+    got = sharding.shard(documents(spark, rows)).collect()
+    check(got, rows, 24)
+    assert uncut(got) >= 0.85 * 1200
+
+
+def test_circulation_ends_where_it_began_or_in_free_places():
+    out = sharding.circulation([[0, 5, 0], [0, 0, 4], [3, 0, 0]], [0, 0, 1])
+    assert out == [[0, 3, 0], [0, 0, 4], [3, 0, 0]] or out == [[0, 4, 0], [0, 0, 4], [3, 0, 0]]
+    into, gone = ([sum(row[k] for row in out) for k in range(3)], [sum(row) for row in out])
+    assert all(i - g <= f for i, g, f in zip(into, gone, [0, 0, 1], strict=True))
