@@ -1,5 +1,6 @@
+from contextlib import contextmanager
+
 import numpy as np
-import pytest
 
 from spanveil.llm import embeddings
 
@@ -60,19 +61,60 @@ def test_recall_and_precision(spark):
     assert same >= 0.97 * len(want)
 
 
-@pytest.mark.parametrize("partitions", ["1", "9"])
-def test_ranges_do_not_matter(spark, partitions):
+@contextmanager
+def partitions(spark, n):
     old = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.shuffle.partitions", n)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        rows = fixture(120, 60)
-        got = embeddings.links(spark.createDataFrame(rows, SCHEMA))
-        assert sum(r["n_links"] for r in got.collect()) >= 0.97 * sum(r[1] for r in plain(rows))
+        yield
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
+def dense(group, others=400, size=32, seed=3):
+    """Vectors of one label: a group of which any two are linked, and others."""
+    draw = np.random.default_rng(seed)
+    x = np.vstack((draw.standard_normal(size) + 0.08 * draw.standard_normal((group, size)), draw.standard_normal((others, size)))).astype(np.float32)
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    return [(i, [float(v) for v in row], 1) for i, row in enumerate(x)], ((y @ y.T >= 0.98).sum(axis=1) - 1).tolist()
+
+
+def test_a_dense_group_loses_no_link_on_any_partitions(spark):
+    rows, want = dense(400)
+    assert sum(want) == 400 * 399
+    for n in (1, 4, 211):
+        with partitions(spark, n):
+            got = {r["vec_id"]: r["n_links"] for r in embeddings.links(spark.createDataFrame(rows, SCHEMA).repartition(max(1, n // 30))).collect()}
+            assert [got[i] for i in range(len(rows))] == want
+
+
+def test_a_group_of_many_blocks_and_reruns(spark):
+    rows, want = dense(2000)
+    assert sum(want) == 2000 * 1999
+    for n in (2, 7):
+        with partitions(spark, n):
+            got = {r["vec_id"]: tuple(r)[1:] for r in embeddings.links(spark.createDataFrame(rows, SCHEMA).repartition(n)).collect()}
+            assert [got[i][0] for i in range(len(rows))] == want
+            assert {got[i][1] for i in range(2000)} == {0}
+
+
+def test_partitions_and_the_order_of_rows_do_not_matter(spark):
+    rows = fixture()
+    first = sorted(map(tuple, embeddings.links(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()), key=repr)
+    with partitions(spark, 9):
+        assert sorted(map(tuple, embeddings.links(spark.createDataFrame(rows[::-1], SCHEMA).repartition(5)).collect()), key=repr) == first
+
+
+def test_equal_keys_and_very_long_vectors(spark):
+    draw = np.random.default_rng(1)
+    base = draw.standard_normal(5000)
+    rows = [(i, [float(v) for v in base * (1 + 1e-4 * i)], 1) for i in range(40)] + [(100 + i, [float(v) for v in draw.standard_normal(5000)], 1) for i in range(20)]
+    got = {r["vec_id"]: tuple(r)[1:] for r in embeddings.links(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i][:2] == (39, 0) for i in range(40)) and all(got[100 + i] == (0, 100 + i, True) for i in range(20))
+
+
 def test_empty_table(spark):
     assert embeddings.links(spark.createDataFrame([], SCHEMA)).count() == 0
