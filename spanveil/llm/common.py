@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from ..workers import reach_workers
 
-#: Most rows of an Arrow batch; Spark itself bounds its bytes.
-BATCH_ROWS = 2048
+#: Most rows and bytes of an Arrow batch; both hold for a session's batches in Spark's own settings.
+BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
 #: A word of the mixing and near-duplicate contracts: anything between these white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -24,10 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset, as in local tests."""
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary one if the driver is the only machine, else an error."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="spanveil-")
         context.setCheckpointDir(named)
     return named.rstrip("/")
@@ -69,8 +73,9 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     """
     spark = df.sparkSession
     reach_workers(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if int(spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("b")) not in range(1, most + 1):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from function(batches)
@@ -100,3 +105,39 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, budget: int = 8 << 20
             held += length
         if first < len(lengths):
             yield batch.slice(first)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str], budget: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows in order, cut between groups of equal keys (numbers without nulls) into parts of about ``budget`` bytes: a part, where its groups begin, and where they end."""
+    held: list[pa.RecordBatch] = []
+    size, enough = 0, budget
+
+    def part(last: bool) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        nonlocal held, size, enough
+        whole = pa.concat_batches(held)
+        columns = [whole.column(k).to_numpy() for k in keys]
+        changed = np.zeros(max(0, whole.num_rows - 1), bool)
+        for x in columns:
+            changed |= x[1:] != x[:-1]
+        begins = np.concatenate(([0], np.flatnonzero(changed) + 1))
+        end = whole.num_rows if last else int(begins[-1])
+        rest = whole.slice(end)
+        held, size = ([rest] if rest.num_rows else []), rest.nbytes
+        enough = max(budget, 2 * size)  # a group larger than the budget is not looked through again and again
+        if end:
+            begins = begins[begins < end]
+            yield whole.slice(0, end), begins, np.append(begins[1:], end)
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= enough:
+                yield from part(False)
+    if held:
+        yield from part(True)
+
+
+def rows_of_bytes(column: pa.Array) -> np.ndarray:
+    """A matrix of the bytes of values of one length."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)

@@ -3,54 +3,25 @@
 Each round links every node's neighbours to the smallest node near it (first the larger ones, then the smaller ones). Rounds end when nothing
 changes; then each node hangs on its component's smallest node. Minima are pre-aggregated, and the joins are plain equi-joins that
 adaptive execution splits where a node has very many links. Nothing but a count and a checksum of the links reaches the driver.
-Where that count is at most ``FEW``, one task joins them all instead of many rounds of jobs; the result is the same.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_arrow, settle
-
-#: Links that one task may hold.
-FEW = 10_000
+from .common import discard, settle
 
 
 def _sign(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """u, v: every node of the links and the smallest node of its component, if that is another one."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent[up]
-        return x
-
-    for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            a, b = sorted((root(a), root(b)))
-            parent[b] = a
-    found = [(x, root(x)) for x in sorted(parent)]
-    nodes, roots = zip(*[f for f in found if f[0] != f[1]], strict=True) if found else ((), ())
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(roots, pa.int64())], ["u", "v"])
-
-
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """node and root (the smallest node of its component), for nodes with links to others; a, b: long columns without nulls."""
     edges = settle(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     sign = _sign(edges)
-    if sign[0] <= FEW:
-        few = settle(map_arrow(edges.coalesce(1), joined, "u long, v long"))
-        discard(edges)
-        return few.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    while True:
+    while sign[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()

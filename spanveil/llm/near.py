@@ -1,14 +1,17 @@
-"""Near-duplicates by the Jaccard similarity of shingle sets: MinHash bands find candidates, the sets themselves decide.
+"""Near-duplicates by the Jaccard similarity of shingle sets: an inverted index over byte positions finds candidates, the sets themselves decide.
 
-A text's set is the distinct XXH64 hashes of its word shingles. Each seed gives ``BANDS`` bands of ``ROWS`` MinHashes, kept as one byte each.
-Texts that share a whole band are candidates: a pair of similarity s meets with a probability of 1 - (1 - s**ROWS)**bands, which for the 32
+This is the method of ``simhash`` with other bytes: SimHash bits do not reach a similarity of 0.8 (see the README), bytes of MinHashes do. A text's set
+is the distinct XXH64 hashes of its word shingles, its fingerprint the last bytes of ``BANDS * ROWS`` MinHashes a seed. The index posts
+every band of ``ROWS`` positions with its bytes. A pair of similarity s shares a band with a probability of 1 - (1 - s**ROWS)**bands, which for the 32
 bands of 8 seeds leaves out 3 in a million pairs at 0.8 and fewer above.
 
-Candidates whose equal MinHashes are over five deviations below the limit go; of the others the sets are built from both texts again, and they
-are linked if the similarity is reached. So no link is below the limit, and links at it are lost about once in 200,000.
+Pairs that meet in a list have their shared positional bytes tallied; those over five deviations below the limit's share go (a link is lost so about
+once in three million). The others are verified by their sets, so that no link is below the limit. A pair belongs to the first band that it
+shares and is looked at there alone. Sets move to the cells of the lists, once for each cell that needs them, and not with each pair; a cell
+joins what it has linked and returns a forest of its links. So no rows grow with the square of a list.
 
-Equal sets are one node. Lists with one member, or with one component already, go before any pair is made; long lists are cut into
-blocks (``simhash.cells``).
+Equal sets are one node. Lists with one member, or with one component already, go before any pair is formed; long lists, and lists of
+long texts, are cut into blocks (``simhash.cells``).
 """
 
 from __future__ import annotations
@@ -18,17 +21,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_arrow, settle
+from .common import discard, map_arrow, rows_of_bytes, settle, slices, whole_groups
 from .graph import components
-from .simhash import SEED, cells, shingle_hashes
+from .simhash import CELL, SEED, SMALL, cells, shared, shingle_hashes, small_pairs
 
 #: Bands of a seed, and MinHashes of a band.
 BANDS, ROWS = 4, 5
-#: Bytes of the set's own digest behind the MinHashes.
-DIGEST = 16
+#: Bytes behind the MinHashes: the set's own digest and the set's size.
+DIGEST, SIZE = 16, 4
 
 
 @dataclass(frozen=True)
@@ -39,6 +42,8 @@ class Near:
     seeds: tuple[int, ...] = tuple(range(SEED, SEED + 8))
     #: Members of a list that are compared in one go; longer lists are cut into blocks.
     block: int = 1024
+    #: Bands whose links are joined before the others are looked at.
+    early: int = 2
 
     @property
     def bands(self) -> int:
@@ -49,9 +54,10 @@ class Near:
         """MinHashes of a text."""
         return ROWS * self.bands
 
-    def fewest(self, share: float, deviations: int) -> int:
-        """Equal MinHashes that a pair of that similarity misses only by more than so many deviations."""
-        return int(self.size * share - deviations * np.sqrt(self.size * share * (1 - share)))
+    @property
+    def fewest(self) -> int:
+        """Shared positional bytes that a pair at the limit misses only by more than five deviations."""
+        return int(self.size * self.least - 5 * np.sqrt(self.size * self.least * (1 - self.least)))
 
 
 def shingle_set(text: bytes | None, options: Near) -> np.ndarray:
@@ -60,165 +66,157 @@ def shingle_set(text: bytes | None, options: Near) -> np.ndarray:
     return np.zeros(0, np.uint64) if hashes is None else np.unique(hashes)
 
 
+def salts(options: Near) -> tuple[np.ndarray, np.ndarray]:
+    """What is added (by exclusive or) and an odd factor, for each MinHash."""
+    drawn = np.concatenate([np.random.default_rng(seed).integers(1 << 32, size=(BANDS * ROWS, 2), dtype=np.uint32) for seed in options.seeds])
+    return drawn[:, :1], drawn[:, 1:] | np.uint32(1)
+
+
 def mark(text: bytes | None, options: Near) -> bytes:
-    """A byte of each MinHash, and a digest of the set; zeros without words."""
+    """A byte of each MinHash, a digest of the set and the number of its members; zeros without words."""
     from xxhash import xxh3_128_digest
 
     own = shingle_set(text, options)
     if not len(own):
-        return bytes(options.size + DIGEST)
-    salts = np.concatenate([np.random.default_rng(seed).integers(1 << 32, size=(BANDS * ROWS, 2), dtype=np.uint32) for seed in options.seeds])
-    add, times = salts[:, :1], salts[:, 1:] | np.uint32(1)
+        return bytes(options.size + DIGEST + SIZE)
+    add, times = salts(options)
     folded = (own ^ (own >> np.uint64(32))).astype(np.uint32)
     least = np.full(options.size, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(folded), 512):
-        x = (folded[None, at : at + 512] ^ add) * times
-        x ^= x >> np.uint32(15)
-        x *= np.uint32(0x2C1B3C6D)
-        x ^= x >> np.uint32(13)
-        x *= np.uint32(0x297A2D39)
-        np.minimum(least, x.min(axis=1), out=least)
-    return (least * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).tobytes() + xxh3_128_digest(own.tobytes())
+        np.minimum(least, ((folded[None, at : at + 512] ^ add) * times).min(axis=1), out=least)
+    return (least * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).tobytes() + xxh3_128_digest(own.tobytes()) + len(own).to_bytes(SIZE, "big")
+
 
+def band_keys(fps: np.ndarray, options: Near) -> np.ndarray:
+    """Of each fingerprint a number for each band: the band and its bytes."""
+    values = fps[:, : options.size].reshape(len(fps), -1, ROWS)
+    keys = np.zeros((len(fps), options.bands), np.int64)
+    for k in range(ROWS):
+        keys = (keys << 8) | values[:, :, k]
+    return keys | (np.arange(options.bands, dtype=np.int64) << 8 * ROWS)
 
-def postings(nodes: DataFrame, options: Near, bands: range) -> DataFrame:
-    """key, node and root (null where it is the node): a key is a band's number and bytes."""
+
+def postings(nodes: DataFrame, options: Near) -> DataFrame:
+    """key and node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            values = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(batch.num_rows, -1)[:, : options.size].reshape(batch.num_rows, -1, ROWS)
-            keys = np.zeros((batch.num_rows, options.bands), np.int64)
-            for k in range(ROWS):
-                keys = (keys << 8) | values[:, :, k]
-            keys = (keys | (np.arange(options.bands, dtype=np.int64) << 8 * ROWS))[:, bands.start : bands.stop]
-            node, root = (np.repeat(batch.column(c).to_numpy(), len(bands)) for c in ("node", "root"))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(node), pa.array(root, mask=root == node)], ["key", "node", "root"])
+            if batch.num_rows:
+                keys = band_keys(rows_of_bytes(batch.column("fp")), options)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column("node").to_numpy(), options.bands))], ["key", "node"])
 
-    return map_arrow(nodes.select("node", "root", "fp"), run, "key long, node long, root long")
+    return map_arrow(nodes.select("node", "fp"), run, "key long, node long")
 
 
-def agreeing(x: np.ndarray, y: np.ndarray, options: Near) -> np.ndarray:
-    """The number of equal MinHashes. x, y: marks, one row each (or one row for all)."""
-    return (x[:, : options.size] == y[:, : options.size]).sum(axis=1)
+def hopeful(x: np.ndarray, y: np.ndarray, kx: np.ndarray, ky: np.ndarray, band: int, options: Near) -> np.ndarray:
+    """Which pairs may reach the limit and share no earlier band. x, y: fingerprints, kx, ky: their band keys, one row each (or one row for all)."""
+    good = (x[:, : options.size] == y[:, : options.size]).sum(axis=1) >= options.fewest
+    return good & ~(kx[:, :band] == ky[:, :band]).any(axis=1) if band else good
 
 
-def tree(root: np.ndarray, fps: np.ndarray, side: np.ndarray, options: Near, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of a cell's pairs of two roots that may reach the similarity.
+def pending(dealt: DataFrame, options: Near) -> DataFrame:
+    """The rows of the cells that stand in a pair that may be a link: key, lo, hi, side, node, root, fp."""
+    columns = [*CELL, "side", "node", "root", "fp"]
 
-    Without ``every`` only pairs that seem to reach it, and these join their roots at once: what is joined forms no further pairs.
-    """
-    label = np.unique(root, return_inverse=True)[1]
-    two, least, likely = bool(side.any()), options.fewest(options.least, 5), options.fewest(options.least, 0)
-    for i in range(len(fps) - 1):
-        later = np.arange(i + 1, len(fps))
-        later = later[label[later] != label[i]]
-        if two:
-            later = later[side[later] != side[i]]
-        if not len(later):
-            continue
-        later = later[agreeing(fps[later], fps[i : i + 1], options) >= (least if every else likely)]
-        if not every:
-            met, first = np.unique(label[later], return_index=True)
-            label[np.isin(label, met)] = label[i]
-            later = later[first]
-        if len(later):
-            yield np.full(len(later), i), later
-
-
-def candidates(dealt: DataFrame, options: Near, every: bool) -> DataFrame:
-    """a, b: nodes of different roots that share a band and may reach the similarity; ``every`` one, or as ``tree`` leaves out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, begins, ends in whole_groups(batches, CELL):
+            root, side, fps = part.column("root").to_numpy(), part.column("side").to_numpy(), rows_of_bytes(part.column("fp"))
+            keys, band = band_keys(fps, options), part.column("key").to_numpy() >> 8 * ROWS
+            needed = np.zeros(part.num_rows, bool)
+            small = ends - begins <= SMALL
+            for i, j in small_pairs(begins[small], (ends - begins)[small]):
+                apart = root[i] != root[j]
+                i, j = i[apart], j[apart]
+                for k in np.unique(band[i]):
+                    own = band[i] == k
+                    a, b = i[own], j[own]
+                    good = hopeful(fps[a], fps[b], keys[a], keys[b], int(k), options)
+                    needed[a[good]] = needed[b[good]] = True
+            for begin, end in zip(begins[~small].tolist(), ends[~small].tolist(), strict=True):
+                two = bool(side[begin:end].any())
+                for i in range(begin, end - 1):
+                    later = np.arange(i + 1, end)
+                    later = later[(root[later] != root[i]) & ((side[later] != side[i]) if two else True)]
+                    later = later[hopeful(fps[later], fps[i : i + 1], keys[later], keys[i : i + 1], int(band[i]), options)]
+                    needed[later] = True
+                    needed[i] |= bool(len(later))
+            if needed.any():
+                yield part.select(columns).filter(pa.array(needed))
+
+    return map_arrow(dealt.select(*columns), run, "key long, lo int, hi int, side int, node long, root long, fp binary")
+
+
+def similar(one: np.ndarray, others: list[np.ndarray], least: float) -> np.ndarray:
+    """Which of the sets have a Jaccard similarity of at least ``least`` with the first one. Sets are in order and not empty."""
+    sizes = np.array([len(x) for x in others])
+    good = np.minimum(sizes, len(one)) >= least * np.maximum(sizes, len(one))
+    for at in range(0, len(others), 64):
+        own = at + np.flatnonzero(good[at : at + 64])
+        if len(own):
+            flat = np.concatenate([others[k] for k in own])
+            met = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+            both = np.add.reduceat(met.astype(np.int64), np.concatenate(([0], np.cumsum(sizes[own])[:-1])))
+            good[own] = both >= least * (len(one) + sizes[own] - both)
+    return good
+
+
+def decided(waiting: DataFrame, options: Near) -> DataFrame:
+    """a, b: roots that the links of the cells connect. waiting: as ``pending`` gives it, and set; each cell's rows together and in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held
-            whole = pa.Table.from_batches(held).combine_chunks()
-            if not whole.num_rows:
-                return
-            key, lo, hi, side, root, node = (whole.column(c).to_numpy() for c in ("key", "lo", "hi", "side", "root", "node"))
-            begins = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1))
-            end = whole.num_rows if last else int(begins[-1])
-            held = [] if last else whole.slice(end).combine_chunks().to_batches()
-            fps = np.frombuffer(b"".join(whole.column("fp").to_pylist()), np.uint8).reshape(whole.num_rows, -1)
-            ends = np.append(begins[1:], whole.num_rows)
+        for part, begins, ends in whole_groups(batches, CELL):
+            root, side, fps, sets = part.column("root").to_numpy(), part.column("side").to_numpy(), rows_of_bytes(part.column("fp")), part.column("set")
+            keys, band = band_keys(fps, options), part.column("key").to_numpy() >> 8 * ROWS
             seen: set[tuple[int, int]] = set()
-            for i, j in zip(begins.tolist(), ends.tolist(), strict=True):
-                if i >= end:
-                    break
-                for a, b in tree(root[i:j], fps[i:j], side[i:j], options, every):
-                    a, b = node[i + a], node[i + b]
-                    seen.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
-                if len(seen) > 100_000:
-                    yield pairs(seen)
-                    seen.clear()
+            for begin, end in zip(begins.tolist(), ends.tolist(), strict=True):
+                own = [np.frombuffer(sets[k].as_buffer(), np.uint64) for k in range(begin, end)]
+                label, two = root[begin:end].copy(), bool(side[begin:end].any())
+                for i in range(end - begin - 1):
+                    later = np.arange(i + 1, end - begin)
+                    later = later[(label[later] != label[i]) & ((side[begin + later] != side[begin + i]) if two else True)]
+                    later = later[hopeful(fps[begin + later], fps[begin + i : begin + i + 1], keys[begin + later], keys[begin + i : begin + i + 1], int(band[begin]), options)]
+                    if len(later):
+                        later = later[similar(own[i], [own[k] for k in later], options.least)]
+                        for met in np.unique(label[later]).tolist():
+                            seen.add((max(met, int(label[i])), min(met, int(label[i]))))
+                        label[np.isin(label, label[later])] = label[i]
             if seen:
-                yield pairs(seen)
+                a, b = zip(*seen, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-        for batch in batches:
-            held.append(batch)
-            if sum(x.num_rows for x in held) >= 20_000:
-                yield from flush(False)
-        if held:
-            yield from flush(True)
-
-    def pairs(seen: set[tuple[int, int]]) -> pa.RecordBatch:
-        a, b = zip(*seen, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return map_arrow(dealt, run, "a long, b long").distinct()
+    return map_arrow(waiting, run, "a long, b long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, options: Near) -> DataFrame:
-    """The pairs whose shingle sets have a Jaccard similarity of at least ``least``. texts: node, text."""
+def sets(texts: DataFrame, options: Near) -> DataFrame:
+    """node and set, the hashes' bytes. texts: node, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: tuple[bytes | None, np.ndarray] = None, np.zeros(0, np.uint64)
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for at in range(batch.num_rows):
-                x, y = (batch.column(c)[at].as_py() for c in (2, 3))
-                if x != known[0]:
-                    known = x, shingle_set(x, options)
-                one, two = known[1], shingle_set(y, options)
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                keep[at] = both >= options.least * (len(one) + len(two) - both)
-            yield batch.select([0, 1]).filter(pa.array(keep))
-
-    one, two = (texts.withColumnsRenamed({"node": n, "text": t}) for n, t in (("a", "x"), ("b", "y")))
-    return map_arrow(pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y"), run, "a long, b long")
-
+        for batch in slices(batches, "text", 2 << 20):
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingle_set(t, options).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], ["node", "set"])
 
-def joined(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The nodes with the roots that the pairs of nodes connect."""
-    root = nodes.select("node", "root")
-    ends = pairs.join(root.withColumnsRenamed({"node": "a", "root": "x"}), "a").join(root.withColumnsRenamed({"node": "b", "root": "y"}), "b")
-    found = components(ends.select("x", "y"), "x", "y").select(F.col("node").alias("root"), F.col("root").alias("new"))
-    return settle(nodes.join(found, "root", "left").withColumn("root", F.coalesce("new", "root")).drop("new"))
+    return map_arrow(texts, run, "node long, set binary")
 
 
 def rooted(nodes: DataFrame, texts: DataFrame, options: Near) -> DataFrame:
-    """The nodes with the root of their component. nodes: node, fp, row and others; texts: row and text.
+    """The nodes with the root of their component. nodes: node, fp, best (with the row of the text); texts: row and text.
 
-    What a few bands connect need not be compared again under the others. The last turn takes every pair of two roots, so that none is lost
-    because a pair before it seemed to be a link and was not.
+    The first bands' links are joined first: what they connect need not be compared again under the others.
     """
-    nodes = nodes.withColumn("root", F.col("node"))
-    met = postings(nodes, options, range(options.bands)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key")))
-    needed = nodes.select("node", "row").join(met.where("n > 1").select("node").distinct(), "node")
-    own = settle(texts.join(needed, "row").select("node", "text"))
-    done, before = None, None
-    for bands, every in ((range(2), False), (range(options.bands), False), (range(options.bands), True)):
-        pairs = candidates(cells(postings(nodes, options, bands), nodes, options.block), options, every)
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = settle(pairs)
-        found = settle(verified(pairs, own, options))
-        nodes = joined(nodes, found)
-        discard(found)
+    posted = shared(postings(nodes, options))
+    row = nodes.select("node", F.col("best.row").alias("row")).join(posted.select("node").distinct(), "node")
+    own = settle(sets(texts.join(row, "row").select("node", "text"), options))
+    weight = F.conv(F.hex(F.substring("fp", options.size + DIGEST + 1, SIZE)), 16, 10).cast("long") * 8
+    nodes = nodes.withColumn("root", F.col("node")).withColumn("weight", weight)
+    band = F.shiftright("key", 8 * ROWS)
+    before = None
+    for turn in (band < options.early, band >= options.early):
+        members = posted.where(turn).join(nodes.select("node", "root", "weight", "fp"), "node").select("key", "node", "root", "weight", "fp")
+        waiting = pending(cells(members, options.block), options).join(own, "node")
+        waiting = waiting.select(*CELL, "side", "root", "fp", "set", "node").repartition(*CELL).sortWithinPartitions(*CELL, "node")
+        found = components(decided(waiting, options), "a", "b").select(F.col("node").alias("root"), F.col("root").alias("new"))
+        nodes = settle(nodes.join(found, "root", "left").withColumn("root", F.coalesce("new", "root")).drop("new"))
         discard(before)
-        before, done = nodes, pairs if done is None else done.unionByName(pairs)
+        before = nodes
+    discard(posted)
     discard(own)
     return nodes

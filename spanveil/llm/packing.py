@@ -46,14 +46,15 @@ class Packing:
     sentence_cut: float = 6.0
     word_cut: float = 48.0
     block: int = 1 << 20
-    #: Words whose ids are kept at hand in each worker.
-    remembered: int = 1_200_000
+    #: Words whose ids are kept at hand in each worker: those of late, in two generations.
+    remembered: int = 240_000
 
 
 class Words:
     """The ids of texts, from ids of white-space separated words: the tokenizer drops white space and never merges across it.
 
-    Words that came before are looked up, so that the tokenizer sees each distinct word about once and no long text as a whole.
+    Words that came before are looked up, so that the tokenizer sees each frequent word about once and no long text as a whole. Of the two
+    generations of known words the older one goes when the younger one is full; a word that is met again moves up before.
     """
 
     #: A word with signs behind its last plain letter: the tokenizer parts them in any case.
@@ -71,6 +72,7 @@ class Words:
         self.model = self.tokenizer.model
         self.remembered = remembered
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.ends = np.array(sorted({i for i in map(self.tokenizer.token_to_id, (".</w>", "!</w>", "?</w>")) if i is not None}), dtype=np.uint32)
 
     def learn(self, words: list[bytes]) -> None:
@@ -112,13 +114,13 @@ class Words:
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as little-endian 32-bit numbers."""
         split = [self.split(t) for t in texts]
-        every = set().union(*split)
-        new = every.difference(self.known)
-        if len(self.known) + len(new) > self.remembered:
-            self.known.clear()
-            new = every
-        self.learn(list(new))
-        known = self.known
+        if len(self.known) > self.remembered // 2:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = set().union(*split).difference(known)
+        met = new.intersection(older)
+        known.update((w, older[w]) for w in met)
+        self.learn(list(new - met))
         return [b"".join([known[w] for w in words]) for words in split]
 
 

@@ -1,23 +1,22 @@
 """SimHash near-duplicates by an inverted index over byte positions with count filtering.
 
 A fingerprint has 64 bits: a bit is set if it is set in over half of the XXH64 hashes of the text's word shingles, repeats included.
-Two fingerprints that differ in at most t bits differ in at most t of their 8 bytes, so they share at least 8 - t positional bytes:
-the guaranteed minimum of matches. The index posts each distinct fingerprint under every choice of that many positions with
-their bytes. Whatever meets in a list is compared: its shared positional bytes are tallied, pairs below the minimum go, and the rest
-is verified by the differing bits.
+Two fingerprints that differ in at most t bits differ in at most t of their 8 bytes, so they share at least m = 8 - t positional bytes:
+the guaranteed minimum of matches. Lists of single bytes would be too long, so the index posts each distinct fingerprint under all choices of
+three of its first seven positions with their bytes: two that share m = 4 of all eight positions share three of any seven, and so a list.
+Pairs that meet in a list have their shared positional bytes tallied over all eight; those below the minimum go, and the rest is verified by the differing bits.
 
-A text may have several fingerprints of different seeds, each with its own index, one after the other. Then a pair is verified over the bits of all of them, at a distance that one fingerprint's
-index could not guarantee, and it is a candidate if any one of them shares the minimum. ``SimHash()`` has one fingerprint and finds every
-link. Bits do not reach a Jaccard similarity of 0.8; ``similar`` gives the options of ``near``, which does, for ``keep_one``.
+``SimHash()`` finds every link. A text may have several fingerprints of different seeds; then a pair is verified over the bits of all of them and
+is a candidate if any one shares the minimum. Bits do not reach a Jaccard similarity of 0.8; ``similar`` gives the options of ``near``, which does, for ``keep_one``.
 
-Copies never form pairs: texts with equal fingerprints are one node before anything is posted. Lists with one member go before any pair is made.
+Copies never form pairs: texts with equal fingerprints are one node before anything is posted. Lists with one member go before any row moves by its key.
 A long list (a large group of near copies) is cut into blocks by hash and all pairs of blocks meet in cells, so that no task holds a
 whole list and none of its links is lost; a cell returns a forest of its links, not the links, which leaves components as they are.
 Components are then found by Spark joins (``graph``). No cap, sample or prefix is used anywhere.
 
 Defined cases: texts without words (null, empty or blank) have fingerprint 0 and link like any other; null doc_ids are
 members but never the smallest id, unless a component has no other; repeated rows stay repeated in ``groups`` and one of them stays in ``keep_one``; an empty table gives no
-rows; ``keep_one`` keeps every other column, whatever its name.
+rows; ``keep_one`` keeps every other column, whatever its name; a very long text is read whole, its hashes at 8 bytes a word.
 """
 
 from __future__ import annotations
@@ -29,14 +28,16 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, map_arrow, settle, slices
+from .common import discard, map_arrow, rows_of_bytes, settle, slices, whole_groups
 from .graph import components
 
 SEED = 42
+#: What names a cell of a list; members of a group whose pairs are formed all at once.
+CELL, SMALL = ["key", "lo", "hi"], 16
 LOWER = bytes.maketrans(bytes(range(65, 91)) + b"\t\n\x0b\x0c\r", bytes(range(97, 123)) + b"     ")
 
 
@@ -47,10 +48,16 @@ class SimHash:
     bits: int = 4
     #: Least shared positional bytes of one fingerprint.
     matches: int = 4
+    #: Positions of a posting, chosen from the first ones: ``matches`` of 8 positions hold ``posted`` of any ``first``.
+    posted: int = 3
     seeds: tuple[int, ...] = (SEED,)
     #: Members of a list that are compared in one go; longer lists are cut into blocks.
     block: int = 1024
 
+    @property
+    def first(self) -> int:
+        return 8 - self.matches + self.posted
+
     @staticmethod
     def similar(least: float = 0.8, shingle: int = 5, prints: int = 8):
         """Options that link texts by the Jaccard similarity of their shingle sets (``near``)."""
@@ -108,37 +115,24 @@ def fingerprints(docs: DataFrame, options: SimHash) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), run, "doc_id long, fp binary")
 
 
-Turn = tuple[int, list[tuple[int, ...]]]
-
-
-def turns(options: SimHash) -> list[Turn]:
-    """A fingerprint's number and choices of positions, in the order of their use: all choices of all fingerprints, each once.
-
-    The first fingerprint's come in three parts, a small one first: what a few choices connect need not be compared again under the others.
-    """
-    choices = list(combinations(range(8), options.matches))
-    parts = (choices[::7], choices[1::7] + choices[2::7], [c for i, c in enumerate(choices) if i % 7 > 2])
-    return [*((0, part) for part in parts if part), *((k, choices) for k in range(1, len(options.seeds)))]
-
-
-def postings(nodes: DataFrame, options: SimHash, turn: Turn) -> DataFrame:
-    """key, node and root (null where it is the node): a key is a hash of a choice of positions with their bytes, of one of the fingerprints."""
-    number, choices = turn
+def postings(nodes: DataFrame, options: SimHash) -> DataFrame:
+    """key and node: a key is a hash of ``posted`` positions with their bytes, of one of the fingerprints."""
+    choices = list(combinations(range(options.first), options.posted))
     masks = np.array([sum(255 << 8 * b for b in c) for c in choices], np.uint64)
-    salts = np.random.default_rng(0).integers(1 << 63, size=len(masks), dtype=np.uint64)
+    salts = np.random.default_rng(0).integers(1 << 63, size=(len(options.seeds), len(masks)), dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                values = np.frombuffer(b"".join(batch.column("fp").to_pylist()), ">u8").reshape(batch.num_rows, -1)[:, number].astype(np.uint64)
-                keys = (values[:, None] & masks) + salts
+                values = rows_of_bytes(batch.column("fp")).view(">u8").astype(np.uint64)
+                keys = (values[:, :, None] & masks) + salts
                 keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
                 keys ^= keys >> np.uint64(27)
-                node, root = (np.repeat(batch.column(c).to_numpy(), len(masks)) for c in ("node", "root"))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(node), pa.array(root, mask=root == node)], ["key", "node", "root"])
+                node = np.repeat(batch.column("node").to_numpy(), salts.size)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(node)], ["key", "node"])
 
-    return map_arrow(nodes.select("node", "root", "fp"), run, "key long, node long, root long")
+    return map_arrow(nodes.select("node", "fp"), run, "key long, node long")
 
 
 def verified(x: np.ndarray, y: np.ndarray, options: SimHash) -> np.ndarray:
@@ -148,13 +142,12 @@ def verified(x: np.ndarray, y: np.ndarray, options: SimHash) -> np.ndarray:
     return (shared >= options.matches) & (np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= options.bits)
 
 
-def forest(fps: np.ndarray, root: np.ndarray, side: np.ndarray, options: SimHash) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what the links of one cell connect beyond the roots that are known.
+def forest(fps: np.ndarray, node: np.ndarray, side: np.ndarray, options: SimHash) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what the links of one cell connect.
 
     side: 0 and 1 for the two blocks, all 0 for a block with itself.
     """
-    label = np.unique(root, return_index=True)[1][np.unique(root, return_inverse=True)[1]]
-    known = label.copy()
+    label = np.arange(len(node))
     two = bool(side.any())
     for i in range(len(fps) - 1):
         later = np.arange(i + 1, len(fps))
@@ -167,82 +160,69 @@ def forest(fps: np.ndarray, root: np.ndarray, side: np.ndarray, options: SimHash
         if len(linked):
             met = np.unique(np.append(label[linked], label[i]))
             label[np.isin(label, met)] = met[0]
-    off = np.flatnonzero(label != known)
+    off = np.flatnonzero(label != np.arange(len(node)))
     return off, label[off]
 
 
+def small_pairs(begins: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs of groups with at most ``SMALL`` members, in a few large pieces."""
+    if not len(sizes):
+        return
+    place = np.concatenate([np.arange(n) for n in sizes])
+    left = np.repeat(sizes, sizes) - place
+    rows = np.repeat(begins, sizes) + place
+    for step in range(1, int(sizes.max())):
+        first = rows[left > step]
+        yield first, first + step
+
+
 def link_lists(cells: DataFrame, options: SimHash) -> DataFrame:
-    """a, b: roots that links of the cells connect. cells: key, lo, hi, side, root, fp, with each cell's rows together and in order."""
-
-    def groups(root: np.ndarray, fps: np.ndarray, side: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        small = sizes <= 16
-        place = np.concatenate([np.arange(n) for n in sizes[small]]) if small.any() else np.zeros(0, np.int64)
-        left = np.repeat(sizes[small], sizes[small]) - place
-        rows = np.repeat(begins[small], sizes[small]) + place
-        for step in range(1, 16):
-            first = rows[left > step]
-            first = first[root[first] != root[first + step]]
-            if len(first):
-                first = first[verified(fps[first], fps[first + step], options)]
-                yield root[first], root[first + step]
-        for begin, n in zip(begins[~small].tolist(), sizes[~small].tolist(), strict=True):
-            a, b = forest(fps[begin : begin + n], root[begin : begin + n], side[begin : begin + n], options)
-            yield root[begin + a], root[begin + b]
+    """a, b: nodes that links of the cells connect. cells: key, lo, hi, side, node, fp, with each cell's rows together and in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held
-            whole = pa.Table.from_batches(held).combine_chunks()
-            if not whole.num_rows:
-                return
-            key, lo, hi, side, root = (whole.column(c).to_numpy() for c in ("key", "lo", "hi", "side", "root"))
-            changed = (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
-            begins = np.concatenate(([0], np.flatnonzero(changed) + 1))
-            end = whole.num_rows if last else int(begins[-1])
-            held = [] if last else whole.slice(end).combine_chunks().to_batches()
-            begins = begins[begins < end]
-            if len(begins):
-                fps = np.frombuffer(b"".join(whole.column("fp").to_pylist()), np.uint8).reshape(whole.num_rows, -1)
-                seen: set[tuple[int, int]] = set()
-                for a, b in groups(root, fps, side, begins, np.diff(np.append(begins, end))):
-                    seen.update(zip(np.maximum(a, b).tolist(), np.minimum(a, b).tolist(), strict=True))
-                if seen:
-                    a, b = zip(*seen, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            held.append(batch)
-            if sum(x.num_rows for x in held) >= 50_000:
-                yield from flush(False)
-        if held:
-            yield from flush(True)
+        for part, begins, ends in whole_groups(batches, CELL):
+            node, side, fps = part.column("node").to_numpy(), part.column("side").to_numpy(), rows_of_bytes(part.column("fp"))
+            small = ends - begins <= SMALL
+            seen: set[tuple[int, int]] = set()
+
+            def add(a: np.ndarray, b: np.ndarray, seen=seen) -> None:
+                seen.update(zip(np.maximum(a, b).tolist(), np.minimum(a, b).tolist(), strict=True))
+
+            for i, j in small_pairs(begins[small], (ends - begins)[small]):
+                linked = verified(fps[i], fps[j], options)
+                add(node[i[linked]], node[j[linked]])
+            for i, j in zip(begins[~small].tolist(), ends[~small].tolist(), strict=True):
+                a, b = forest(fps[i:j], node[i:j], side[i:j], options)
+                add(node[i + a], node[i + b])
+            if seen:
+                a, b = zip(*seen, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return map_arrow(cells, run, "a long, b long")
 
 
-def links(nodes: DataFrame, options: SimHash, turn: Turn) -> DataFrame:
-    """a, b: links between roots of the nodes (columns node, root, fp) by one turn's index, enough of them for the components.
+def shared(posted: DataFrame) -> DataFrame:
+    """The postings of keys with two members or more.
 
-    Lists whose members have one root already are left out: they can't connect anything.
+    Members are counted by partial aggregation, and only lists that can form a pair are moved by their key; the join has no row order or group
+    behind it, so that adaptive execution splits a long list there.
     """
-    return link_lists(cells(postings(nodes, options, turn), nodes, options.block).drop("node"), options).distinct()
+    counted = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    return settle(posted.join(counted, "key"))
 
 
-def cells(posted: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
-    """key, lo, hi, node, side, root, fp: lists of the postings as cells of at most two blocks, each cell's rows together and in order."""
-    own, root = Window.partitionBy("key"), F.coalesce("root", "node")
-    counted = posted.withColumn("n", F.count(F.lit(1)).over(own))
-    lists = counted.withColumn("low", F.min(root).over(own)).withColumn("high", F.max(root).over(own)).where("n > 1 AND low < high")
-    parts = F.ceil(F.col("n") / block).cast("int")
-    lists = settle(lists.select("key", "node", parts.alias("parts")))
-    met = lists.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cell = met.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node")
-    cell = cell.join(nodes.select("node", "root", "fp"), "node")
-    order = ["key", "lo", "hi"]
-    together = cell.repartition(*order).sortWithinPartitions(*order, "node")
-    return together.select(*order, "node", "side", "root", "fp")
+def cells(members: DataFrame, block: int, budget: int = 8 << 20) -> DataFrame:
+    """Lists cut into cells of at most two blocks: the columns of ``members`` and lo, hi, side, each cell's rows together and in order.
+
+    members: key, node, root, weight (bytes), and others. A block has about ``block`` members and ``budget`` bytes; lists of one root are left out, as they can't connect anything.
+    """
+    lists = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("bytes"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    parts = F.ceil(F.greatest(F.col("n") / block, F.col("bytes") / budget)).cast("int")
+    met = members.join(lists.select("key", parts.alias("parts")), "key")
+    met = met.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    side = (F.col("own") > F.col("other")).cast("int").alias("side")
+    cell = met.select(*members.columns, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), side)
+    return cell.repartition(*CELL).sortWithinPartitions(*CELL, "node")
 
 
 def numbered(groups: DataFrame) -> DataFrame:
@@ -251,15 +231,13 @@ def numbered(groups: DataFrame) -> DataFrame:
 
 
 def rooted(nodes: DataFrame, options: SimHash) -> DataFrame:
-    """The nodes with the root of their component, one turn after the other."""
-    nodes = nodes.withColumn("root", F.col("node"))
-    before: DataFrame | None = None
-    for turn in turns(options):
-        found = components(links(nodes, options, turn), "a", "b").select(F.col("node").alias("root"), F.col("root").alias("new"))
-        nodes = settle(nodes.join(found, "root", "left").withColumn("root", F.coalesce("new", "root")).drop("new"))
-        discard(before)
-        before = nodes
-    return nodes
+    """The nodes with the root of their component."""
+    posted = shared(postings(nodes, options))
+    members = posted.join(nodes.select("node", "fp"), "node").select("key", "node", F.col("node").alias("root"), F.lit(0).alias("weight"), "fp")
+    found = components(link_lists(cells(members, options.block), options), "a", "b")
+    named = settle(nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    discard(posted)
+    return named
 
 
 def groups(docs: DataFrame, options: SimHash = SimHash()) -> DataFrame:
@@ -294,7 +272,7 @@ def keep_one(docs: DataFrame, options=SimHash()) -> DataFrame:
     nodes = numbered(marked.groupBy(F.col("__fp").alias("fp")).agg(F.min(rank).alias("best")))
     if alike:
         texts = marked.select(F.col("__row").alias("row"), F.col(f"`{names[at]}`").cast("binary").alias("text"))
-        named = near.rooted(nodes.withColumn("row", F.col("best.row")), texts, options)
+        named = near.rooted(nodes, texts, options)
     else:
         named = rooted(nodes, options)
     kept = named.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("__row"))

@@ -29,9 +29,7 @@ def shapes():
     yield [(-(1 << 62), 1 << 62), (7, -(1 << 62)), (7, 7), (7, -(1 << 62))]
 
 
-@pytest.mark.parametrize("few", [0, 10_000])
 @pytest.mark.parametrize("links", list(shapes()), ids=range(6))
-def test_components(spark, monkeypatch, links, few):
-    monkeypatch.setattr(graph, "FEW", few)
+def test_components(spark, links):
     got = graph.components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()
     assert sorted(map(tuple, got)) == plain(links)
