@@ -43,14 +43,21 @@ def _file_system(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
-def settle(df: DataFrame) -> DataFrame:
+#: Hadoop's local file system starts chmod processes for every part file and once more for its checksum file; these tables do without the latter.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+#: Rows of a part file, of tables whose rows are known to be few numbers each.
+PART_ROWS = 200_000
+
+
+def settle(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends here and a lost executor costs nothing before it.
 
+    rows: about how many there are, if that is known; then the last stage has a task for each ``PART_ROWS`` of them, at most as many as before.
     The table goes when the driver's JVM ends, or earlier by ``discard``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/spanveil-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(-(-rows // PART_ROWS) or 1)).write.options(**PLAIN_FILES).parquet(path)
     system, where = _file_system(spark, path)
     system.deleteOnExit(where)
     back = spark.read.schema(df.schema).parquet(path)

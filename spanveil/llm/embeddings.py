@@ -236,9 +236,9 @@ def links(vectors: DataFrame, options: Passes = Passes(), key: str = "vec_id", e
     valid = F.coalesce(F.col("label").isNotNull() & finite & F.exists("vector", lambda x: x != 0), F.lit(False))
     digest = F.when(valid, F.struct(F.xxhash64("label", "vector").alias("h"), F.xxhash64(F.lit(1), "vector", "label").alias("g")))
     data = data.withColumn("h", digest["h"]).withColumn("g", digest["g"])
-    # Equal vectors are one node; its number is its place in a table that is written once.
+    # Equal vectors are one node; it gets its number as the table is written.
     grouped = data.where(F.col("h").isNotNull()).groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first_id"), F.first("label").alias("label"), F.first("vector").alias("vector"))
-    nodes = settle(settle(grouped).withColumn("node", F.monotonically_increasing_id()))
+    nodes = settle(grouped.withColumn("node", F.monotonically_increasing_id()))
     pairs = candidates(placed(nodes.select("node", "h", "label", "vector"), options), options)
     edges = settle(verified(pairs, nodes.select("node", "label", "vector"), options.least))
     discard(pairs)

@@ -25,10 +25,10 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
-        large = settle(large)
+        large = settle(large, sign[0])
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        following = settle(small.select("e.u", "e.v").where(F.col("u") != F.col("v")).distinct())
+        following = settle(small.select("e.u", "e.v").where(F.col("u") != F.col("v")).distinct(), sign[0])
         discard(edges)
         discard(large)
         edges, was = following, sign

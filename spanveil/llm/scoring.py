@@ -1,25 +1,27 @@
-"""Masked pseudo-likelihood: a bidirectional window network, trained in numpy, predicts every word from both of its sides.
+"""Masked pseudo-likelihood: a bidirectional window network, trained in numpy, predicts every token from both of its sides.
 
-log p(word | both sides) = log softmax(network(three words on the left, three on the right))[class of the word] + log share of the word in its class.
+A document's score is the sum of log p(token | ``side`` tokens on the left, ``side`` on the right) over all of its tokens, each masked in turn.
 
-Words of the whole corpus are counted; the ``vocabulary`` most frequent ones fall into classes of about equal mass, all others into a few
-classes by a checksum of the word, with equal shares for the distinct words of such a class. So the probabilities of all words that occur add up to 1.
-A document's score is the sum over all of its words, each masked in turn.
+Tokens: the ``vocabulary`` most frequent words of the whole corpus are tokens; any other word is spelled as its UTF-8 bytes and an end sign. So every
+text is tokens of a closed set, and none is left out or pooled. The network is an embedding of the context tokens, a hidden layer, and a binary decision at
+each inner node of a Huffman tree over the tokens, built from their counts; the decisions on the way to a token give its probability,
+and those of all tokens add up to 1. Before training the decisions follow the counts, so training begins at the unigram model.
 
-Training is data-parallel. Every document gives each ``stride``-th of its words as a training window, so what training gathers grows with the corpus.
-The windows are written to the shared folder once. In a round each partition starts from the common parameters, goes through its windows by
-gradient steps, and returns its parameters; their mean, weighted by windows, is summed exactly as integers, so that reruns agree.
-The driver holds word counts of the vocabulary and one set of parameters, both of fixed size.
+Training is data-parallel and covers every token of every document once. A digest of its id and tokens gives a document a round, a shard and a place in it (so copies spread over the shards); the number
+of shards follows the number of tokens. In a round each shard starts from the common parameters and goes through its own tokens by gradient steps, in which the gradients of a
+token that occurs several times add up; its changed rows are then averaged with those of other shards that changed them too, summed exactly as integers. None of this
+depends on partitions: any layout of the same rows gives the same scores. The driver holds word counts of the vocabulary and one set of parameters, both of fixed size.
 
-Defined cases: a null, empty or wordless text has 0 words, score 0 and null means; repeated rows stay repeated; a null doc_id stays null; an empty table gives no rows; other columns are not
-read.
+Defined cases: a null, empty or wordless text has 0 words, score 0 and null means; repeated rows stay repeated and score alike; ties of equally frequent words fall to the
+smaller word; a null doc_id stays null; an empty table gives no rows; other columns are not read; a very long text is read whole, at two bytes a token, and scored in pieces that see
+across their edges.
 """
 
 from __future__ import annotations
 
-import zlib
+import heapq
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,61 +29,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, settle, slices
+from .common import discard, map_arrow, settle, slices
 
 #: ASCII signs and white space part words; letters are lowered and bytes of other characters stay.
 PARTING = bytes(32 if b < 128 and not chr(b).isalnum() else b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Tokens that spell: a byte each, and the end of a spelled word.
+SPELLING = 257
 UNIT = 1 << 20
-#: Parameters in a row of a partition's answer.
-CHUNK = 4096
 
 
 @dataclass(frozen=True)
 class Scoring:
-    vocabulary: int = 8192
-    classes: int = 64
-    rare: int = 8
+    vocabulary: int = 16384
     side: int = 3
     width: int = 16
     hidden: int = 32
-    stride: int = 16
-    rounds: int = 3
-    step: float = 1.0
-    batch: int = 256
+    #: Shares of the documents that train in each round; their sum is 1.
+    rounds: tuple[float, ...] = (0.125, 0.375, 0.5)
+    #: Tokens of a shard, of a stretch whose order is mixed, and of a gradient step.
+    shard: int = 1 << 21
+    stretch: int = 1 << 16
+    batch: int = 1024
+    step: float = 0.1
     seed: int = 11
 
 
-def tokens(text: bytes | None) -> list[bytes]:
+def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(PARTING).split()
 
 
-class Vocabulary(dict):
-    """Words to numbers: frequent words first, then the classes of rare words."""
-
-    def __init__(self, words: list[bytes], rare: int):
-        super().__init__(zip(words, range(len(words)), strict=True))
-        self.frequent, self.rare = len(words), rare
-
-    def __missing__(self, word: bytes) -> int:
-        return self.frequent + zlib.crc32(word) % self.rare
-
-    @property
-    def pad(self) -> int:
-        return self.frequent + self.rare
-
-    def __reduce__(self):
-        return Vocabulary, (list(self), self.rare)
-
-
-@dataclass(frozen=True)
-class Shares:
-    """Class and log share in its class of each word number."""
-
-    group: np.ndarray
-    log_share: np.ndarray
-    classes: int
-
-
 def word_counts(texts: DataFrame) -> DataFrame:
     """word, n: of all words of all documents; counted on the executors before they are shuffled."""
 
@@ -90,8 +66,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
         out = lambda: pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
         for batch in slices(batches, "text"):
             for text in batch.column("text").to_pylist():
-                found.update(tokens(text))
-            if len(found) > 300_000:
+                found.update(words_of(text))
+            if len(found) > 200_000:
                 yield out()
                 found.clear()
         yield out()
@@ -99,186 +75,325 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return map_arrow(texts, run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(counted: DataFrame, options: Scoring) -> tuple[Vocabulary, Shares]:
+def spelled_counts(words: DataFrame) -> np.ndarray:
+    """How often each spelling token occurs in the words, n times each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SPELLING, np.int64)
+        for batch in batches:
+            for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                total[:256] += n * np.bincount(np.frombuffer(word, np.uint8), minlength=256)
+                total[256] += n
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SPELLING, dtype=np.int32)), pa.array(total)], ["token", "n"])
+
+    out = np.zeros(SPELLING, np.int64)
+    for row in map_arrow(words.select("word", "n"), run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():
+        out[row["token"]] = row["n"]
+    return out
+
+
+def vocabulary(counted: DataFrame, options: Scoring) -> tuple[list[bytes], np.ndarray]:
+    """The frequent words, and the counts of all tokens: of these words, then of the spelling ones."""
     top = counted.orderBy(F.desc("n"), "word").limit(options.vocabulary).collect()  # bounded by the vocabulary
-    words, numbers = [bytes(r["word"]) for r in top], np.array([r["n"] for r in top], np.float64)
-    known = Vocabulary(words, options.rare)
-    least = (int(numbers[-1]), words[-1]) if words else (0, b"")
-    beyond = counted.where((F.col("n") < least[0]) | ((F.col("n") == least[0]) & (F.col("word") > F.lit(least[1]))))
-    kinds = {r["k"]: r["kinds"] for r in beyond.groupBy((F.crc32("word") % options.rare).alias("k")).agg(F.count(F.lit(1)).alias("kinds")).collect()}
-    group = np.zeros(known.pad + 1, np.int64)
-    log_share = np.zeros(known.pad + 1)
-    if words:
-        mass = np.cumsum(numbers) - numbers / 2
-        group[: len(words)] = np.minimum(mass / numbers.sum() * options.classes, options.classes - 1).astype(np.int64)
-        held = np.bincount(group[: len(words)], numbers, options.classes)
-        log_share[: len(words)] = np.log(numbers / held[group[: len(words)]])
-    for k in range(options.rare):
-        group[len(words) + k] = options.classes + k
-        log_share[len(words) + k] = -np.log(max(1, kinds.get(k, 1)))
-    return known, Shares(group, log_share, options.classes + options.rare)
+    if not top:
+        return [], np.zeros(SPELLING, np.int64)
+    words, least = [bytes(r["word"]) for r in top], top[-1]
+    others = counted.where((F.col("n") < least["n"]) | ((F.col("n") == least["n"]) & (F.col("word") > F.lit(bytes(least["word"])))))
+    return words, np.concatenate(([r["n"] for r in top], spelled_counts(others)))
+
+
+class Encoder(dict):
+    """Words to token numbers; a word beyond the vocabulary is spelled."""
+
+    def __init__(self, words: list[bytes]):
+        super().__init__(zip(words, range(len(words)), strict=True))
+
+    def tokens(self, words: list[bytes]) -> np.ndarray:
+        get, base, out = self.get, len(self), []
+        for word in words:
+            token = get(word)
+            if token is None:
+                out.extend([base + b for b in word])
+                out.append(base + 256)
+            else:
+                out.append(token)
+        return np.array(out, np.uint16)
+
+
+def encoded(docs: DataFrame, words: list[bytes]) -> DataFrame:
+    """doc_id, n_words, n (tokens), ids (two bytes a token)."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(shared.value)
+        for batch in slices(batches, "text", 2 << 20):
+            split = [words_of(t) for t in batch.column("text").to_pylist()]
+            ids = [encoder.tokens(s) for s in split]
+            columns = [batch.column("doc_id"), pa.array(map(len, split), pa.int64()), pa.array(map(len, ids), pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n", "ids"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return map_arrow(texts, run, "doc_id long, n_words long, n long, ids binary")
+
+
+class Tree:
+    """A Huffman tree: the way to token t is ``depth[t]`` decisions from ``begin[t]`` on, at ``node`` with ``sign`` 1 or -1."""
+
+    def __init__(self, numbers: np.ndarray):
+        weights = (numbers + 1).tolist()
+        tokens = len(weights)
+        heap = [(w, t) for t, w in enumerate(weights)]
+        heapq.heapify(heap)
+        up, side = [0] * (2 * tokens - 1), [0] * (2 * tokens - 1)
+        bias = np.zeros(tokens - 1)
+        for inner in range(tokens, 2 * tokens - 1):
+            (small, a), (large, b) = heapq.heappop(heap), heapq.heappop(heap)
+            up[a], up[b], side[a], side[b] = inner, inner, 1, -1
+            bias[inner - tokens] = np.log(small / large)
+            heapq.heappush(heap, (small + large, inner))
+        nodes, signs, self.depth = [], [], np.zeros(tokens, np.int64)
+        for token in range(tokens):
+            at = token
+            while at != 2 * tokens - 2:
+                nodes.append(up[at] - tokens)
+                signs.append(side[at])
+                at = up[at]
+                self.depth[token] += 1
+        self.begin = np.cumsum(self.depth) - self.depth
+        self.node, self.sign, self.bias = np.array(nodes, np.uint16), np.array(signs, np.float32), bias
+
+    def ways(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each decision of the tokens its node, its sign and its token's place; and where each token's first decision is."""
+        depth = self.depth[tokens]
+        first = np.cumsum(depth) - depth
+        at = np.arange(int(depth.sum())) + np.repeat(self.begin[tokens] - first, depth)
+        return self.node[at], self.sign[at], np.repeat(np.arange(len(tokens)), depth), first
 
 
 def contexts(ids: np.ndarray, side: int, pad: int) -> np.ndarray:
-    """For each word the numbers of ``side`` words on the left and on the right."""
+    """For each token the numbers of ``side`` tokens on the left and on the right."""
     wide = np.concatenate((np.full(side, pad), ids, np.full(side, pad)))
     n = len(ids)
     return np.stack([wide[k : k + n] for k in range(2 * side + 1) if k != side], axis=1)
 
 
-def windows(texts: DataFrame, known: Vocabulary, options: Scoring) -> DataFrame:
-    """data: blocks of training windows, each the contexts' and then the word's numbers as 16-bit values."""
-    side, stride = options.side, options.stride
-    shared = texts.sparkSession.sparkContext.broadcast(known)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for batch in slices(batches, "text"):
-            blocks = []
-            for text in batch.column("text").to_pylist():
-                ids = np.array([known[w] for w in tokens(text)], np.int64)
-                if len(ids):
-                    at = np.arange(zlib.crc32(text) % min(stride, len(ids)), len(ids), stride)
-                    blocks.append(np.column_stack((contexts(ids, side, known.pad)[at], ids[at])).astype(np.uint16))
-            if blocks:
-                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(blocks).tobytes()], pa.binary())], ["data"])
-
-    return map_arrow(texts, run, "data binary")
+def added(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows and the sums of their values."""
+    order = np.argsort(rows, kind="stable")
+    ordered = rows[order]
+    first = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1))
+    return ordered[first], np.add.reduceat(values[order], first)
 
 
 class Network:
-    """Embeddings of the context, a hidden layer, and class scores."""
-
-    def __init__(self, words: int, classes: int, options: Scoring):
-        draw = np.random.default_rng(options.seed)
-        places, width, hidden = 2 * options.side, options.width, options.hidden
-        self.shapes = [(words, width), (places * width, hidden), (hidden,), (hidden, classes), (classes,)]
-        self.parts = [(draw.standard_normal(s) * (0.3 if i == 0 else 1 / np.sqrt(s[0]) if len(s) == 2 else 0)).astype(np.float32) for i, s in enumerate(self.shapes)]
+    """Parts: embeddings of the context; weights and bias of the hidden layer; of each node its weights and, as the last column, its bias."""
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in self.parts])
+    TABLES = (0, 3)
 
-    def load(self, flat: np.ndarray) -> None:
-        at = 0
-        for i, shape in enumerate(self.shapes):
-            n = int(np.prod(shape))
-            self.parts[i] = flat[at : at + n].reshape(shape).astype(np.float32)
-            at += n
-
-    def learn(self, context: np.ndarray, target: np.ndarray, step: float) -> float:
-        """One gradient step on the mean cross-entropy of a batch; of a word that stands in several windows one counts."""
-        e, w, b, u, c = self.parts
-        n = len(target)
-        x = e[context].reshape(n, -1)
-        h = np.tanh(x @ w + b)
-        p = np.exp((z := h @ u + c) - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        rows = np.arange(n)
-        loss = -float(np.log(p[rows, target] + 1e-30).mean())
-        p[rows, target] -= 1
-        back = (p @ u.T) * (1 - h * h)
-        u -= step / n * (h.T @ p)
-        c -= step / n * p.sum(axis=0)
-        gx = back @ w.T
-        w -= step / n * (x.T @ back)
-        b -= step / n * back.sum(axis=0)
-        e[context.ravel()] -= step / 8 * np.clip(gx.reshape(-1, e.shape[1]), -1, 1)
+    def __init__(self, tree: Tree, options: Scoring):
+        self.tree, self.options, self.pad = tree, options, len(tree.depth)
+        draw = np.random.default_rng(options.seed)
+        inputs = 2 * options.side * options.width
+        embedding = 0.5 * draw.standard_normal((self.pad + 1, options.width))
+        weights = draw.standard_normal((inputs, options.hidden)) / np.sqrt(inputs)
+        nodes = np.concatenate((np.zeros((self.pad - 1, options.hidden)), tree.bias[:, None]), axis=1)
+        self.parts = [x.astype(np.float32) for x in (embedding, weights, np.zeros(options.hidden), nodes)]
+        self.begin()
+
+    def begin(self) -> None:
+        """Nothing has been learnt since: squares of gradients, by row in the tables, and which rows have changed."""
+        self.squares = [np.full(len(p) if i in self.TABLES else p.shape, 0.1, np.float32) for i, p in enumerate(self.parts)]
+        self.changed = [np.zeros(len(self.parts[i]), bool) for i in self.TABLES]
+
+    def hidden(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        e, w, b, _ = self.parts
+        x = e[context].reshape(len(context), -1)
+        return x, np.tanh(x @ w + b)
+
+    def gradients(self, context: np.ndarray, target: np.ndarray) -> tuple[float, list]:
+        """The loss summed over a batch, and its gradients: (rows, values) of the tables, arrays of the other parts."""
+        e, w, _, v = self.parts
+        x, h = self.hidden(context)
+        node, sign, row, first = self.tree.ways(target)
+        own, known = v[node], h[row]
+        logit = sign * (np.einsum("ij,ij->i", own[:, :-1], known) + own[:, -1])
+        loss = float(np.logaddexp(0, -logit.astype(np.float64)).sum())
+        pull = -sign / (1 + np.exp(np.minimum(logit, 60)))
+        back = np.add.reduceat(pull[:, None] * own[:, :-1], first) * (1 - h * h)
+        inward = (back @ w.T).reshape(-1, e.shape[1])
+        outward = np.concatenate((pull[:, None] * known, pull[:, None]), axis=1)
+        return loss, [added(context.ravel(), inward), x.T @ back, back.sum(axis=0), added(node, outward)]
+
+    def learn(self, context: np.ndarray, target: np.ndarray) -> float:
+        """A step against the gradients, each divided by the root of the squares so far (of a row of a table: their mean)."""
+        loss, found = self.gradients(context, target)
+        for i, (part, squares, gradient) in enumerate(zip(self.parts, self.squares, found, strict=True)):
+            if i in self.TABLES:
+                rows, values = gradient
+                squares[rows] += (values * values).mean(axis=1)
+                part[rows] -= self.options.step * values / np.sqrt(squares[rows])[:, None]
+                self.changed[self.TABLES.index(i)][rows] = True
+            else:
+                squares += gradient * gradient
+                part -= self.options.step / 10 * gradient / np.sqrt(squares)
         return loss
 
-
-def train(blocks: DataFrame, words: int, shares: Shares, options: Scoring) -> Network:
-    network = Network(words, shares.classes, options)
-    context = blocks.sparkSession.sparkContext
-    columns = 2 * options.side + 1
-    for turn in range(options.rounds):
-        start = context.broadcast((network.flat(), shares.group))
-        step = options.step / (1 + turn)
-
-        def run(batches: Iterator[pa.RecordBatch], start=start, step=step) -> Iterator[pa.RecordBatch]:
-            flat, group = start.value
-            own = Network(words, shares.classes, options)
-            own.load(flat)
-            seen = 0
-            for batch in batches:
-                for data in batch.column("data"):
-                    block = np.frombuffer(data.as_buffer(), np.uint16).reshape(-1, columns).astype(np.int64)
-                    block = block[np.random.default_rng(options.seed).permutation(len(block))]
-                    for at in range(0, len(block), options.batch):
-                        part = block[at : at + options.batch]
-                        own.learn(part[:, :-1], group[part[:, -1]], step * len(part) / options.batch)
-                    seen += len(block)
-            if seen:
-                values = np.rint(np.clip(own.flat(), -64, 64).astype(np.float64) * UNIT).astype(np.int64) * seen
-                values = np.append(values, seen)
-                for at in range(0, len(values), CHUNK):
-                    part = values[at : at + CHUNK]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part), dtype=np.int32)), pa.array(part)], ["place", "value"])
-
-        total = np.zeros(sum(int(np.prod(s)) for s in network.shapes) + 1)
-        summed = map_arrow(blocks, run, "place int, value long").groupBy("place").agg(F.sum(F.col("value").cast("decimal(20,0)")).alias("value"))
-        for batch in summed.select("place", F.col("value").cast("double").alias("value")).toArrow().to_batches():
-            total[batch.column("place").to_numpy()] = batch.column("value").to_numpy()
+    def answer(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places and values of all numbers that have changed, as integers."""
+        places, values, base, tables = [], [], 0, iter(self.changed)
+        for i, part in enumerate(self.parts):
+            width = part.shape[1] if i in self.TABLES else 1
+            rows = np.flatnonzero(next(tables)) if i in self.TABLES else np.arange(part.size)
+            places.append((base + rows[:, None] * width + np.arange(width)).ravel())
+            values.append(np.rint(np.clip(part.reshape(-1, width)[rows], -64, 64).astype(np.float64) * UNIT).astype(np.int64).ravel())
+            base += part.size
+        return np.concatenate(places), np.concatenate(values)
+
+    def take(self, places: np.ndarray, values: np.ndarray) -> None:
+        flat = np.concatenate([p.ravel() for p in self.parts])
+        flat[places] = values
+        at = 0
+        for i, part in enumerate(self.parts):
+            self.parts[i] = flat[at : at + part.size].reshape(part.shape).copy()
+            at += part.size
+
+
+def dealt(coded: DataFrame, options: Scoring) -> tuple[DataFrame, list[int]]:
+    """turn, shard, place and ids of each document with tokens, and the number of shards of each round."""
+    edges = np.cumsum(options.rounds)[:-1].tolist()
+    drawn = F.pmod(F.xxhash64(F.lit("round"), "doc_id", "ids"), F.lit(1 << 30)) / float(1 << 30)
+    turn = sum(((drawn >= e).cast("int") for e in edges), F.lit(0)).alias("turn")
+    own = coded.where("n > 0").select("doc_id", "ids", "n", turn)
+    sizes = {r["turn"]: r["n"] for r in own.groupBy("turn").agg(F.sum("n").alias("n")).collect()}  # a row a round
+    shards = [-(-sizes.get(k, 0) // options.shard) for k in range(len(options.rounds))]
+    count = F.element_at(F.array(*[F.lit(max(1, s)) for s in shards]), F.col("turn") + 1)
+    return own.select("turn", F.pmod(F.xxhash64(F.lit("shard"), "doc_id", "ids"), count).alias("shard"), F.xxhash64("doc_id", "ids").alias("place"), "ids"), shards
+
+
+def stretches(documents: Iterator[np.ndarray], options: Scoring, pad: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Contexts and tokens of the batches of a shard: every ``stretch`` tokens are mixed and then cut."""
+    held, count = [], 0
+
+    def cut(n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        nonlocal held, count
+        whole = np.concatenate(held)
+        held, count = [whole[n:]], len(whole) - n
+        mixed = whole[:n][np.random.default_rng(options.seed).permutation(n)]
+        for at in range(0, n, options.batch):
+            yield mixed[at : at + options.batch, :-1], mixed[at : at + options.batch, -1]
+
+    for ids in documents:
+        for at in range(0, len(ids), options.stretch):  # a long document comes in pieces, with what stands beside them
+            left, right = max(0, at - options.side), at + options.stretch + options.side
+            piece = contexts(ids[left:right], options.side, pad)[at - left : at - left + options.stretch]
+            held.append(np.column_stack((piece, ids[at : at + options.stretch])))
+            count += len(piece)
+            while count >= options.stretch:
+                yield from cut(options.stretch)
+    if count:
+        yield from cut(count)
+
+
+def train(coded: DataFrame, numbers: np.ndarray, options: Scoring) -> Network:
+    tree = Tree(numbers)
+    network = Network(tree, options)
+    context = coded.sparkSession.sparkContext
+    documents, shards = dealt(coded, options)
+    for turn, count in enumerate(shards):
+        if not count:
+            continue
+        start = context.broadcast((numbers, network.parts))
+
+        def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
+            numbers, parts = start.value
+            own = None
+            for shard in by_shard(batches):
+                own = own or Network(Tree(numbers), options)
+                own.parts = [p.copy() for p in parts]
+                own.begin()
+                for x, y in stretches(shard, options, own.pad):
+                    own.learn(x, y)
+                places, values = own.answer()
+                for at in range(0, len(places), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(places[at : at + (1 << 16)].astype(np.int32)), pa.array(values[at : at + (1 << 16)])], ["place", "value"])
+
+        mine = documents.where(F.col("turn") == turn).select("shard", "place", "ids")
+        mine = mine.repartition("shard").sortWithinPartitions("shard", "place", "ids")
+        summed = map_arrow(mine, run, "place int, value long").groupBy("place").agg((F.sum("value") / F.count(F.lit(1)) / UNIT).alias("value"))
+        found = summed.toArrow()  # bounded by the parameters
+        network.take(found.column("place").to_numpy(), found.column("value").to_numpy())
         start.unpersist()
-        if not total[-1]:
-            break
-        network.load(total[:-1] / total[-1] / UNIT)
     return network
 
 
+def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[np.ndarray]]:
+    """The documents of each shard, one shard after the other; a shard is read as it trains."""
+    rows = ((s, ids) for b in batches for s, ids in zip(b.column("shard").to_pylist(), b.column("ids"), strict=True))
+    row = next(rows, None)
+
+    def documents(shard: int) -> Iterator[np.ndarray]:
+        nonlocal row
+        while row is not None and row[0] == shard:
+            yield np.frombuffer(row[1].as_buffer(), np.uint16).astype(np.int64)
+            row = next(rows, None)
+
+    while row is not None:
+        yield documents(row[0])
+
+
 class Scorer:
-    """The trained model with the first layer's products tabulated for each word and place."""
-
-    def __init__(self, network: Network, shares: Shares, options: Scoring):
-        e, w, self.b, self.u, self.c = network.parts
-        width = options.width
-        self.tables = [np.ascontiguousarray(e @ w[k * width : (k + 1) * width]) for k in range(2 * options.side)]
-        self.shares, self.side = shares, options.side
-
-    def log_probabilities(self, ids: np.ndarray, pad: int) -> np.ndarray:
-        out = np.empty(len(ids))
-        step, side = 4096, self.side
-        wide = np.concatenate((np.full(side, pad), ids, np.full(side, pad)))
-        for at in range(0, len(ids), step):
-            own = ids[at : at + step]
-            n = len(own)
-            h = np.repeat(self.b[None], n, axis=0)
-            for k, table in zip((k for k in range(2 * side + 1) if k != side), self.tables, strict=True):
-                h += table[wide[at + k : at + k + n]]
+    """The trained model with the first layer's products tabulated for each token and place."""
+
+    def __init__(self, network: Network):
+        e, w, self.b, v = network.parts
+        self.side, width, self.tree, self.pad = network.options.side, network.options.width, network.tree, network.pad
+        self.tables = [np.ascontiguousarray(e @ w[k * width : (k + 1) * width]) for k in range(2 * self.side)]
+        self.weights, self.bias = np.ascontiguousarray(v[:, :-1]), v[:, -1].astype(np.float64)
+
+    def log_probabilities(self, texts: Sequence[np.ndarray]) -> list[float]:
+        """The sum of each text's log-probabilities. Rows do not meet in any product, so that texts beside each other don't matter."""
+        gap = np.full(self.side, self.pad)
+        wide = np.concatenate([gap, *(x for t in texts for x in (t, gap))])
+        size = np.array([len(t) for t in texts])
+        begin = np.cumsum(size + self.side) - size
+        at = np.concatenate([np.arange(b, b + n) for b, n in zip(begin, size, strict=True)])
+        out = np.empty(len(at))
+        for first in range(0, len(at), 8192):
+            own = at[first : first + 8192]
+            h = np.repeat(self.b[None], len(own), axis=0)
+            for k, table in zip((k for k in range(-self.side, self.side + 1) if k), self.tables, strict=True):
+                h += table[wide[own + k]]
             np.tanh(h, out=h)
-            z = h @ self.u
-            z += self.c
-            group = self.shares.group[own]
-            z -= z.max(axis=1, keepdims=True)
-            picked = z[np.arange(n), group].astype(np.float64)
-            np.exp(z, out=z)
-            out[at : at + n] = picked - np.log(z.sum(axis=1)) + self.shares.log_share[own]
-        return out
+            node, sign, row, begins = self.tree.ways(wide[own])
+            logit = sign * (np.einsum("ij,ij->i", self.weights[node], h[row]) + self.bias[node])
+            out[first : first + 8192] = -np.add.reduceat(np.logaddexp(0, -logit), begins)
+        sums = np.concatenate(([0.0], np.cumsum(size)))
+        return [float(out[int(a) : int(b)].sum()) for a, b in zip(sums[:-1], sums[1:], strict=True)]
 
 
 SCORES = "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double, perplexity double"
 
 
 def score(docs: DataFrame, options: Scoring = Scoring()) -> DataFrame:
-    """The pseudo-log-likelihood of each document under a model of all documents."""
-    texts = docs.select(F.col("text").cast("binary").alias("text"))
-    counted = settle(word_counts(texts))
-    known, shares = vocabulary(counted, options)
-    blocks = settle(windows(texts, known, options))
-    network = train(blocks, known.pad + 1, shares, options)
-    model = docs.sparkSession.sparkContext.broadcast((known, network, shares))
+    """The pseudo-log-likelihood of each document under a model of all documents; means and perplexities are by word."""
+    counted = settle(word_counts(docs.select(F.col("text").cast("binary").alias("text"))))
+    words, numbers = vocabulary(counted, options)
+    discard(counted)
+    coded = settle(encoded(docs, words))
+    network = train(coded, numbers, options)
+    model = docs.sparkSession.sparkContext.broadcast((numbers, network.parts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, network, shares = model.value
-        scorer = Scorer(network, shares, options)
-        for batch in slices(batches, "text"):
-            words, sums = [], []
-            split = [tokens(t) for t in batch.column("text").to_pylist()]
-            ids = [np.array([known[w] for w in s], np.int64) for s in split]
-            for x in ids:
-                words.append(len(x))
-                sums.append(round(float(scorer.log_probabilities(x, known.pad).sum()), 4))
-            means = [round(s / n, 6) if n else None for s, n in zip(sums, words, strict=True)]
+        numbers, parts = model.value
+        known = Network(Tree(numbers), options)
+        known.parts = parts
+        scorer = Scorer(known)
+        for batch in slices(batches, "ids", 1 << 17):
+            texts = [np.frombuffer(x.as_buffer(), np.uint16).astype(np.int64) for x in batch.column("ids")]
+            n_words = batch.column("n_words").to_pylist()
+            sums = [round(x, 4) for x in scorer.log_probabilities(texts)]
+            means = [round(s / n, 6) if n else None for s, n in zip(sums, n_words, strict=True)]
             perplexity = [None if m is None else round(float(np.exp(min(-m, 700.0))), 4) for m in means]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words, pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64()), pa.array(perplexity, pa.float64())], [x.split()[0] for x in SCORES.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(sums, pa.float64()), pa.array(means, pa.float64()), pa.array(perplexity, pa.float64())], [x.split()[0] for x in SCORES.split(", ")])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), run, SCORES)
+    return map_arrow(coded.select("doc_id", "n_words", "ids"), run, SCORES)

@@ -226,8 +226,8 @@ def cells(members: DataFrame, block: int, budget: int = 8 << 20) -> DataFrame:
 
 
 def numbered(groups: DataFrame) -> DataFrame:
-    """With a column node: a row's place in a table that is written once."""
-    return settle(settle(groups).withColumn("node", F.monotonically_increasing_id()))
+    """With a column node: a number that a row gets as the table is written."""
+    return settle(groups.withColumn("node", F.monotonically_increasing_id()))
 
 
 def rooted(nodes: DataFrame, options: SimHash) -> DataFrame:

@@ -8,78 +8,188 @@ from spanveil.llm import scoring
 
 from .helpers import corpus, documents, empty, rows_of, widened
 
-SMALL = scoring.Scoring(vocabulary=12, classes=4, rare=3, stride=1, batch=32)
-
-
-def test_vocabulary_and_shares(spark):
+SMALL = scoring.Scoring(vocabulary=12, width=4, hidden=5, side=2, shard=900, stretch=200, batch=32)
+
+
+def plain_tokens(text, words):
+    """Numbers of words, and of the bytes and the end of spelled words."""
+    out = []
+    for word in scoring.words_of((text or "").encode()):
+        out += [words.index(word)] if word in words else [len(words) + b for b in word] + [len(words) + 256]
+    return out
+
+
+def context_of(ids, i, side, pad):
+    return [ids[j] if 0 <= j < len(ids) else pad for j in [*range(i - side, i), *range(i + 1, i + side + 1)]]
+
+
+def way(tree, token):
+    begin = int(tree.begin[token])
+    return [(int(tree.node[k]), float(tree.sign[k])) for k in range(begin, begin + int(tree.depth[token]))]
+
+
+def log_probability(parts, tree, context, token):
+    e, w, b, v = (p.astype(np.float64) for p in parts)
+    h = np.tanh(np.concatenate([e[k] for k in context]) @ w + b)
+    return -sum(np.log1p(np.exp(-s * (v[n, :-1] @ h + v[n, -1]))) for n, s in way(tree, token))
+
+
+def plain_gradients(parts, tree, batch):
+    """Token by token and decision by decision."""
+    e, w, b, v = parts
+    found = [np.zeros_like(p) for p in parts]
+    width = e.shape[1]
+    for context, token in batch:
+        x = np.concatenate([e[k] for k in context])
+        h = np.tanh(x @ w + b)
+        back = np.zeros_like(h)
+        for n, s in way(tree, token):
+            pull = -s / (1 + np.exp(s * (v[n, :-1] @ h + v[n, -1])))
+            found[3][n, :-1] += pull * h
+            found[3][n, -1] += pull
+            back += pull * v[n, :-1]
+        back *= 1 - h * h
+        found[1] += np.outer(x, back)
+        found[2] += back
+        for k, token_beside in enumerate(context):
+            found[0][token_beside] += (w @ back)[k * width : (k + 1) * width]
+    return found
+
+
+def plain_training(rows, sizes, numbers, options):
+    """Rounds, shards and steps one after the other. rows: turn, shard, place, token numbers."""
+    network = scoring.Network(scoring.Tree(numbers), options)
+    parts = [p.astype(np.float64) for p in network.parts]
+    tables = (0, 3)
+    for turn, count in enumerate(sizes):
+        ends, changes = [], []
+        for shard in range(count):
+            own = [p.copy() for p in parts]
+            squares = [np.full(len(p) if i in tables else p.shape, 0.1) for i, p in enumerate(own)]
+            touched = [np.zeros(len(p), bool) for p in own]
+            stream = []
+            for _, _, _, ids in sorted((r for r in rows if r[:2] == (turn, shard)), key=lambda r: (r[2], np.array(r[3], np.uint16).tobytes())):
+                stream += [(context_of(ids, i, options.side, network.pad), x) for i, x in enumerate(ids)]
+            for at in range(0, len(stream), options.stretch):
+                stretch = stream[at : at + options.stretch]
+                mixed = [stretch[k] for k in np.random.default_rng(options.seed).permutation(len(stretch))]
+                for k in range(0, len(mixed), options.batch):
+                    batch = mixed[k : k + options.batch]
+                    for i, g in enumerate(plain_gradients(own, network.tree, batch)):
+                        if i in tables:
+                            met = {n for _, t in batch for n, _ in way(network.tree, t)} if i else {x for c, _ in batch for x in c}
+                            for r in met:
+                                squares[i][r] += (g[r] ** 2).mean()
+                                own[i][r] -= options.step * g[r] / np.sqrt(squares[i][r])
+                                touched[i][r] = True
+                        else:
+                            squares[i] += g * g
+                            own[i] -= options.step / 10 * g / np.sqrt(squares[i])
+            if stream:
+                ends.append(own)
+                changes.append(touched)
+        for i in range(4):
+            if i in tables:
+                for r in range(len(parts[i])):
+                    changed = [e[i][r] for e, c in zip(ends, changes, strict=True) if c[i][r]]
+                    if changed:
+                        parts[i][r] = np.mean(changed, axis=0)
+            elif ends:
+                parts[i] = np.mean([e[i] for e in ends], axis=0)
+    return parts
+
+
+def prepared(spark, docs, options):
+    counted = scoring.settle(scoring.word_counts(docs.selectExpr("cast(text as binary) as text")))
+    words, numbers = scoring.vocabulary(counted, options)
+    return words, numbers, scoring.settle(scoring.encoded(docs, words))
+
+
+def test_tokens_cover_every_text(spark):
     rows = corpus(40)
-    counted = scoring.word_counts(documents(spark, rows).selectExpr("cast(text as binary) as text"))
-    want = Counter(w for r in rows for w in scoring.tokens((r[1] or "").encode()))
-    assert {bytes(r["word"]): r["n"] for r in counted.collect()} == want
-    known, shares = scoring.vocabulary(counted, SMALL)
-    assert list(known) == [w for w, _ in sorted(want.items(), key=lambda x: (-x[1], x[0]))[:12]]
-    mass = np.zeros(shares.classes)
-    for word in want:
-        mass[shares.group[known[word]]] += np.exp(shares.log_share[known[word]])
-    used = mass > 0
-    assert mass[used] == pytest.approx(np.ones(used.sum()))  # the words of a class share all of it
-
-
-def plain_scores(ids, network, shares, pad, side):
-    """Word by word, without tables."""
-    e, w, b, u, c = (p.astype(np.float64) for p in network.parts)
-    total = 0.0
-    for i, own in enumerate(ids):
-        context = [ids[j] if 0 <= j < len(ids) else pad for j in [*range(i - side, i), *range(i + 1, i + side + 1)]]
-        z = np.tanh(np.concatenate([e[k] for k in context]) @ w + b) @ u + c
-        total += z[shares.group[own]] - np.log(np.exp(z).sum()) + shares.log_share[own]
-    return total
-
-
-def test_scores_equal_plain_version(spark):
+    words, numbers, coded = prepared(spark, documents(spark, rows), SMALL)
+    want = Counter(w for r in rows for w in scoring.words_of((r[1] or "").encode()))
+    assert words == [w for w, _ in sorted(want.items(), key=lambda x: (-x[1], x[0]))[:12]]
+    tokens = Counter()
+    for r in coded.collect():
+        ids = np.frombuffer(r["ids"], np.uint16).tolist()
+        assert len(ids) == r["n"]
+        tokens.update(ids)
+    assert sorted(tokens.elements()) == sorted(x for r in rows for x in plain_tokens(r[1], words))
+    assert {k: n for k, n in enumerate(numbers.tolist()) if n} == tokens
+
+
+def test_probabilities_of_all_tokens_add_up():
+    draw = np.random.default_rng(3)
+    numbers = draw.integers(0, 50, 40)
+    network = scoring.Network(scoring.Tree(numbers), SMALL)
+    context = [1, 4, 40, 7]
+    first = np.exp([log_probability(network.parts, network.tree, context, t) for t in range(40)])
+    assert first == pytest.approx((numbers + 1) / (numbers + 1).sum(), rel=1e-5)  # training begins at the counts
+    network.parts[3] += draw.standard_normal(network.parts[3].shape).astype(np.float32)
+    assert np.exp([log_probability(network.parts, network.tree, context, t) for t in range(40)]).sum() == pytest.approx(1)
+
+
+def test_gradients_of_repeated_tokens_add_up():
+    draw = np.random.default_rng(0)
+    network = scoring.Network(scoring.Tree(draw.integers(0, 9, 8)), SMALL)
+    network.parts = [(p + 0.3 * draw.standard_normal(p.shape)).astype(np.float64) for p in network.parts]
+    context, target = draw.integers(0, 3, (20, 4)), draw.integers(0, 8, 20)  # three tokens stand in 80 places
+
+    def loss():
+        return -sum(log_probability(network.parts, network.tree, c, t) for c, t in zip(context, target, strict=True))
+
+    value, found = network.gradients(context, target)
+    assert value == pytest.approx(loss())
+    plain = plain_gradients(network.parts, network.tree, list(zip(context, target, strict=True)))
+    for i, g in enumerate(found):
+        whole = np.zeros_like(network.parts[i])
+        if i in network.TABLES:
+            whole[g[0]] = g[1]
+        else:
+            whole = g
+        assert whole == pytest.approx(plain[i], abs=1e-6)
+        for _ in range(6):
+            at = tuple(draw.integers(n) for n in whole.shape)
+            old = network.parts[i][at]
+            ends = []
+            for step in (1e-5, -1e-5):
+                network.parts[i][at] = old + step
+                ends.append(loss())
+            network.parts[i][at] = old
+            assert whole[at] == pytest.approx((ends[0] - ends[1]) / 2e-5, abs=1e-4)
+
+
+def test_training_and_scores_equal_a_plain_version(spark):
     docs = widened(spark, corpus(40))
-    texts = docs.selectExpr("cast(text as binary) as text")
-    counted = scoring.word_counts(texts)
-    known, shares = scoring.vocabulary(counted, SMALL)
-    network = scoring.train(scoring.settle(scoring.windows(texts, known, SMALL)), known.pad + 1, shares, SMALL)
+    words, numbers, coded = prepared(spark, docs, SMALL)
+    dealt, sizes = scoring.dealt(coded, SMALL)
+    assert max(sizes) > 1
+    rows = [(r["turn"], r["shard"], r["place"], np.frombuffer(r["ids"], np.uint16).tolist()) for r in dealt.collect()]
+    assert sum(len(r[3]) for r in rows) == numbers.sum()  # every token trains
+    parts = plain_training(rows, sizes, numbers, SMALL)
+    network = scoring.train(coded, numbers, SMALL)
+    for one, two in zip(network.parts, parts, strict=True):
+        assert one == pytest.approx(two, abs=5e-3)
+    texts = Counter(r[1] for r in corpus(40))
     got = scoring.score(docs, SMALL).collect()
     by_id = {r[0]: r[1] for r in corpus(40)}
+    assert len(got) == sum(texts.values())
     for r in got:
-        words = scoring.tokens((by_id[r["doc_id"]] or "").encode())
-        assert r["n_words"] == len(words)
-        want = plain_scores([known[w] for w in words], network, shares, known.pad, SMALL.side)
-        assert r["log_likelihood"] == pytest.approx(want, abs=2e-3 * (1 + len(words)))
-        assert (r["mean_log_likelihood"] is None) == (not words)
+        ids = plain_tokens(by_id[r["doc_id"]], words)
+        assert r["n_words"] == len(scoring.words_of((by_id[r["doc_id"]] or "").encode()))
+        want = sum(log_probability(network.parts, network.tree, context_of(ids, i, SMALL.side, network.pad), x) for i, x in enumerate(ids))
+        assert r["log_likelihood"] == pytest.approx(want, abs=1e-3 * (1 + len(ids)))
+        assert (r["mean_log_likelihood"] is None) == (r["n_words"] == 0)
 
 
-def test_gradient_steps():
-    draw = np.random.default_rng(0)
-    options = scoring.Scoring(vocabulary=4, classes=3, width=3, hidden=4, side=1)
-    context, target = draw.integers(0, 5, (6, 2)), draw.integers(0, 3, 6)
-    context = np.arange(12).reshape(6, 2) % 12
-    network = scoring.Network(12, 3, options)
-    network.parts = [p.astype(np.float64) for p in network.parts]
-
-    def loss(flat):
-        at = 0
-        parts = []
-        for s in network.shapes:
-            n = int(np.prod(s))
-            parts.append(flat[at : at + n].reshape(s))
-            at += n
-        e, w, b, u, c = parts
-        z = np.tanh(e[context].reshape(6, -1) @ w + b) @ u + c
-        return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(6), target]).mean())
-
-    before = network.flat()
-    first = len(before) - sum(int(np.prod(s)) for s in network.shapes[1:])
-    network.learn(context, target, 1e-3)
-    moved = (network.flat() - before)[first:] / -1e-3
-    for k in range(first, len(before)):
-        up, down = before.copy(), before.copy()
-        up[k] += 1e-5
-        down[k] -= 1e-5
-        assert moved[k - first] == pytest.approx((loss(up) - loss(down)) / 2e-5, abs=1e-5)
+def test_partitions_and_the_order_of_rows_do_not_matter(spark):
+    draw = random.Random(3)
+    rows = corpus(40) + [(500, " ".join(draw.choice("abcdefgh") * draw.randint(1, 4) for _ in range(9000)), "en", "s", 1)]
+    docs = documents(spark, rows)
+    first = rows_of(scoring.score(docs.coalesce(1), SMALL))
+    assert rows_of(scoring.score(docs.repartition(8, "doc_id").orderBy("n_chars"), SMALL)) == first
+    assert rows_of(scoring.score(documents(spark, rows[::-1]).repartition(3), SMALL)) == first
 
 
 def test_both_sides_help_and_shuffled_texts_score_lower(spark):
@@ -91,7 +201,7 @@ def test_both_sides_help_and_shuffled_texts_score_lower(spark):
         words = rows[i][1].split()
         draw.shuffle(words)
         shuffled.append((1000 + i, " ".join(words), "en", "s", 1))
-    got = {r["doc_id"]: r["mean_log_likelihood"] for r in scoring.score(documents(spark, rows + shuffled), scoring.Scoring(stride=2, rounds=4, batch=32)).collect()}
+    got = {r["doc_id"]: r["mean_log_likelihood"] for r in scoring.score(documents(spark, rows + shuffled), scoring.Scoring(batch=64)).collect()}
     good, bad = np.mean([got[r[0]] for r in rows]), np.mean([got[r[0]] for r in shuffled])
     uniform = -np.log(len({w for g in grammar for w in g.split()}))
     assert good > bad + 1 and good > uniform + 1
