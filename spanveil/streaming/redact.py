@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 from ..config import Bundle
 from ..plans.pipeline import redact
 from ..schema import Options
+from ..workers import shared_folder
 
 
 def redact_stream(stream: DataFrame, bundle: Bundle | None = None, options: Options = Options(), text: str = "text", key: str | None = None) -> DataFrame:
@@ -33,16 +34,6 @@ def write_files(frame: DataFrame, path: str, checkpoint: str, kind: str = "parqu
     return (writer.trigger(availableNow=True) if available_only else writer).start()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Where the cluster keeps shared files; a temporary folder only where it names none."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        import tempfile
-
-        named = tempfile.mkdtemp(prefix="spanveil-")
-    return named.rstrip("/")
-
-
 def redact_available(spark: SparkSession, path: str, bundle: Bundle | None = None) -> DataFrame:
     """All documents of a folder or file through a stream: doc_id and redacted text."""
     work = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
