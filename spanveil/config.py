@@ -18,13 +18,6 @@ NAMES = (
 )
 
 # The patterns, flags and keywords of the shipped profile.
-_PLACES = r"""г|город|рп|пгт|пос|пос[её]лок|дер|деревня|с|село|
-р-н|район|мо|муницип(?:алитет|альное[ \t]+образование)|
-ул|улица|пр-?т|просп(?:ект)?|пер|переулок|
-ш(?:оссе)?|шоссе|наб(?:ережная)?|пл(?:ощадь)?|проезд|
-б-?р|бульвар|тер(?:ритория)?|промзона|
-кв|квартира|"""
-_HOUSES = r"д\.?|дом|корп\.?|корпус|стр\.?|строение"
 SHIPPED = {
     "version": 1,
     "regex": {
@@ -50,9 +43,26 @@ SHIPPED = {
         "bik_pattern": r"\b\d{9}\b",
         "rs_pattern": r"\b\d{20}\b",
         "ks_pattern": r"\b\d{20}\b",
-        "addr_window_pattern": rf"\b(?:{_PLACES}лит|{_HOUSES})\b.{{50,100}}?\b(?:{_PLACES}лит|комн|{_HOUSES})\b",
+        "addr_window_pattern": r"""\b(?:
+            г|город|рп|пгт|пос|пос[её]лок|дер|деревня|с|село|
+            р-н|район|мо|муницип(?:алитет|альное[ \t]+образование)|
+            ул|улица|пр-?т|просп(?:ект)?|пер|переулок|
+            ш(?:оссе)?|шоссе|наб(?:ережная)?|пл(?:ощадь)?|проезд|
+            б-?р|бульвар|тер(?:ритория)?|промзона|
+            кв|квартира|лит|
+            д\.?|дом|корп\.?|корпус|стр\.?|строение
+            )\b.{50,100}?
+            \b(?:
+            г|город|рп|пгт|пос|пос[её]лок|дер|деревня|с|село|
+            р-н|район|мо|муницип(?:алитет|альное[ \t]+образование)|
+            ул|улица|пр-?т|просп(?:ект)?|пер|переулок|
+            ш(?:оссе)?|шоссе|наб(?:ережная)?|пл(?:ощадь)?|проезд|
+            б-?р|бульвар|тер(?:ритория)?|промзона|
+            кв|квартира|лит|комн|
+            д\.?|дом|корп\.?|корпус|стр\.?|строение
+            )\b""",
         "addr_street_pattern": r"\b(ул\.?|улица|пр-?т|просп(?:ект)?|пер|переулок|ш(?:оссе)?|шоссе|наб\.?|набережная|пл\.?|площадь|проезд|б-?р|бульвар)\b",
-        "addr_house_pattern": rf"\b({_HOUSES})\b\s*\d+([/\-]\w+)?",
+        "addr_house_pattern": r"\b(д\.?|дом|корп\.?|корпус|стр\.?|строение)\b\s*\d+([/\-]\w+)?",
     },
     "flags": {
         "org_pattern": ["I", "U", "X"], "role_named_pattern": ["I", "U", "X"], "in_face_pattern": ["I", "U"], "subject_header_pattern": ["I", "M", "U"],

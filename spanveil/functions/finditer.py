@@ -7,7 +7,7 @@ not be empty (``dialect.compile_pattern`` sees to that). Patterns that Java can'
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,32 +15,33 @@ from pyspark.sql import functions as F
 
 from ..workers import reach_workers
 from .dialect import Pattern
+from .folding import bind, fold
 
 MATCH = "struct<start:int,end:int,text:string,groups:array<string>>"
 
 
 def finditer(text: Column, java: str, groups: Sequence[int] = ()) -> Column:
-    """array<struct<start, end, text, groups>>: groups holds the texts of the asked groups, empty where a group took no part."""
-    rx = F.lit(java)
-    found = F.regexp_extract_all(text, rx, F.lit(0))
-    pieces = F.zip_with(F.split(text, java, -1), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("text"), F.array().cast("array<string>").alias("groups")))
-    pieces = F.filter(pieces, lambda p: p["text"].isNotNull())  # behind the last match there is one piece more
-    for group in groups:
-        own = F.regexp_extract_all(text, rx, F.lit(group))
-        pieces = F.zip_with(pieces, own, lambda p, g: F.struct(p["gap"].alias("gap"), p["text"].alias("text"), F.array_append(p["groups"], g).alias("groups")))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{MATCH}>").alias("out"))
-
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + p["gap"]
-        end = start + F.length(p["text"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), p["text"].alias("text"), p["groups"].alias("groups"))).alias("out"))
-
-    return F.coalesce(F.aggregate(pieces, begin, step, lambda acc: acc["out"]), F.array().cast(f"array<{MATCH}>"))
-
-
-def bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once, however often ``use`` names it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+    """array<struct<start, end, text, groups>>: groups holds the texts of the asked groups, empty where a group took no part.
+
+    A text without a match is searched once; one with matches is searched once more for the pieces between them, and once for each group.
+    """
+    rx, none = F.lit(java), F.array().cast(f"array<{MATCH}>")
+
+    def placed(found: Column) -> Column:
+        pieces = F.zip_with(F.split(text, java, -1), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("text"), F.array().cast("array<string>").alias("groups")))
+        pieces = F.filter(pieces, lambda p: p["text"].isNotNull())  # behind the last match there is one piece more
+        for group in groups:
+            own = F.regexp_extract_all(text, rx, F.lit(group))
+            pieces = F.zip_with(pieces, own, lambda p, g: F.struct(p["gap"].alias("gap"), p["text"].alias("text"), F.array_append(p["groups"], g).alias("groups")))
+
+        def step(at: Column, out: Column, p: Column) -> tuple[Column, Column]:
+            start = at + p["gap"]
+            end = start + F.length(p["text"])
+            return end, F.array_append(out, F.struct(start.alias("start"), end.alias("end"), p["text"].alias("text"), p["groups"].alias("groups")))
+
+        return fold(pieces, F.lit(0), MATCH, step, lambda _, out: out)
+
+    return bind(F.regexp_extract_all(text, rx, F.lit(0)), lambda found: F.when(F.size(found) > 0, placed(found)).otherwise(none))
 
 
 def python_finditer(pattern: Pattern, groups: Sequence[int] = ()):

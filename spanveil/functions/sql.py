@@ -1,88 +1,44 @@
-"""The SQL surface: validators the optimizer inlines, ``redact(text)``, and the table function ``detect_spans(text)``.
+"""The SQL surface: validators, ``redact(text)``, ``redact_as(text, style)`` and the table function ``detect_spans(text)``.
 
-A registered function can't hold built-in lambdas, so these two run the same detectors' patterns in Python workers, a batch at a time.
-For large tables use ``spanveil.redact``, which stays in the JVM.
+Each is the expression of the DataFrame API as SQL text (``sqltext``): one implementation, which the optimizer inlines and which stays in the JVM.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Row, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 from ..config import PROFILES, Bundle, bundle
-from ..workers import reach_workers
+from ..operators.mask import masked
+from ..plans.pipeline import spans_of_text
+from ..schema import MaskStyle, Options
 from . import validators
+from .folding import bind
+from .sqltext import sql_text
 
-#: Label, pattern and score of the detectors whose matches are spans as they are.
-PLAIN = (("ORG", "org", 0.85), ("ROLE", "in_face", 0.92), ("EMAIL", "email", 0.95), ("URL", "url", 0.95), ("INN", "inn", 0.98), ("OGRN", "ogrn", 0.98), ("KPP", "kpp", 0.95), ("BIK", "bik", 0.95), ("RS", "rs", 0.96), ("KS", "ks", 0.96))
-
-
-def control(number: str, weights: tuple[int, ...]) -> str:
-    return str(sum(int(d) * w for d, w in zip(number, weights, strict=False)) % 11 % 10)
 
+def styled(text: Column, style: Column, held: Bundle, salt: str) -> Column:
+    """The text with masks of a style by its name; an unknown name is an error."""
 
-def confirmed(label: str, text: str) -> bool:
-    if label == "INN":
-        if len(text) == 10:
-            return text[9] == control(text, validators.INN10)
-        return text[10:] == control(text, validators.INN11) + control(text, validators.INN12)
-    return label != "OGRN" or text[12] == str(int(text[:12]) % 11 % 10)
+    def by_style(spans: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(None).cast("string"))
+        for known in MaskStyle:
+            out = out.when(style == known.value, masked(text, spans, Options(known), salt=salt)["redacted"])
+        return out.otherwise(F.raise_error(F.concat(F.lit("unknown mask style: "), F.coalesce(style, F.lit("null")))).cast("string"))
 
-
-def spans_of(text: str | None, patterns: Bundle) -> list[tuple[int, int, str, float]]:
-    """Disjoint spans: of overlapping ones the best score gives the label and their union the bounds."""
-    found = []
-    for label, name, score in PLAIN:
-        pattern = patterns[f"{name}_pattern"]
-        if pattern is not None and not pattern.never:
-            for m in re.finditer(pattern.python, text or "", pattern.flags):
-                if confirmed(label, m[0]):
-                    found.append((m.start(), m.end(), label, score))
-    out: list[tuple[int, int, str, float]] = []
-    for span in sorted(found, key=lambda s: (s[0], -s[1])):
-        if out and span[0] < out[-1][1]:
-            last = out[-1]
-            best = max((last, span), key=lambda s: (s[3], s[1] - s[0]))
-            out[-1] = (last[0], max(last[1], span[1]), *best[2:])
-        else:
-            out.append(span)
-    return out
+    return bind(spans_of_text(text, held), by_style)
 
 
 def register(spark: SparkSession, patterns: Bundle | None = None, salt: str = "") -> None:
-    """validate_*, redact(text[, style]) and detect_spans(text) for SQL of this session."""
-    reach_workers(spark)
+    """validate_*, redact(text), redact_as(text, style) and detect_spans(text) for SQL of this session. Patterns that need Python workers can't be registered."""
     held = patterns or bundle(PROFILES["shipped"])
     validators.register(spark)
-
-    @F.pandas_udf("string")
-    def redact_text(texts: pd.Series, style: pd.Series) -> pd.Series:
-        def one(text: str | None, how: str) -> str | None:
-            if text is None:
-                return None
-            out, at = [], 0
-            for start, end, label, _ in spans_of(text, held):
-                piece = text[start:end]
-                mask = {"hash": hashlib.sha256((salt + piece).encode()).hexdigest()[:12], "asterisks": "*" * len(piece)}.get(how, f"[[ENTITY:{label}]]")
-                out += [text[at:start], mask]
-                at = end
-            return "".join(out) + text[at:]
-
-        return pd.Series([one(t, s) for t, s in zip(texts, style, strict=True)], dtype=object)
-
-    spark.udf.register("redact_as", redact_text)
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION redact(text STRING) RETURNS STRING RETURN redact_as(text, 'tag')")
-
-    @udtf(returnType="start: int, end: int, label: string, score: double, value: string")
-    class DetectSpans:
-        def eval(self, text: str) -> Iterator[Row]:
-            for start, end, label, score in spans_of(text, held):
-                yield start, end, label, score, text[start:end]
-
-    spark.udtf.register("detect_spans", DetectSpans)
+    text, style = F.col("text"), F.col("style")
+    spans = spans_of_text(text, held)
+    plain = sql_text(masked(text, spans, Options(), salt=salt)["redacted"])
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION redact(text STRING) RETURNS STRING RETURN {plain}")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION redact_as(text STRING, style STRING) RETURNS STRING RETURN {sql_text(styled(text, style, held, salt))}")
+    record = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"), s["score"].alias("score"), text.substr(s["start"] + 1, s["end"] - s["start"]).alias("value"))
+    found = sql_text(F.transform(spans, record))
+    columns = "start INT, `end` INT, label STRING, score DOUBLE, value STRING"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION detect_spans(text STRING) RETURNS TABLE ({columns}) RETURN SELECT s.start, s.`end`, s.label, s.score, s.value FROM (SELECT explode({found}) AS s)")

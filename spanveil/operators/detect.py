@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from ..config import PROFILES, SHIPPED, Bundle
 from ..functions.dialect import Pattern
-from ..functions.finditer import bind, matches
+from ..functions.finditer import matches
+from ..functions.folding import bind
 from ..functions.validators import VALIDATORS
-from ..schema import no_spans, span
+from ..schema import no_spans, span, with_fields
 from ..workers import reach_workers
 
-#: A section begins at a line of capitals or at a numbered short line. The line feed before it is looked for, so that a suffix of a text can be searched.
+# A section begins at a line of capitals or at a numbered short line. The line feed before it is looked for, so that a suffix of a text can be searched.
 CAPITAL_LINE = r"(?dUm)(?<=\n)\s*[A-ZА-ЯЁ0-9][A-ZА-ЯЁ0-9\s\.-]{2,}$"
 NUMBERED_LINE = r"(?dUm)(?<=\n)\s*\d+(?:\.\d+)*\s*\.?.{0,60}$"
 #: Most characters of a subject span, and how far an address window is widened.
@@ -208,4 +209,4 @@ def regex_spans(text: Column, bundle: Bundle, include_subject: bool = True) -> l
 
 def in_order(parts: list[Column]) -> Column:
     """Spans of all detectors with their order of detection; extra labels end here."""
-    return F.transform(F.concat(*parts), lambda s, i: s.withField("ord", i).withField("extra_label", F.lit(None).cast("string")))
+    return F.transform(F.concat(*parts), lambda s, i: with_fields(s, ord=i, extra_label=F.lit(None).cast("string")))

@@ -7,6 +7,7 @@ import os
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.folding import bind, fold
 from ..schema import MaskStyle, Options
 
 LOG = "struct<start:int,end:int,label:string,score:double,source:string,substr:string,before_hash:string,after:string>"
@@ -44,25 +45,39 @@ def masked(text: Column, spans: Column, options: Options = Options(), key: Colum
     """struct<redacted, logs>. Spans in order; one that begins before the last one's end is left out. The salt is read on the driver."""
     salt = os.environ.get(options.salt_env, "") if salt is None else salt
     key = F.coalesce(key.cast("string"), F.lit("")) if key is not None else F.lit("")
+    none = F.struct(F.lit(None).cast("string").alias("redacted"), F.array().cast(f"array<{LOG}>").alias("logs"))
     ordered = F.array_sort(spans)  # by start, then end
-    begin = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"), F.array().cast(f"array<{LOG}>").alias("logs"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fragment = text.substr(s["start"] + 1, s["end"] - s["start"])
-        after = mask(s["label"], fragment, options, F.concat_ws(":", key, s["start"].cast("string")), salt)
-        record = F.struct(
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            F.coalesce(s["labels_joined"], s["label"]).alias("label"),
-            s["score"].alias("score"),
-            s["source"].alias("source"),
-            fragment.alias("substr"),
-            sha(F.concat(F.lit(salt), fragment)).alias("before_hash"),
-            after.alias("after"),
-        )
-        between = text.substr(acc["at"] + 1, s["start"] - acc["at"])
-        taken = F.struct(F.concat(acc["out"], F.array(between, after)).alias("out"), s["end"].alias("at"), F.array_append(acc["logs"], record).alias("logs"))
-        return F.when(s["start"] < acc["at"], acc).otherwise(taken)
-
-    rest = lambda acc: text.substr(acc["at"] + 1, F.length(text))
-    return F.aggregate(ordered, begin, step, lambda acc: F.struct(F.concat(F.array_join(acc["out"], ""), rest(acc)).alias("redacted"), acc["logs"].alias("logs")))
+    # A chunk's own stretch of the text is cut out once; to cut each span out of the whole text would read it from its beginning each time.
+    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("base"), F.lit("").alias("piece"))
+
+    def enter(state: Column, chunk: Column) -> Column:
+        last = F.greatest(state["at"], F.array_max(F.transform(chunk, lambda s: s["end"])))
+        return F.struct(state["at"].alias("at"), state["at"].alias("base"), text.substr(state["at"] + 1, last - state["at"]).alias("piece"))
+
+    def step(state: Column, out: Column, s: Column) -> tuple[Column, Column]:
+        cut = lambda start, end: state["piece"].substr(start - state["base"] + 1, end - start)
+
+        def taken(fragment: Column) -> Column:
+            after = mask(s["label"], fragment, options, F.concat_ws(":", key, s["start"].cast("string")), salt)
+            record = F.struct(
+                s["start"].alias("start"),
+                s["end"].alias("end"),
+                F.coalesce(s["labels_joined"], s["label"]).alias("label"),
+                s["score"].alias("score"),
+                s["source"].alias("source"),
+                fragment.alias("substr"),
+                sha(F.concat(F.lit(salt), fragment)).alias("before_hash"),
+                after.alias("after"),
+            )
+            return F.struct(cut(state["at"], s["start"]).alias("between"), record.alias("log"))
+
+        free = s["start"] >= state["at"]
+        gathered = F.when(free, F.array_append(out, bind(cut(s["start"], s["end"]), taken))).otherwise(out)
+        return F.struct(F.when(free, s["end"]).otherwise(state["at"]).alias("at"), state["base"].alias("base"), state["piece"].alias("piece")), gathered
+
+    def finish(state: Column, out: Column) -> Column:
+        woven = F.array_join(F.flatten(F.transform(out, lambda x: F.array(x["between"], x["log"]["after"]))), "")
+        rest = text.substr(state["at"] + 1, F.length(text))
+        return F.struct(F.concat(woven, rest).alias("redacted"), F.transform(out, lambda x: x["log"]).alias("logs"))
+
+    return F.when(text.isNotNull(), fold(ordered, begin, f"struct<between:string,log:{LOG}>", step, finish, enter)).otherwise(none)

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import SOURCE_PRIORITY, SPAN, SPANS
+from ..functions.folding import fold
+from ..schema import SOURCE_PRIORITY, SPAN
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -40,8 +41,6 @@ def merged(spans: Column) -> Column:
     """Disjoint spans in order, with union bounds and the winner's label, score and source."""
     keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("a"), (-s["end"]).alias("b"), s["ord"].alias("c"), s.alias("s")))
     ordered = F.transform(F.array_sort(keyed), lambda k: k["s"])
-    begin = F.struct(F.array().cast(SPANS).alias("done"), F.lit(None).cast(SPAN).alias("now"))
-
     def joined(now: Column, s: Column) -> Column:
         wins = takes_over(s, now)
         pair = ((now["label"] == "ROLE") & (s["label"] == "PERSON")) | ((now["label"] == "PERSON") & (s["label"] == "ROLE"))
@@ -55,13 +54,13 @@ def merged(spans: Column) -> Column:
             now["ord"].alias("ord"),
         )
 
-    def step(acc: Column, s: Column) -> Column:
-        meets = acc["now"].isNotNull() & overlap(acc["now"], s)
-        done = F.when(meets | acc["now"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["now"]))
-        return F.struct(done.alias("done"), F.when(meets, joined(acc["now"], s)).otherwise(s).cast(SPAN).alias("now"))
+    def step(now: Column, done: Column, s: Column) -> tuple[Column, Column]:
+        meets = now.isNotNull() & overlap(now, s)
+        closed = F.when(meets | now.isNull(), done).otherwise(F.array_append(done, now))
+        return F.when(meets, joined(now, s)).otherwise(s).cast(SPAN), closed
 
-    close = lambda acc: F.when(acc["now"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["now"]))
-    return F.aggregate(ordered, begin, step, close)
+    last = lambda now, done: F.when(now.isNull(), done).otherwise(F.array_append(done, now))
+    return fold(ordered, F.lit(None).cast(SPAN), SPAN, step, last)
 
 
 def scored(spans: Column, least: float) -> Column:

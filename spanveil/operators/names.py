@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.finditer import bind
+from ..functions.folding import bind
 from ..schema import NAMES, SPANS, span
 from ..workers import reach_workers
 from .merge import similar
@@ -24,6 +24,27 @@ DOMAIN = tuple(
     настоящий оборудование организация основание пени плановый площадка подрядчик покупатель поставщик предмет предпрятие претензия применимый пункт раздел работа работник
     согласно спецификация статья сторона субисполнитель субподрядчик счет товар технический уполномоченный условие услуга""".split()
 )
+# General stop words of Russian.
+GENERAL = tuple(
+    """и в во не что он на я с со как а то все она так его но да ты к у же вы за бы по только ее мне было вот от меня еще нет о из ему теперь когда даже ну вдруг ли если уже
+    или ни быть был него до вас нибудь опять уж вам ведь там потом себя ничего ей может они тут где есть надо ней для мы тебя их чем была сам чтоб без будто чего раз тоже себе под
+    будет ж тогда кто этот того потому этого какой совсем ним здесь этом один почти мой тем чтобы нее сейчас были куда зачем всех никогда можно при наконец два об другой хоть
+    после над больше тот через эти нас про всего них какая много разве три эту моя впрочем хорошо свою этой перед иногда лучше чуть том нельзя такой им более всегда конечно всю между""".split()
+)
+STOP = (*GENERAL, *DOMAIN)
+#: Endings of the cases by the ending of the lemma; the first that fits counts.
+ENDINGS = (
+    (("ый", "ой"), ("ый", "ого", "ому", "ым", "ом", "ая", "ой", "ую", "ое", "ые", "ых", "ыми")),
+    (("ий",), ("ий", "его", "ему", "им", "ем", "яя", "ая", "ей", "ую", "ее", "ие", "их", "ими")),
+    (("ие",), ("ие", "ия", "ию", "ием", "ии", "ий", "иям", "иями", "иях")),
+    (("ия",), ("ия", "ии", "ию", "ией", "ий", "иям", "иями", "иях")),
+    (("ка", "га"), ("ка", "ки", "ке", "ку", "кой", "кам", "ками", "ках", "ок", "га", "ги", "ге", "гу", "гой", "гам", "гами", "гах")),
+    (("а",), ("а", "ы", "е", "у", "ой", "", "ам", "ами", "ах")),
+    (("я",), ("я", "и", "е", "ю", "ёй", "ей", "", "ям", "ями", "ях")),
+    (("ель",), ("ель", "еля", "елю", "елем", "еле", "ели", "елей", "елям", "елями", "елях")),
+    (("ок",), ("ок", "ка", "ку", "ком", "ке", "ки", "ков", "кам", "ками", "ках")),
+    (("",), ("", "а", "у", "ом", "е", "ы", "и", "ов", "ам", "ами", "ах")),
+)
 TOKEN = r"(\p{L}[\p{L}\p{N}]*(?:-\p{L}+)*)"
 FULL_SCORE, NAME_SCORE, ADDRESS_SCORE, SHORTEST = 0.8, 0.75, 0.8, 4
 RULE = r"[А-ЯЁ][а-яё]+\s+[А-ЯЁ]\.\s?[А-ЯЁ]\.|[А-ЯЁ][а-яё]+\s+[А-ЯЁ][а-яё]+\s+[А-ЯЁ][а-яё]+(?:вич|вна|ична|вича|вны|ичны)(?![а-яё])"
@@ -33,8 +54,30 @@ Model = Callable[[list[str]], list[Found]]
 _MODELS: dict[Callable[[], Model], Model] = {}
 
 
-def stop_fragment(fragment: Column, stop: Iterable[str] = DOMAIN, lemmas: Callable[[Column], Column] = F.lower) -> Column:
+def forms(lemma: str) -> set[str]:
+    """Forms of a noun or adjective by the ending of its lemma: enough to know stop words again, no grammar."""
+    for tails, endings in ENDINGS:
+        tail = next((t for t in tails if lemma.endswith(t)), None)
+        if tail is not None:
+            stem = lemma[: len(lemma) - len(tail)]
+            return {lemma, *(stem + e for e in endings if e[:1] == tail[:1] or len(tail) < 2 or tail[:1] not in "кг")}
+    return {lemma}
+
+
+def lemma_table(table: dict[str, str]) -> Callable[[Column], Column]:
+    """Lemmas from a table of forms, as of a dictionary that the user has; any other word is its own lemma."""
+    known = F.create_map(*[F.lit(x) for item in sorted(table.items()) for x in item])
+    return lambda word: F.coalesce(F.element_at(known, F.lower(word)), F.lower(word))
+
+
+def domain_lemmas(words: Iterable[str] = DOMAIN) -> Callable[[Column], Column]:
+    """Lemmas of the forms of the domain words, by rule."""
+    return lemma_table({form: word for word in words for form in forms(word)})
+
+
+def stop_fragment(fragment: Column, stop: Iterable[str] = STOP, lemmas: Callable[[Column], Column] | None = None) -> Column:
     """Whether a fragment is made of stop words: all of them, one of at most two, or four fifths of a short one. Without words it is."""
+    lemmas = lemmas or domain_lemmas()
     words = F.transform(F.regexp_extract_all(fragment, F.lit(TOKEN), F.lit(1)), lambda w: lemmas(w))
     table = F.array(*[F.lit(w) for w in stop])
     hits = F.size(F.filter(words, lambda w: F.array_contains(table, w)))

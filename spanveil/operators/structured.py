@@ -1,6 +1,6 @@
 """Recognisers of identifiers written with separators, and the anonymiser of contacts.
 
-A recogniser is a row of a table: label, pattern, base score, words that may stand near it, validator. A match that its validator confirms has
+A recogniser is a row of a table: label, pattern, base score, validator. A match that its validator confirms has
 score 1, one that it does not confirm goes.
 """
 
@@ -23,7 +23,6 @@ class Recogniser:
     label: str
     pattern: str
     score: float
-    context: tuple[str, ...] = ()
     validator: str | None = None
     source: str = STRUCTURED
 
@@ -34,12 +33,12 @@ def _run(digits: str) -> str:
 
 # The recognisers of identifiers.
 IDENTIFIERS = (
-    Recogniser("INN", _run(r"(?:\d[\s-]?){10}(?:\d[\s-]?){0,2}"), 0.7, ("ИНН", "инн"), "INN"),
-    Recogniser("OGRN", _run(r"(?:\d[\s-]?){13}"), 0.7, ("ОГРН", "огрн"), "OGRN"),
-    Recogniser("KPP", _run(r"(?:\d[\s-]?){9}"), 0.6, ("КПП", "кпп"), "KPP"),
-    Recogniser("BIK", _run(r"(?:\d[\s-]?){9}"), 0.6, ("БИК", "бик"), "BIK"),
-    Recogniser("RS", _run(r"(?:\d[\s-]?){20}"), 0.55, ("р/с", "расчетный счет", "расчётный счёт"), "RS"),
-    Recogniser("KS", _run(r"(?:\d[\s-]?){20}"), 0.55, ("корреспондентский счет", "корр. счет"), "KS"),
+    Recogniser("INN", _run(r"(?:\d[\s-]?){10}(?:\d[\s-]?){0,2}"), 0.7, "INN"),
+    Recogniser("OGRN", _run(r"(?:\d[\s-]?){13}"), 0.7, "OGRN"),
+    Recogniser("KPP", _run(r"(?:\d[\s-]?){9}"), 0.6, "KPP"),
+    Recogniser("BIK", _run(r"(?:\d[\s-]?){9}"), 0.6, "BIK"),
+    Recogniser("RS", _run(r"(?:\d[\s-]?){20}"), 0.55, "RS"),
+    Recogniser("KS", _run(r"(?:\d[\s-]?){20}"), 0.55, "KS"),
 )
 #: Our own patterns for contacts; a lone run of digits is no telephone number.
 EMAIL = Recogniser("EMAIL_ADDRESS", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", 1.0, source=CONTACTS)

@@ -5,7 +5,11 @@ The tables hold no Russian contracts. Queries that need them read a contract for
 
 from __future__ import annotations
 
+import io
+import uuid
+import zipfile
 from collections.abc import Callable
+from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +20,12 @@ from ..functions.finditer import matches
 from ..functions.normalize import edits, normalized, original
 from ..operators import detect as detectors
 from ..operators import names, structured, summary
-from ..operators.mask import masked
+from ..operators.mask import ALPHABET, LONGEST, SEED, SHORTEST, masked
 from ..operators.merge import merged, scored, similar
 from ..schema import MaskStyle, Options, span
-from .pipeline import redact, redact_text, spread
+from ..sources import files, sinks
+from ..workers import shared_folder
+from .pipeline import redact, redact_text
 
 SHIPPED, DOCUMENTED = bundle(PROFILES["shipped"]), bundle(PROFILES["documented"])
 PLAIN_HEADER = "ПРЕДМЕТ ДОГОВОРА"
@@ -67,6 +73,12 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, CONTRACTS, "customer")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: the test tables are single small files, which a scan can't divide. It is no part of the library's plans."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", "text")
 
@@ -132,10 +144,13 @@ def subject_keyword(spark, sf_dir):
     return _spans(_norm(contracts(spark, sf_dir)), detectors.keyword_subjects(F.col("text"), DOCUMENTED))
 
 
+#: What detect_address reads, for a contract number n.
+ADDRESS = "concat('Адрес: г. Москва, улица Новая, ', n, repeat(' и так далее', 3), ', дом ', n, ', этаж 2. Больше ничего. ', n)"
+
+
 def detect_address(spark, sf_dir):
-    n = F.col("doc_id").cast("string")
-    text = F.concat(F.lit("Адрес: г. Москва, улица Новая, "), n, F.repeat(F.lit(" и так далее"), 3), F.lit(", дом "), n, F.lit(", этаж 2. Больше ничего. "), n)
-    return _spans(contracts(spark, sf_dir).select("doc_id", text.alias("text")), detectors.addresses(F.col("text"), SHIPPED))
+    text = contracts(spark, sf_dir).withColumn("n", F.col("doc_id").cast("string")).select("doc_id", F.expr(ADDRESS).alias("text"))
+    return _spans(text, detectors.addresses(F.col("text"), SHIPPED))
 
 
 def structured_ids(spark, sf_dir):
@@ -145,8 +160,8 @@ def structured_ids(spark, sf_dir):
     return _spans(contracts(spark, sf_dir).select("doc_id", text.alias("text")), found)
 
 
-def anonymize_contacts(spark, sf_dir):
-    return structured.anonymize_contacts(documents(spark, sf_dir), "tag", settings=structured.Settings(enable_phone_recognizer=False))
+def _anonymized(style: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: structured.anonymize_contacts(documents(spark, sf_dir), style, settings=structured.Settings())
 
 
 def stop_fragment(spark, sf_dir):
@@ -224,7 +239,7 @@ def _contract_logs(spark, sf_dir) -> DataFrame:
 
 
 def redaction_log(spark, sf_dir):
-    return summary.logs(_contract_logs(spark, sf_dir)).where(F.col("label") != "ORG").select("doc_id", "label", "start", "end", "substr", "before_hash", "after")
+    return summary.logs(_contract_logs(spark, sf_dir)).select("doc_id", "label", "start", "end", "substr", "before_hash", "after")
 
 
 def summary_by_label(spark, sf_dir):
@@ -234,7 +249,8 @@ def summary_by_label(spark, sf_dir):
 def chars_masked_per_document(spark, sf_dir):
     out = redact(spread(documents(spark, sf_dir)), SHIPPED)
     done = summary.per_document(out)
-    return done.select("doc_id", "status", F.coalesce(F.element_at("replacements", F.lit("EMAIL")), F.lit(0)).cast("bigint").alias("emails"), "chars_masked")
+    entry = lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))
+    return done.select("doc_id", "status", F.array_join(F.transform(F.map_entries("replacements"), entry), ",").alias("replacements"), "chars_masked")
 
 
 def summary_totals(spark, sf_dir):
@@ -266,7 +282,12 @@ def person_names(spark, sf_dir):
 
 def sql_redact(spark, sf_dir):
     sql.register(spark, SHIPPED)
-    return spark.sql("SELECT doc_id, redact(text) AS redacted FROM {documents}", documents=documents(spark, sf_dir))
+    return spark.sql("SELECT doc_id, redact(text) AS redacted FROM {documents}", documents=spread(documents(spark, sf_dir)))
+
+
+def sql_redact_contracts(spark, sf_dir):
+    sql.register(spark, SHIPPED)
+    return spark.sql("SELECT doc_id, redact(text) AS redacted FROM {contracts}", contracts=spread(contracts(spark, sf_dir).select("doc_id", "text")))
 
 
 def sql_detect_spans(spark, sf_dir):
@@ -280,6 +301,68 @@ def stream_redact(spark, sf_dir):
     return redact_available(spark, f"{sf_dir}/documents.parquet", SHIPPED)
 
 
+# --- files --------------------------------------------------------------------------------------------------------------------------------
+
+
+def _work(spark: SparkSession) -> str:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/files-{uuid.uuid4().hex}")
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    return store.makeQualified(path).toString()
+
+
+def _letters(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
+    """A file name and a text with an e-mail address for each nation."""
+    name = F.concat(F.lit(f"{root}/"), F.col("n_regionkey").cast("string"), F.lit("/n"), F.col("n_nationkey").cast("string"), F.lit(".txt"))
+    text = F.concat(F.lit("Пишите: "), F.col("n_name"), F.lit("\nu@x.example.com"))
+    return read(spark, sf_dir, "nation").select(name.alias("doc_id"), text.alias("redacted"))
+
+
+def _files(df: DataFrame, root: str, *more: str) -> DataFrame:
+    return df.select(F.substring("doc_id", len(root) + 2, 10_000).alias("file"), *more)
+
+
+def files_text(spark, sf_dir):
+    """Text files written, found and read in folders, redacted, written beside them in like folders, and read again."""
+    root = _work(spark)
+    letters, out = f"{root}/in", f"{root}/out"
+    sinks.write_texts(_letters(spark, sf_dir, root), root, letters)
+    sinks.write_texts(redact(files.read_documents(spark, letters, recursive=True), SHIPPED), letters, out)
+    return _files(files.read_documents(spark, out, recursive=True), out, "text")
+
+
+def files_flat(spark, sf_dir):
+    """Without folders below: a file beside folders is found, files in them are not."""
+    root = _work(spark)
+    sinks.write_texts(_letters(spark, sf_dir, root), root, root)
+    return _files(files.read_documents(spark, f"{root}/2"), f"{root}/2", "text")
+
+
+def files_logs(spark, sf_dir):
+    """JSON lines of what was masked in files."""
+    root = _work(spark)
+    sinks.write_texts(_letters(spark, sf_dir, root), root, f"{root}/in")
+    sinks.write_logs(redact(files.read_documents(spark, f"{root}/in", recursive=True), SHIPPED), f"{root}/log")
+    logged = spark.read.schema("file string, label string, start int, end int, after string").json(f"{root}/log")
+    return _files(logged.withColumnRenamed("file", "doc_id"), f"{root}/in", "label", "start", "end", "after")
+
+
+def files_word(spark, sf_dir):
+    """Word files of the regions: a paragraph a line."""
+    root, jvm = _work(spark), spark.sparkContext._jvm
+    for row in read(spark, sf_dir, "region").collect():  # five files
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as word:
+            lines = "".join(f"<w:p><w:r><w:t>{escape(x)}</w:t></w:r></w:p>" for x in ("Регион", row["r_name"]))
+            word.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{lines}</w:body></w:document>')
+        path = jvm.org.apache.hadoop.fs.Path(f"{root}/r{row['r_regionkey']}.docx")
+        stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+        stream.write(bytearray(held.getvalue()))
+        stream.close()
+    return _files(files.read_documents(spark, root), root, "text")
+
+
 # --- SQL of the same results --------------------------------------------------------------------------------------------------------------
 
 _EMAIL = r"(?i)[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -342,6 +425,10 @@ def _fold(more: str, where: str = "") -> str:
 _LOGGED = {"INN": "inn", "INN12": "inn12", "OGRN": "ogrn", "KPP": "kpp", "RS": "rs", "EMAIL": "mail", "ROLE": "poa", "DATE": "poa_date"}
 
 
+#: The organisation at the head of each contract.
+_ORG = "'ООО «Звезда ' || doc_id || '»'"
+
+
 def _oracle_log() -> str:
     """What stands where in each contract; the place in the given text, as nothing is deleted before it."""
     parts = []
@@ -350,20 +437,61 @@ def _oracle_log() -> str:
         good = {"INN": "inn_ok", "INN12": "inn12_ok", "OGRN": "ogrn_ok"}.get(key, "true")
         head = "КПП " if key == "KPP" else " "  # an INN begins like its KPP
         parts.append(f"SELECT doc_id, '{label}' AS label, strpos(text, '{head}' || {column}) + {len(head) - 1} AS place, {column} AS substr FROM k WHERE {good}")
-    parts.append("SELECT doc_id, 'ROLE', strpos(text, 'в лице д') - 1, 'в лице д' FROM k")
+    parts += ["SELECT doc_id, 'ROLE', strpos(text, 'в лице д') - 1, 'в лице д' FROM k", f"SELECT doc_id, 'ORG', 0, {_ORG} FROM k"]
     return f"""
     WITH k AS ({CONTRACTS}), found AS ({" UNION ALL ".join(parts)})
     SELECT doc_id, label, CAST(place AS INT) AS start, CAST(place + length(substr) AS INT) AS "end", substr, sha256(substr) AS before_hash, '[[ENTITY:' || label || ']]' AS after FROM found"""
 
 
+def _oracle_recognised() -> str:
+    """Each contract's spans with the score and source that win; an identifier of separated digits takes the blank behind its last digit, too."""
+    own, default = "1.0, 'Presidio Custom'", "1.0, 'Presidio Default'"
+    values = [("INN", "' ' || inn", 1, "inn || ' '", own, "inn_ok"), ("INN", "' ' || inn12", 1, "inn12", own, "inn12_ok"), ("OGRN", "' ' || ogrn", 1, "ogrn", own, "ogrn_ok"), ("KPP", "'КПП ' || kpp", 4, "kpp", own, "true")]
+    values += [("RS", "rs", 0, "rs", own, "true"), ("EMAIL_ADDRESS", "mail", 0, "mail", default, "true"), ("ROLE", "'в лице д'", 0, "'в лице д'", "0.92, 'Regex'", "true"), ("ROLE", "' ' || poa", 1, "poa", "0.97, 'Regex'", "true")]
+    values += [("ROLE", "poa_date", 0, "poa_date", "0.97, 'Regex'", "true"), ("ORG", _ORG, 0, _ORG, "0.85, 'Regex'", "true"), ("PERSON", "'Иванов И.И.'", 0, "'Иванов И.И.'", "0.75, 'Natasha'", "true")]
+    parts = [f"SELECT doc_id, '{label}' AS label, strpos(signed, {head}) - 1 + {skip} AS place, length({value}) AS size, {scored_by} FROM k WHERE {good}" for label, head, skip, value, scored_by, good in values]
+    return f"""
+    WITH k AS (SELECT *, text || ' Подписал: Иванов И.И.' AS signed FROM ({CONTRACTS}) AS c), found(doc_id, label, place, size, score, source) AS ({" UNION ALL ".join(parts)})
+    SELECT doc_id, label, CAST(place AS INT) AS start, CAST(place + size AS INT) AS "end", CAST(score AS DOUBLE) AS score, source FROM found"""
+
+
+def _oracle_random() -> str:
+    """E-mails under random masks: letters by the digest of the seed, the document and the place."""
+    return f"""
+    WITH cut AS (SELECT doc_id, regexp_split_to_array(text, '{_EMAIL}') AS g, regexp_extract_all(text, '{_EMAIL}') AS m FROM documents),
+    placed AS (SELECT doc_id, g, m, list_transform(range(1, len(m) + 1), lambda i: CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS BIGINT)) AS at FROM cut),
+    coded AS (SELECT doc_id, g, m, list_transform(at, lambda x: sha256('{SEED}:' || doc_id || ':' || x)) AS code FROM placed),
+    drawn AS (SELECT doc_id, g, m, list_transform(range(1, len(m) + 1), lambda i: array_to_string(list_transform(range(least(greatest(length(m[i]), {SHORTEST}), {LONGEST})),
+        lambda j: substr('{ALPHABET}', CAST('0x' || substr(code[i], 2 * j + 1, 2) AS INT) % {len(ALPHABET)} + 1, 1)), '')) AS r FROM coded)
+    SELECT doc_id, array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i] || CASE WHEN i <= len(m) THEN r[i] ELSE '' END), '') AS redacted FROM drawn"""
+
+
+#: Contacts; what may not stand beside a telephone number is a group of its own here.
+_CONTACT = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+_NUMBER = r"(^|[^0-9.\x01])((?:\+[0-9]{1,3}|8)[ -]?\(?[0-9]{3}\)?[ -]?[0-9]{3}[ -]?[0-9]{2}[ -]?[0-9]{2})($|[^0-9])"
+
+
+def _oracle_contacts(mail: str, number: str) -> str:
+    """Contacts between chr(1) or chr(3) and chr(2), then replaced. Numbers that share the sign between them take a second turn."""
+    framed = f"regexp_replace(text, '({_CONTACT})', chr(3) || '\\1' || chr(2), 'g')"
+    for _ in range(2):
+        framed = f"regexp_replace({framed}, '{_NUMBER}', '\\1' || chr(1) || '\\2' || chr(2) || '\\3', 'g')"
+    piece = "CASE WHEN strpos(x, chr(2)) = 0 THEN x ELSE {} || substr(x, strpos(x, chr(2)) + 1) END"
+    inside = "substr(x, 2, strpos(x, chr(2)) - 2)"
+    pick = f"CASE WHEN x[1] = chr(3) THEN {mail.format(inside)} ELSE {number.format(inside)} END"
+    cut = "string_split(replace(replace(framed, chr(1), chr(4) || chr(1)), chr(3), chr(4) || chr(3)), chr(4))"
+    return f"SELECT doc_id, array_to_string(list_transform({cut}, lambda x: {piece.format(pick)}), '') AS text FROM (SELECT doc_id, {framed} AS framed FROM documents) AS f"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (
         validate_inn10, validate_inn12, validate_ogrn, validate_lengths, detect_email, detect_url, detect_org, detect_role, subject_header, subject_keyword, detect_address,
-        structured_ids, anonymize_contacts, stop_fragment, overlap_anti, normalize_text, offset_map, merge_spans, merge_spans_label, min_score_filter, redact_documents,
+        structured_ids, stop_fragment, overlap_anti, normalize_text, offset_map, merge_spans, merge_spans_label, min_score_filter, redact_documents,
         redaction_log, summary_by_label, chars_masked_per_document, summary_totals, redact_contracts, stream_redact,
-        redact_text_column, redact_all_recognisers, person_names, sql_redact, sql_detect_spans,
+        redact_text_column, redact_all_recognisers, person_names, sql_redact, sql_redact_contracts, sql_detect_spans, files_text, files_flat, files_logs, files_word,
     )
     found = {f.__name__: f for f in plain}
+    found |= {"anonymize_contacts": _anonymized("tag"), "anonymize_contacts_mask": _anonymized("mask"), "anonymize_contacts_hash": _anonymized("hash")}
     found |= {f"detect_{label.lower()}": _detected_id(label) for label in detectors.DIGITS}
     found |= {f"mask_{style.value}": _masked(style) for style in MaskStyle} | {"mask_keep_length": _masked(MaskStyle.TAG, True)}
     return found
@@ -420,7 +548,17 @@ def oracle_sql() -> dict[str, str]:
                 UNION ALL SELECT doc_id, line, unnest(['KPP', 'BIK']), 'КПП ', kpp_s FROM lines UNION ALL SELECT doc_id, line, unnest(['RS', 'KS']), 'счет ', rs_s FROM lines),
             placed AS (SELECT *, strpos(line, concat(head, value)) - 1 + length(head) AS place FROM found)
             SELECT doc_id, label, CAST(place AS INT) AS start, CAST(place + length(value) AS INT) AS "end", value FROM placed""",
-        "anonymize_contacts": r"SELECT doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}', '[[ENTITY:EMAIL]]', 'g') AS text FROM documents",
+        "anonymize_contacts": _oracle_contacts("'[[ENTITY:EMAIL]]'", "'[[ENTITY:PHONE]]'"),
+        "anonymize_contacts_mask": _oracle_contacts("repeat('*', length({}))", "repeat('*', length({}))"),
+        "anonymize_contacts_hash": _oracle_contacts("sha256({})", "sha256({})"),
+        "detect_address": f"""SELECT doc_id, 'ADDR' AS label, 0 AS start, CAST(strpos(text, 'этаж 2.') + 6 AS INT) AS "end", substr(text, 1, strpos(text, 'этаж 2.') + 6) AS value
+            FROM (SELECT n AS doc_id, {ADDRESS} AS text FROM (SELECT c_custkey AS n FROM customer) AS c) AS a""",
+        "redact_all_recognisers": _oracle_recognised(),
+        "files_text": "SELECT concat(n_regionkey, '/n', n_nationkey, '.txt') AS file, concat('Пишите: ', n_name, chr(10), '[[ENTITY:EMAIL]]') AS text FROM nation",
+        "files_flat": "SELECT concat('n', n_nationkey, '.txt') AS file, concat('Пишите: ', n_name, chr(10), 'u@x.example.com') AS text FROM nation WHERE n_regionkey = 2",
+        "files_logs": """SELECT concat(n_regionkey, '/n', n_nationkey, '.txt') AS file, 'EMAIL' AS label, CAST(length(n_name) + 9 AS INT) AS start, CAST(length(n_name) + 24 AS INT) AS "end", '[[ENTITY:EMAIL]]' AS after FROM nation""",
+        "files_word": "SELECT concat('r', r_regionkey, '.docx') AS file, concat('Регион', chr(10), r_name) AS text FROM region",
+        "mask_random": _oracle_random(),
         "mask_tag": _oracle_masked("'[[ENTITY:EMAIL]]'"),
         "mask_hash": _oracle_masked("substr(sha256(?), 1, 12)"),
         "mask_asterisks": _oracle_masked("repeat('*', length(?))"),
@@ -440,12 +578,13 @@ def oracle_sql() -> dict[str, str]:
                 CASE WHEN inn12_ok THEN inn12 ELSE '?' END, '[[ENTITY:INN]]'), CASE WHEN ogrn_ok THEN ' ' || ogrn ELSE '?' END, ' [[ENTITY:OGRN]]'), rs, '[[ENTITY:RS]]'), mail, '[[ENTITY:EMAIL]]'), 'в лице д', '[[ENTITY:ROLE]]'),
                 poa || ' от ' || poa_date, '[[ENTITY:ROLE]] от [[ENTITY:ROLE]]') AS redacted FROM ({CONTRACTS}) AS k""",
         "redaction_log": _oracle_log(),
-        "summary_by_label": f"SELECT label, count(*) AS n FROM (SELECT label FROM ({_oracle_log()}) AS l UNION ALL SELECT 'ORG' FROM customer) AS u GROUP BY label",
+        "summary_by_label": f"SELECT label, count(*) AS n FROM ({_oracle_log()}) AS l GROUP BY label",
         "chars_masked_per_document": f"""
-            SELECT doc_id, 'ok' AS status, CAST(len(m) AS BIGINT) AS emails, CAST(coalesce(list_sum(list_transform(m, lambda x: length(x))), 0) + coalesce(list_sum(list_transform(u, lambda x: length(x))), 0) AS BIGINT) AS chars_masked
+            SELECT doc_id, 'ok' AS status, concat_ws(',', CASE WHEN len(m) > 0 THEN 'EMAIL=' || len(m) END, CASE WHEN len(u) > 0 THEN 'URL=' || len(u) END) AS replacements, CAST(coalesce(list_sum(list_transform(m, lambda x: length(x))), 0) + coalesce(list_sum(list_transform(u, lambda x: length(x))), 0) AS BIGINT) AS chars_masked
             FROM (SELECT doc_id, regexp_extract_all(text, '{_EMAIL}') AS m, regexp_extract_all(regexp_replace(text, '{_EMAIL}', ' ', 'g'), '{_URL}') AS u FROM documents) AS t""",
         "summary_totals": f"""
             SELECT (SELECT count(*) FROM customer) AS files, (SELECT count(*) FROM customer) AS ok,
-                CAST((SELECT sum("end" - start) FROM ({_oracle_log()}) AS l) + (SELECT sum(length(v)) FROM (SELECT 'ООО "Звезда ' || CAST(doc_id AS VARCHAR) || '"' AS v FROM ({CONTRACTS}) AS k) AS o) AS BIGINT) AS chars_masked""",
+                CAST((SELECT sum("end" - start) FROM ({_oracle_log()}) AS l) AS BIGINT) AS chars_masked""",
     }
+    found["sql_redact_contracts"] = found["redact_contracts"]
     return found

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Bundle, load_patterns
-from ..functions.finditer import bind
+from ..functions.folding import bind
 from ..functions.normalize import edits, map_spans, normalized
 from ..operators import names as people
 from ..operators.detect import in_order, regex_spans
 from ..operators.mask import masked
 from ..operators.merge import merged, scored
 from ..operators.structured import structured_spans
-from ..schema import Options
+from ..schema import Options, with_fields
 
 
 def detected(norm: Column, bundle: Bundle, options: Options = Options(), models: dict | None = None) -> Column:
@@ -46,22 +46,22 @@ def redact(df: DataFrame, bundle: Bundle | None = None, options: Options = Optio
     return found.withColumn("__done", done).withColumn("redacted", F.col("__done.redacted")).withColumn("logs", F.col("__done.logs")).drop("__done", "spans")
 
 
-def redact_text(text: Column, bundle: Bundle | None = None, options: Options = Options(), key: Column | None = None) -> Column:
-    """struct<redacted, logs> of a text column, for use inside other expressions. Models and patterns for Python workers need ``redact``."""
-    bundle = bundle or load_patterns()
+def spans_of_text(text: Column, bundle: Bundle, options: Options = Options()) -> Column:
+    """The spans that ``detect`` gives, as one expression of a text column."""
     content = F.coalesce(text, F.lit(""))
     spans = bind(normalized(content), lambda norm: merged(detected(norm, bundle, options)))
     if options.offset_mode == "exact":
-        spans = bind(F.struct(spans.alias("s"), edits(content).alias("e")), lambda x: map_spans(x["s"], x["e"]))
-    return masked(text, merged(scored(spans, options.min_score)), options, key)
+        spans = map_spans(spans, edits(content), _moved)
+    return merged(scored(spans, options.min_score))
+
 
+def _moved(s: Column, start: Column, end: Column) -> Column:
+    return with_fields(s, start=start, end=end)
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over all cores: dealt out anew only where its scan has fewer partitions than there are cores, as of one small file."""
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+def redact_text(text: Column, bundle: Bundle | None = None, options: Options = Options(), key: Column | None = None) -> Column:
+    """struct<redacted, logs> of a text column, for use inside other expressions. Models and patterns for Python workers need ``redact``."""
+    return masked(text, spans_of_text(text, bundle or load_patterns(), options), options, key)
 
 
 class Pipeline:

@@ -55,3 +55,9 @@ def span(start: Column, end: Column, label: Column | str, score: float | Column,
         F.lit(extra).cast("string").alias("extra_label"),
         F.lit(0).alias("ord"),
     )
+
+
+def with_fields(one: Column, **new: Column) -> Column:
+    """A span with some fields of other values."""
+    names = [f.split(":")[0] for f in SPAN[len("struct<") : -1].split(",")]
+    return F.struct(*[new.get(n, one[n]).alias(n) for n in names])

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import re
 from collections.abc import Iterator
 from urllib.parse import unquote
 
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -15,22 +16,25 @@ from .files import is_file, mirrored, root_of
 
 
 def write_texts(redacted: DataFrame, source: str, output: str) -> None:
-    """One UTF-8 file for each document that was read, in folders like the source's. ``output`` is a folder that all executors reach.
+    """One UTF-8 file for each document that was read, in folders like the source's.
 
-    For large collections write ``redacted`` as Parquet instead; this is for people who want files.
+    ``output`` is a path or the URI of any store that Arrow's file systems reach (hdfs, s3, gs, file) from all executors. For large collections write
+    ``redacted`` as Parquet instead; this is for people who want files.
     """
     spark = redacted.sparkSession
     reach_workers(spark)
     root, single = root_of(spark, source), is_file(spark, source)
     files = redacted.where(F.col("redacted").isNotNull()).select(mirrored(F.col("doc_id"), root, single).alias("below"), "redacted")
+    target = root_of(spark, output)
 
     def write(rows: Iterator[Row]) -> None:
+        store, top = FileSystem.from_uri(re.sub("^file:/+", "file:///", target))
         for row in rows:
-            path = os.path.join(output, unquote(row["below"]))
-            os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-            with open(f"{path}.part", "w", encoding="utf-8", newline="") as file:
-                file.write(row["redacted"])
-            os.replace(f"{path}.part", path)  # a task that runs again leaves one whole file
+            path = f"{top.rstrip('/')}/{unquote(row['below'])}"
+            store.create_dir(path.rpartition("/")[0], recursive=True)
+            with store.open_output_stream(f"{path}.part") as file:
+                file.write(row["redacted"].encode())
+            store.move(f"{path}.part", path)  # a task that runs again leaves one whole file
 
     files.foreachPartition(write)
 

@@ -136,3 +136,21 @@ def test_summaries(spark):
     assert summary.totals(summary.per_document(df)).first().asDict() == {"files": 3, "ok": 2, "chars_masked": 6}
     assert {r["label"]: r["n"] for r in summary.by_label(df).collect()} == {"ORG": 2, "ROLE+PERSON": 1}
     assert summary.logs(df).count() == 3
+
+
+@pytest.mark.parametrize(("fragment", "stop"), [("и другие", True), ("договора", True), ("Сторонами", True), ("условий", True), ("Покупателю Иванову", True), ("Вымпел Сервис Плюс", False), ("Сторонин", False)])
+def test_stop_words_by_lemma(spark, fragment, stop):
+    assert spark.createDataFrame([(fragment,)], "f string").select(names.stop_fragment(F.col("f"))).first()[0] is stop
+
+
+def test_own_lemmas(spark):
+    df = spark.createDataFrame([("Векселями",)], "f string")
+    assert df.select(names.stop_fragment(F.col("f"), ["вексель"], names.lemma_table({"векселями": "вексель"}))).first()[0] is True
+    assert df.select(names.stop_fragment(F.col("f"), ["вексель"])).first()[0] is False
+
+
+def test_persons_of_a_model_suppress_the_rules(spark):
+    text = "Иванов И.И. и Петров П.П."
+    df = spark.createDataFrame([(text,)], "t string")
+    found = [r for part in names.name_spans(F.col("t"), full=full_model, names=names.rules) for r in df.select(F.explode(part).alias("s")).select("s.start", "s.end", "s.label").collect()]
+    assert sorted(map(tuple, found)) == [(0, 11, "PERSON"), (14, 25, "PERSON")]
