@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -13,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from ..workers import reach_workers
+from ..workers import reach_workers, shared_folder
 
 #: Most rows and bytes of an Arrow batch; both hold for a session's batches in Spark's own settings.
 BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
@@ -25,18 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, a temporary one if the driver is the only machine, else an error."""
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not named:
-        if not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="spanveil-")
-        context.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
 def _file_system(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
