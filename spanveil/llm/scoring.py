@@ -2,10 +2,10 @@
 
 A document's score is the sum of log p(token | ``side`` tokens on the left, ``side`` on the right) over all of its tokens, each masked in turn.
 
-Tokens: the ``vocabulary`` most frequent words of the whole corpus are tokens; any other word is spelled as its UTF-8 bytes and an end sign. So every
-text is tokens of a closed set, and none is left out or pooled. The network is an embedding of the context tokens, a hidden layer, and a binary decision at
+Tokens: the ``vocabulary`` most frequent words of the whole corpus are tokens; any other word is spelled in pieces, by rule: two letters a to z, or a byte, those at
+a word's beginning apart from the others. So every text is tokens of a closed set, and none is left out or pooled. The network is an embedding of the context tokens, a hidden layer, and a binary decision at
 each inner node of a Huffman tree over the tokens, built from their counts; the decisions on the way to a token give its probability,
-and those of all tokens add up to 1. Before training the decisions follow the counts, so training begins at the unigram model.
+and those of all tokens add up to 1. The heaviest ``TOP`` nodes, where most decisions fall, are computed as one matrix product. Before training the decisions follow the counts, so training begins at the unigram model.
 
 Training is data-parallel and covers every token of every document once. A digest of its id and tokens gives a document a round, a shard and a place in it (so copies spread over the shards); the number
 of shards follows the number of tokens. In a round each shard starts from the common parameters and goes through its own tokens by gradient steps, in which the gradients of a
@@ -22,6 +22,7 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from copy import copy
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,24 +34,29 @@ from .common import discard, map_arrow, settle, slices
 
 #: ASCII signs and white space part words; letters are lowered and bytes of other characters stay.
 PARTING = bytes(32 if b < 128 and not chr(b).isalnum() else b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Tokens that spell: a byte each, and the end of a spelled word.
-SPELLING = 257
-UNIT = 1 << 20
+#: Pieces that spell: two letters or a byte; those of a word's beginning come first, then the same for the rest of a word.
+PAIRS = 26**2
+PIECES = PAIRS + 256
+SPELLING = 2 * PIECES
+#: Nodes of the tree whose decisions are computed for all tokens at once; numbers of a unit; rows that are scored at once.
+TOP, UNIT, ROWS = 127, 1 << 20, 8192
+#: Spelled words that an encoder keeps at hand.
+REMEMBERED = 200_000
 
 
 @dataclass(frozen=True)
 class Scoring:
-    vocabulary: int = 16384
-    side: int = 3
-    width: int = 16
-    hidden: int = 32
+    vocabulary: int = 61440
+    side: int = 2
+    width: int = 8
+    hidden: int = 8
     #: Shares of the documents that train in each round; their sum is 1.
     rounds: tuple[float, ...] = (0.125, 0.375, 0.5)
     #: Tokens of a shard, of a stretch whose order is mixed, and of a gradient step.
     shard: int = 1 << 21
     stretch: int = 1 << 16
-    batch: int = 1024
-    step: float = 0.1
+    batch: int = 2048
+    step: float = 0.2
     seed: int = 11
 
 
@@ -75,19 +81,34 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return map_arrow(texts, run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def pieces(word: bytes) -> list[int]:
+    """Numbers of a word's pieces, among the ``SPELLING`` ones."""
+    out, at, end = [], 0, len(word) - 1
+    while at <= end:
+        one = word[at]
+        if at < end and 97 <= one <= 122 and 97 <= (two := word[at + 1]) <= 122:
+            piece, size = (one - 97) * 26 + two - 97, 2
+        else:
+            piece, size = PAIRS + one, 1
+        out.append(piece + PIECES if at else piece)
+        at += size
+    return out
+
+
 def spelled_counts(words: DataFrame) -> np.ndarray:
-    """How often each spelling token occurs in the words, n times each."""
+    """How often each spelling piece occurs in the words, n times each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SPELLING, np.int64)
         for batch in batches:
-            for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                total[:256] += n * np.bincount(np.frombuffer(word, np.uint8), minlength=256)
-                total[256] += n
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SPELLING, dtype=np.int32)), pa.array(total)], ["token", "n"])
+            found = [pieces(w) for w in batch.column("word").to_pylist()]
+            numbers = np.repeat(batch.column("n").to_numpy(), [len(x) for x in found])
+            np.add.at(total, np.array([p for x in found for p in x], np.int64), numbers)
+        places = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(places.astype(np.int32)), pa.array(total[places])], ["token", "n"])
 
     out = np.zeros(SPELLING, np.int64)
-    for row in map_arrow(words.select("word", "n"), run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():
+    for row in map_arrow(words.select("word", "n"), run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():  # at most SPELLING
         out[row["token"]] = row["n"]
     return out
 
@@ -103,21 +124,25 @@ def vocabulary(counted: DataFrame, options: Scoring) -> tuple[list[bytes], np.nd
 
 
 class Encoder(dict):
-    """Words to token numbers; a word beyond the vocabulary is spelled."""
+    """Words to the two bytes of their token; a word beyond the vocabulary to those of its pieces, of which the latest are kept."""
 
     def __init__(self, words: list[bytes]):
-        super().__init__(zip(words, range(len(words)), strict=True))
-
-    def tokens(self, words: list[bytes]) -> np.ndarray:
-        get, base, out = self.get, len(self), []
-        for word in words:
-            token = get(word)
-            if token is None:
-                out.extend([base + b for b in word])
-                out.append(base + 256)
-            else:
-                out.append(token)
-        return np.array(out, np.uint16)
+        self.words = words
+        self.begin()
+
+    def begin(self) -> None:
+        self.clear()
+        self.update((w, k.to_bytes(2, "little")) for k, w in enumerate(self.words))
+
+    def __missing__(self, word: bytes) -> bytes:
+        base = len(self.words)
+        found = self[word] = b"".join([(base + p).to_bytes(2, "little") for p in pieces(word)])
+        return found
+
+    def tokens(self, words: list[bytes]) -> bytes:
+        if len(self) > len(self.words) + REMEMBERED:
+            self.begin()
+        return b"".join([self[w] for w in words])
 
 
 def encoded(docs: DataFrame, words: list[bytes]) -> DataFrame:
@@ -129,45 +154,60 @@ def encoded(docs: DataFrame, words: list[bytes]) -> DataFrame:
         for batch in slices(batches, "text", 2 << 20):
             split = [words_of(t) for t in batch.column("text").to_pylist()]
             ids = [encoder.tokens(s) for s in split]
-            columns = [batch.column("doc_id"), pa.array(map(len, split), pa.int64()), pa.array(map(len, ids), pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())]
+            columns = [batch.column("doc_id"), pa.array(map(len, split), pa.int64()), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n", "ids"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return map_arrow(texts, run, "doc_id long, n_words long, n long, ids binary")
 
 
+@dataclass
+class Ways:
+    """Decisions on the way to each token: token t's are ``depth[t]`` ones from ``begin[t]`` on, at ``node`` with ``sign`` 1 or -1."""
+
+    depth: np.ndarray
+    node: np.ndarray
+    sign: np.ndarray
+
+    def __post_init__(self):
+        self.begin = np.cumsum(self.depth) - self.depth
+
+    def of(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each decision of the tokens its node, its sign and its token's place."""
+        depth = self.depth[tokens]
+        first = np.cumsum(depth) - depth
+        at = np.arange(int(depth.sum())) + np.repeat(self.begin[tokens] - first, depth)
+        return self.node[at], self.sign[at], np.repeat(np.arange(len(tokens)), depth)
+
+
 class Tree:
-    """A Huffman tree: the way to token t is ``depth[t]`` decisions from ``begin[t]`` on, at ``node`` with ``sign`` 1 or -1."""
+    """A Huffman tree. Nodes are numbered from the heaviest, the root, on; ways are parted into those at the first ``TOP`` nodes and those below."""
 
     def __init__(self, numbers: np.ndarray):
         weights = (numbers + 1).tolist()
-        tokens = len(weights)
+        self.tokens = tokens = len(weights)
         heap = [(w, t) for t, w in enumerate(weights)]
         heapq.heapify(heap)
         up, side = [0] * (2 * tokens - 1), [0] * (2 * tokens - 1)
-        bias = np.zeros(tokens - 1)
-        for inner in range(tokens, 2 * tokens - 1):
+        self.bias = np.zeros(tokens - 1)
+        root = 2 * tokens - 2
+        for inner in range(tokens, root + 1):
             (small, a), (large, b) = heapq.heappop(heap), heapq.heappop(heap)
             up[a], up[b], side[a], side[b] = inner, inner, 1, -1
-            bias[inner - tokens] = np.log(small / large)
+            self.bias[root - inner] = np.log(small / large)
             heapq.heappush(heap, (small + large, inner))
-        nodes, signs, self.depth = [], [], np.zeros(tokens, np.int64)
+        self.heavy = min(TOP, tokens - 1)
+        found: tuple[list, list] = ([], [])
+        depth = np.zeros((2, tokens), np.int64)
         for token in range(tokens):
             at = token
-            while at != 2 * tokens - 2:
-                nodes.append(up[at] - tokens)
-                signs.append(side[at])
+            while at != root:
+                node = root - up[at]
+                part = int(node >= self.heavy)
+                found[part].append((node, side[at]))
+                depth[part, token] += 1
                 at = up[at]
-                self.depth[token] += 1
-        self.begin = np.cumsum(self.depth) - self.depth
-        self.node, self.sign, self.bias = np.array(nodes, np.uint16), np.array(signs, np.float32), bias
-
-    def ways(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of each decision of the tokens its node, its sign and its token's place; and where each token's first decision is."""
-        depth = self.depth[tokens]
-        first = np.cumsum(depth) - depth
-        at = np.arange(int(depth.sum())) + np.repeat(self.begin[tokens] - first, depth)
-        return self.node[at], self.sign[at], np.repeat(np.arange(len(tokens)), depth), first
+        self.top, self.below = (Ways(d, np.array([n for n, _ in f], np.uint16), np.array([x for _, x in f], np.float32)) for d, f in zip(depth, found, strict=True))
 
 
 def contexts(ids: np.ndarray, side: int, pad: int) -> np.ndarray:
@@ -177,12 +217,28 @@ def contexts(ids: np.ndarray, side: int, pad: int) -> np.ndarray:
     return np.stack([wide[k : k + n] for k in range(2 * side + 1) if k != side], axis=1)
 
 
+def summed(places: np.ndarray, values: np.ndarray, count: int) -> np.ndarray:
+    """The sum of the rows of each place, a column at a time."""
+    out = np.empty((count, values.shape[1]), values.dtype)
+    for k, column in enumerate(np.ascontiguousarray(values.T)):
+        out[:, k] = np.bincount(places, column, count)
+    return out
+
+
 def added(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows and the sums of their values."""
+    """The distinct rows (numbers of two bytes) and the sums of their values."""
     order = np.argsort(rows, kind="stable")
     ordered = rows[order]
-    first = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1))
-    return ordered[first], np.add.reduceat(values[order], first)
+    new = np.ones(len(rows), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    places = np.empty(len(rows), np.int64)
+    places[order] = np.cumsum(new) - 1
+    return ordered[new], summed(places, values, int(new.sum()))
+
+
+def pulled(logit: np.ndarray, sign: np.ndarray) -> np.ndarray:
+    """The loss's derivative by the logit."""
+    return -sign / (1 + np.exp(np.minimum(logit * sign, 60)))
 
 
 class Network:
@@ -191,7 +247,7 @@ class Network:
     TABLES = (0, 3)
 
     def __init__(self, tree: Tree, options: Scoring):
-        self.tree, self.options, self.pad = tree, options, len(tree.depth)
+        self.tree, self.options, self.pad = tree, options, tree.tokens
         draw = np.random.default_rng(options.seed)
         inputs = 2 * options.side * options.width
         embedding = 0.5 * draw.standard_normal((self.pad + 1, options.width))
@@ -210,33 +266,44 @@ class Network:
         x = e[context].reshape(len(context), -1)
         return x, np.tanh(x @ w + b)
 
-    def gradients(self, context: np.ndarray, target: np.ndarray) -> tuple[float, list]:
-        """The loss summed over a batch, and its gradients: (rows, values) of the tables, arrays of the other parts."""
+    def gradients(self, context: np.ndarray, target: np.ndarray) -> list:
+        """Of the loss summed over a batch: (rows, values) of the tables, arrays of the other parts."""
         e, w, _, v = self.parts
         x, h = self.hidden(context)
-        node, sign, row, first = self.tree.ways(target)
-        own, known = v[node], h[row]
-        logit = sign * (np.einsum("ij,ij->i", own[:, :-1], known) + own[:, -1])
-        loss = float(np.logaddexp(0, -logit.astype(np.float64)).sum())
-        pull = -sign / (1 + np.exp(np.minimum(logit, 60)))
-        back = np.add.reduceat(pull[:, None] * own[:, :-1], first) * (1 - h * h)
+        top = v[: self.tree.heavy]
+        node, sign, row = self.tree.top.of(target)
+        at = row * len(top) + node
+        logit = h @ top[:, :-1].T
+        logit += top[:, -1]
+        pull = np.zeros_like(logit)
+        pull.ravel()[at] = pulled(logit.ravel()[at], sign)
+        back = pull @ top[:, :-1]
+        met = np.flatnonzero(np.bincount(node, minlength=len(top)))
+        rows, values = [met], [np.concatenate((pull.T @ h, pull.sum(axis=0)[:, None]), axis=1)[met]]
+        node, sign, row = self.tree.below.of(target)
+        if len(node):
+            own, known = v[node], h[row]
+            pull = pulled(np.einsum("ij,ij->i", own[:, :-1], known) + own[:, -1], sign)[:, None]
+            back += summed(row, pull * own[:, :-1], len(target))
+            found = added(node, np.concatenate((pull * known, pull), axis=1))
+            rows.append(found[0])
+            values.append(found[1])
+        back *= 1 - h * h
         inward = (back @ w.T).reshape(-1, e.shape[1])
-        outward = np.concatenate((pull[:, None] * known, pull[:, None]), axis=1)
-        return loss, [added(context.ravel(), inward), x.T @ back, back.sum(axis=0), added(node, outward)]
+        return [added(context.ravel().astype(np.uint16), inward), x.T @ back, back.sum(axis=0), (np.concatenate(rows), np.concatenate(values))]
 
-    def learn(self, context: np.ndarray, target: np.ndarray) -> float:
+    def learn(self, context: np.ndarray, target: np.ndarray) -> None:
         """A step against the gradients, each divided by the root of the squares so far (of a row of a table: their mean)."""
-        loss, found = self.gradients(context, target)
-        for i, (part, squares, gradient) in enumerate(zip(self.parts, self.squares, found, strict=True)):
+        for i, (part, squares, gradient) in enumerate(zip(self.parts, self.squares, self.gradients(context, target), strict=True)):
             if i in self.TABLES:
                 rows, values = gradient
-                squares[rows] += (values * values).mean(axis=1)
-                part[rows] -= self.options.step * values / np.sqrt(squares[rows])[:, None]
+                so_far = squares[rows] + np.einsum("ij,ij->i", values, values) / values.shape[1]
+                squares[rows] = so_far
+                part[rows] -= (self.options.step / np.sqrt(so_far))[:, None] * values
                 self.changed[self.TABLES.index(i)][rows] = True
             else:
                 squares += gradient * gradient
                 part -= self.options.step / 10 * gradient / np.sqrt(squares)
-        return loss
 
     def answer(self) -> tuple[np.ndarray, np.ndarray]:
         """Places and values of all numbers that have changed, as integers."""
@@ -302,14 +369,12 @@ def train(coded: DataFrame, numbers: np.ndarray, options: Scoring) -> Network:
     for turn, count in enumerate(shards):
         if not count:
             continue
-        start = context.broadcast((numbers, network.parts))
+        start = context.broadcast(network)
 
         def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            numbers, parts = start.value
-            own = None
+            own = copy(start.value)
             for shard in by_shard(batches):
-                own = own or Network(Tree(numbers), options)
-                own.parts = [p.copy() for p in parts]
+                own.parts = [p.copy() for p in start.value.parts]
                 own.begin()
                 for x, y in stretches(shard, options, own.pad):
                     own.learn(x, y)
@@ -334,7 +399,7 @@ def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[np.ndarray]
     def documents(shard: int) -> Iterator[np.ndarray]:
         nonlocal row
         while row is not None and row[0] == shard:
-            yield np.frombuffer(row[1].as_buffer(), np.uint16).astype(np.int64)
+            yield np.frombuffer(row[1].as_buffer(), np.uint16).astype(np.int32)
             row = next(rows, None)
 
     while row is not None:
@@ -348,27 +413,34 @@ class Scorer:
         e, w, self.b, v = network.parts
         self.side, width, self.tree, self.pad = network.options.side, network.options.width, network.tree, network.pad
         self.tables = [np.ascontiguousarray(e @ w[k * width : (k + 1) * width]) for k in range(2 * self.side)]
-        self.weights, self.bias = np.ascontiguousarray(v[:, :-1]), v[:, -1].astype(np.float64)
+        self.weights, self.bias = np.ascontiguousarray(v[:, :-1]), np.ascontiguousarray(v[:, -1])
 
     def log_probabilities(self, texts: Sequence[np.ndarray]) -> list[float]:
-        """The sum of each text's log-probabilities. Rows do not meet in any product, so that texts beside each other don't matter."""
+        """The sum of each text's log-probabilities. Products always have ``ROWS`` rows, of which the last ones may stand for nothing, so that texts beside each other don't matter."""
         gap = np.full(self.side, self.pad)
         wide = np.concatenate([gap, *(x for t in texts for x in (t, gap))])
         size = np.array([len(t) for t in texts])
         begin = np.cumsum(size + self.side) - size
         at = np.concatenate([np.arange(b, b + n) for b, n in zip(begin, size, strict=True)])
-        out = np.empty(len(at))
-        for first in range(0, len(at), 8192):
-            own = at[first : first + 8192]
-            h = np.repeat(self.b[None], len(own), axis=0)
+        out, top = np.empty(len(at)), self.tree.heavy
+        for first in range(0, len(at), ROWS):
+            own = at[first : first + ROWS]
+            h = np.zeros((ROWS, len(self.b)), np.float32)
+            h[: len(own)] = self.b
             for k, table in zip((k for k in range(-self.side, self.side + 1) if k), self.tables, strict=True):
-                h += table[wide[own + k]]
+                h[: len(own)] += table[wide[own + k]]
             np.tanh(h, out=h)
-            node, sign, row, begins = self.tree.ways(wide[own])
-            logit = sign * (np.einsum("ij,ij->i", self.weights[node], h[row]) + self.bias[node])
-            out[first : first + 8192] = -np.add.reduceat(np.logaddexp(0, -logit), begins)
-        sums = np.concatenate(([0.0], np.cumsum(size)))
-        return [float(out[int(a) : int(b)].sum()) for a, b in zip(sums[:-1], sums[1:], strict=True)]
+            logit = h @ self.weights[:top].T
+            node, sign, row = self.tree.top.of(wide[own])
+            total = self.losses(logit.ravel()[row * top + node], node, sign, row, len(own))
+            node, sign, row = self.tree.below.of(wide[own])
+            total += self.losses(np.einsum("ij,ij->i", self.weights[node], h[row]), node, sign, row, len(own))
+            out[first : first + ROWS] = -total
+        sums = np.concatenate(([0], np.cumsum(size)))
+        return [float(out[a:b].sum()) for a, b in zip(sums[:-1].tolist(), sums[1:].tolist(), strict=True)]
+
+    def losses(self, logit: np.ndarray, node: np.ndarray, sign: np.ndarray, row: np.ndarray, count: int) -> np.ndarray:
+        return np.bincount(row, np.log1p(np.exp(-sign * (logit + self.bias[node]))), count)
 
 
 SCORES = "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double, perplexity double"
@@ -381,15 +453,12 @@ def score(docs: DataFrame, options: Scoring = Scoring()) -> DataFrame:
     discard(counted)
     coded = settle(encoded(docs, words))
     network = train(coded, numbers, options)
-    model = docs.sparkSession.sparkContext.broadcast((numbers, network.parts))
+    model = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, parts = model.value
-        known = Network(Tree(numbers), options)
-        known.parts = parts
-        scorer = Scorer(known)
+        scorer = Scorer(model.value)
         for batch in slices(batches, "ids", 1 << 17):
-            texts = [np.frombuffer(x.as_buffer(), np.uint16).astype(np.int64) for x in batch.column("ids")]
+            texts = [np.frombuffer(x.as_buffer(), np.uint16).astype(np.int32) for x in batch.column("ids")]
             n_words = batch.column("n_words").to_pylist()
             sums = [round(x, 4) for x in scorer.log_probabilities(texts)]
             means = [round(s / n, 6) if n else None for s, n in zip(sums, n_words, strict=True)]
