@@ -4,15 +4,15 @@ The targets fill up like water: sources share ``share`` of all words by weight,
 the others by weight until none is above. Every document of a source then expects the same number of copies, target / words of the
 source. Along the source's documents, by size, those expectations are summed up, one random offset is added, and a document is
 taken once for every integer that its stretch of the sum crosses: floor or ceiling of its expectation, never more than ``most``.
-As the documents stand in order of size, the words taken miss the target by little more than one large document; of ``draws``
-offsets, one random number and its even rotations, a source takes the one whose words come nearest its target.
+As the documents stand in order of size, the words taken miss the target by no more than the source's largest document.
 
 The prefix sum is exact and distributed (``ranks``): by source, then size, then a bucket of the id; a source or a size that holds a
-third of all rows is spread over the buckets below it. Only the table of sources meets in one task.
+third of all rows is spread over the buckets below it. Sums and sorts move narrow rows; ``copies`` joins the documents once, by a number that each gets as it is written.
+Only the table of sources, one row each, meets in one task.
 
 Defined cases: a null or empty text has size 0 (it may be taken, for no words); the null source is a source, last in order; equal
-rows are interchangeable; a null doc_id sorts first; an empty table gives no rows; sources whose documents are all empty have
-target 0; further columns are kept by ``copies`` whatever their names.
+rows are interchangeable; a null doc_id sorts first, by a digest of its text; an empty table gives no rows; sources whose documents are all empty have
+target 0; a very long text is one word count; further columns are kept by ``copies`` whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +34,6 @@ class Mix:
     share: float = 1.5
     most: int = 2
     seed: int = 17
-    draws: int = 16
     #: A table of sources up to this many rows is broadcast; a larger one is joined by shuffling.
     most_broadcast: int = 20_000
 
@@ -43,17 +42,17 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def keyed(docs: DataFrame, rows: bool = False) -> DataFrame:
-    source = F.col("source").cast("string")
-    held = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")] if rows else []
-    doc_id = F.col("doc_id").cast("long")
+def keyed(docs: DataFrame, size: Column, *more: Column) -> DataFrame:
+    source, doc_id = F.col("source").cast("string"), F.col("doc_id").cast("long")
+    code = F.md5(F.coalesce(doc_id.cast("string"), F.col("text").cast("string"), F.lit("")).cast("binary"))
     return docs.select(
         doc_id.alias("doc_id"),
         source.alias("source"),
-        words(F.col("text")).alias("size"),
+        size.alias("size"),
         F.when(source.isNull(), "").otherwise(F.concat(F.lit("="), source)).alias("__source"),
-        F.pmod(F.coalesce(doc_id, F.lit(0)), F.lit(SALTS)).cast("int").alias("__salt"),
-        *held,
+        (F.conv(F.substring(code, 1, 4), 16, 10).cast("int") % SALTS).alias("__salt"),
+        F.when(doc_id.isNull(), code).alias("__code"),
+        *more,
     )
 
 
@@ -84,27 +83,19 @@ def targets(buckets: DataFrame, options: Mix) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, options: Mix = Mix(), rows: bool = False) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken words of each document; with ``rows`` its row, too."""
-    sized = keyed(docs, rows)
-    if not rows:
-        sized = settle(sized)
+def mix(docs: DataFrame, options: Mix = Mix()) -> DataFrame:
+    """doc_id, size, source_size, target and taken words of each document, its source and its copies."""
+    placed = taken(settle(keyed(docs, words(F.col("text")))), options)
+    return placed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+
+
+def taken(sized: DataFrame, options: Mix) -> DataFrame:
+    """The rows of ``keyed`` with source_size, target and copies."""
     buckets = settle(sized.groupBy("__source", "size", "__salt").agg(F.count(F.lit(1)).alias("__amount")))
     known = _checked(settle(targets(buckets, options)), options)
-    placed = settle(running_total(sized, ["__source"], ["size", "__salt"], [F.col("doc_id")], into="__place", totals=buckets))
-    rotated = [F.col("__offset") + k / options.draws for k in range(options.draws)]
-    rotated = [u - F.floor(u) for u in rotated]
-    crossed = lambda place, u: F.floor(place.cast("double") * F.col("__copies") + u)
-    times = lambda u: (crossed(F.col("__place") + 1, u) - crossed(F.col("__place"), u)).cast("long")
-    tried = placed.select("__source", "size", "__place").join(known, "__source").groupBy("__source").agg(
-        F.first("target").alias("target"), F.first("__offset").alias("__offset"), *[F.sum(times(u) * F.col("size")).alias(f"__words{k}") for k, u in enumerate(rotated)]
-    )
-    nearest = F.least(*[F.struct(F.abs(F.col(f"__words{k}") - F.col("target")).alias("miss"), F.lit(k).alias("k"), u.alias("u")) for k, u in enumerate(rotated)])
-    chosen = tried.select("__source", nearest["u"].alias("__chosen"))
-    chosen = _checked(settle(known.join(chosen, "__source")), options)
-    held = [F.col("__row")] if rows else []
-    mixed = placed.join(chosen, "__source").withColumn("copies", times(F.col("__chosen")))
-    return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *held)
+    placed = running_total(sized, ["__source"], ["size", "__salt"], [F.col("doc_id"), F.col("__code")], into="__place", totals=buckets)
+    crossed = lambda place: F.floor(place.cast("double") * F.col("__copies") + F.col("__offset"))
+    return placed.join(known, "__source").withColumn("copies", (crossed(F.col("__place") + 1) - crossed(F.col("__place"))).cast("long"))
 
 
 def _checked(sources: DataFrame, options: Mix) -> DataFrame:
@@ -114,9 +105,10 @@ def _checked(sources: DataFrame, options: Mix) -> DataFrame:
 
 def copies(docs: DataFrame, options: Mix = Mix()) -> DataFrame:
     """The mixed documents: every row as often as it is taken, with its own columns."""
-    mixed = mix(docs, options, rows=True)
-    times = F.array_repeat(F.lit(0), F.col("copies").cast("int"))
-    return mixed.where(F.col("copies") > 0).select(F.explode(times), "__row").select("__row.*")
+    names = [f"`{c}`" for c in docs.columns]
+    held = settle(docs.select(*names, words(F.col("text")).alias("__words"), F.monotonically_increasing_id().alias("__row")))
+    mixed = taken(keyed(held, F.col("__words"), F.col("__row")), options).where("copies > 0").select("__row", F.col("copies").cast("int").alias("__times"))
+    return held.join(settle(mixed), "__row").withColumn("__one", F.explode(F.array_repeat(F.lit(0), F.col("__times")))).select(*names)
 
 
 def oracle(options: Mix = Mix()) -> str:
@@ -125,7 +117,7 @@ def oracle(options: Mix = Mix()) -> str:
     pattern = WORD.replace("'", "''")
     return f"""
     WITH sized AS (
-        SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{pattern}')), 0)::BIGINT AS size,
+        SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{pattern}')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, text, '')) AS code,
             CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS skey
         FROM documents),
     sums AS (SELECT skey, sum(size)::BIGINT AS source_size FROM sized GROUP BY skey),
@@ -144,15 +136,8 @@ def oracle(options: Mix = Mix()) -> str:
             (('0x' || substr(md5('{options.seed}:' || skey), 1, 8))::BIGINT)::DOUBLE / 4294967296.0::DOUBLE AS start
         FROM levels),
     placed AS (
-        SELECT doc_id, source, skey, size, source_size, target, start, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS expected,
-            row_number() OVER (PARTITION BY skey ORDER BY size, ((coalesce(doc_id, 0) % {SALTS}) + {SALTS}) % {SALTS}, doc_id NULLS FIRST) AS place
+        SELECT doc_id, source, size, source_size, target, start, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS expected,
+            row_number() OVER (PARTITION BY skey ORDER BY size, ('0x' || substr(code, 1, 4))::INT % {SALTS}, doc_id NULLS FIRST, CASE WHEN doc_id IS NULL THEN code END) AS place
         FROM sized JOIN targets USING (skey)),
-    turns AS (SELECT k, k / {options.draws}.0::DOUBLE AS turn FROM range({options.draws}) AS r(k)),
-    tried AS (
-        SELECT skey, k, any_value(start + turn - floor(start + turn)) AS u, any_value(target) AS target,
-            sum((floor(place::DOUBLE * expected + (start + turn - floor(start + turn))) - floor((place - 1)::DOUBLE * expected + (start + turn - floor(start + turn))))::BIGINT * size) AS words
-        FROM placed, turns GROUP BY skey, k),
-    chosen AS (SELECT skey, u FROM tried QUALIFY row_number() OVER (PARTITION BY skey ORDER BY abs(words - target), k) = 1),
-    taken AS (
-        SELECT *, (floor(place::DOUBLE * expected + u) - floor((place - 1)::DOUBLE * expected + u))::BIGINT AS copies FROM placed JOIN chosen USING (skey))
-    SELECT doc_id, source, size, source_size, target, copies, copies * size AS taken FROM taken"""
+    taken AS (SELECT *, (floor(place::DOUBLE * expected + start) - floor((place - 1)::DOUBLE * expected + start))::BIGINT AS copies FROM placed)
+    SELECT doc_id, size, source_size, target, copies * size AS taken, source, copies FROM taken"""

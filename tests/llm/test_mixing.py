@@ -48,11 +48,22 @@ def test_equals_sql(spark):
     docs = documents(spark, corpus(150))
     con = duckdb.connect()
     con.register("documents", docs.toArrow())
-    want = con.sql(mixing.oracle()).fetchall()
     names = ["doc_id", "source", "size", "source_size", "target", "copies", "taken"]
+    want = con.sql(f"SELECT {', '.join(names)} FROM ({mixing.oracle()}) AS q").fetchall()
     assert rows_of(mixing.mix(docs).select(*names)) == sorted(want, key=repr)
 
 
+def test_every_document_is_taken_as_its_stretch_of_the_sum_says(spark):
+    rows = [(None if i % 7 == 0 else i * 1024, " ".join(["w"] * (i % 9)), "en", f"s{i % 2}", 1) for i in range(120)]
+    got = mixing.mix(documents(spark, rows)).collect()
+    for source in ("s0", "s1"):
+        own = [r for r in got if r["source"] == source]
+        expected = own[0]["target"] / own[0]["source_size"]
+        floor = int(expected)
+        assert {r["copies"] for r in own} <= {floor, floor + 1}  # one random offset: floor or ceiling of the expectation
+        assert abs(sum(r["copies"] for r in own) - expected * len(own)) < 1
+
+
 def test_copies_keep_columns(spark):
     docs = widened(spark)
     out = mixing.copies(docs)
