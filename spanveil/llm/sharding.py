@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, settle
-from .ranks import running_total, salt
+from .ranks import bases, running_total, salt
 
 
 @dataclass(frozen=True)
@@ -150,11 +150,18 @@ def shard(docs: DataFrame, options: Sharding = Sharding()) -> DataFrame:
     loads = _loads(kept, options.shards)
 
     order = [F.col("doc_id"), F.col("size"), F.col("text_crc32")]
-    linked = base.withColumn("text", F.coalesce("text", F.lit(b"none"))).withColumn("salt", salt(*order))
-    linked = running_total(linked, ["text"], ["salt"], order, into="place").drop("salt")
-    stretch = kept.select(F.col("text").alias("of"), "shard", "from", "until")
-    placed = linked.join(stretch, (F.col("text") == F.col("of")) & (F.col("place") >= F.col("from")) & (F.col("place") < F.col("until")), "left")
-    placed = settle(placed.select("doc_id", "size", "text_crc32", "shard"))
+    # A text's stretches join the buckets of its documents, a row each; the documents join their bucket, so that no text is one key of a join of documents.
+    linked = base.withColumn("salt", salt(*order))
+    stretches = kept.groupBy("text").agg(F.collect_list(F.struct("from", "until", "shard")).alias("stretches"))  # one a shard at most
+    totals = linked.where(F.col("text").isNotNull()).groupBy("text", "salt").agg(F.count(F.lit(1)).alias("__amount")).join(stretches, "text")
+    bucket = settle(bases(totals, ["text"], ["salt"], "__amount"))
+    inside = F.row_number().over(Window.partitionBy("text", "salt").orderBy(*order)) - 1
+    known = linked.join(bucket, ["text", "salt"])
+    known = known.withColumn("place", F.col("__base") + inside)
+    own = F.filter("stretches", lambda x: (F.col("place") >= x["from"]) & (F.col("place") < x["until"]))
+    placed = known.select("doc_id", "size", "text_crc32", F.get(own, F.lit(0))["shard"].alias("shard"))
+    alone = linked.join(bucket.select("text", "salt"), ["text", "salt"], "left_anti").select("doc_id", "size", "text_crc32", F.lit(None).cast("int").alias("shard"))
+    placed = settle(placed.unionByName(alone))
 
     free = placed.where(F.col("shard").isNull()).drop("shard").withColumn("one", F.lit(0)).withColumn("salt", salt(*order)).withColumn("fine", salt(F.lit(1), *order))
     free = running_total(free, ["one"], ["salt", "fine"], order, into="place")
