@@ -5,6 +5,8 @@ Each is the expression of the DataFrame API as SQL text (``sqltext``): one imple
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,16 +31,26 @@ def styled(text: Column, style: Column, held: Bundle, salt: str) -> Column:
     return bind(spans_of_text(text, held), by_style)
 
 
-def register(spark: SparkSession, patterns: Bundle | None = None, salt: str = "") -> None:
-    """validate_*, redact(text), redact_as(text, style) and detect_spans(text) for SQL of this session. Patterns that need Python workers can't be registered."""
+NAMES = ("validate", "redact", "redact_as", "detect_spans")
+
+
+def register(spark: SparkSession, patterns: Bundle | None = None, salt: str = "", names: Sequence[str] = NAMES) -> None:
+    """validate_*, redact(text), redact_as(text, style) and detect_spans(text) for SQL of this session, or those of them that are named.
+
+    Spark analyses each when it is registered, which takes some seconds. Patterns that need Python workers can't be registered.
+    """
     held = patterns or bundle(PROFILES["shipped"])
-    validators.register(spark)
     text, style = F.col("text"), F.col("style")
     spans = spans_of_text(text, held)
-    plain = sql_text(masked(text, spans, Options(), salt=salt)["redacted"])
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION redact(text STRING) RETURNS STRING RETURN {plain}")
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION redact_as(text STRING, style STRING) RETURNS STRING RETURN {sql_text(styled(text, style, held, salt))}")
-    record = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"), s["score"].alias("score"), text.substr(s["start"] + 1, s["end"] - s["start"]).alias("value"))
-    found = sql_text(F.transform(spans, record))
-    columns = "start INT, `end` INT, label STRING, score DOUBLE, value STRING"
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION detect_spans(text STRING) RETURNS TABLE ({columns}) RETURN SELECT s.start, s.`end`, s.label, s.score, s.value FROM (SELECT explode({found}) AS s)")
+    if "validate" in names:
+        validators.register(spark)
+    if "redact" in names:
+        plain = sql_text(masked(text, spans, Options(), salt=salt)["redacted"])
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION redact(text STRING) RETURNS STRING RETURN {plain}")
+    if "redact_as" in names:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION redact_as(text STRING, style STRING) RETURNS STRING RETURN {sql_text(styled(text, style, held, salt))}")
+    if "detect_spans" in names:
+        value = lambda s: text.substr(s["start"] + 1, s["end"] - s["start"])
+        found = sql_text(F.transform(spans, lambda s: F.struct(*[s[c].alias(c) for c in ("start", "end", "label", "score")], value(s).alias("value"))))
+        columns = "start INT, `end` INT, label STRING, score DOUBLE, value STRING"
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION detect_spans(text STRING) RETURNS TABLE ({columns}) RETURN SELECT s.start, s.`end`, s.label, s.score, s.value FROM (SELECT explode({found}) AS s)")

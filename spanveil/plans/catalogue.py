@@ -281,17 +281,17 @@ def person_names(spark, sf_dir):
 
 
 def sql_redact(spark, sf_dir):
-    sql.register(spark, SHIPPED)
+    sql.register(spark, SHIPPED, names=["redact"])
     return spark.sql("SELECT doc_id, redact(text) AS redacted FROM {documents}", documents=spread(documents(spark, sf_dir)))
 
 
 def sql_redact_contracts(spark, sf_dir):
-    sql.register(spark, SHIPPED)
+    sql.register(spark, SHIPPED, names=["redact"])
     return spark.sql("SELECT doc_id, redact(text) AS redacted FROM {contracts}", contracts=spread(contracts(spark, sf_dir).select("doc_id", "text")))
 
 
 def sql_detect_spans(spark, sf_dir):
-    sql.register(spark, SHIPPED)
+    sql.register(spark, SHIPPED, names=["detect_spans"])
     return spark.sql("SELECT doc_id, s.label, s.start, s.end, s.value FROM {documents}, LATERAL detect_spans(text) AS s", documents=documents(spark, sf_dir))
 
 
@@ -459,8 +459,8 @@ def _oracle_random() -> str:
     """E-mails under random masks: letters by the digest of the seed, the document and the place."""
     return f"""
     WITH cut AS (SELECT doc_id, regexp_split_to_array(text, '{_EMAIL}') AS g, regexp_extract_all(text, '{_EMAIL}') AS m FROM documents),
-    placed AS (SELECT doc_id, g, m, list_transform(range(1, len(m) + 1), lambda i: CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS BIGINT)) AS at FROM cut),
-    coded AS (SELECT doc_id, g, m, list_transform(at, lambda x: sha256('{SEED}:' || doc_id || ':' || x)) AS code FROM placed),
+    placed AS (SELECT doc_id, g, m, list_transform(range(1, len(m) + 1), lambda i: CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS BIGINT)) AS places FROM cut),
+    coded AS (SELECT doc_id, g, m, list_transform(places, lambda x: sha256('{SEED}:' || doc_id || ':' || x)) AS code FROM placed),
     drawn AS (SELECT doc_id, g, m, list_transform(range(1, len(m) + 1), lambda i: array_to_string(list_transform(range(least(greatest(length(m[i]), {SHORTEST}), {LONGEST})),
         lambda j: substr('{ALPHABET}', CAST('0x' || substr(code[i], 2 * j + 1, 2) AS INT) % {len(ALPHABET)} + 1, 1)), '')) AS r FROM coded)
     SELECT doc_id, array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i] || CASE WHEN i <= len(m) THEN r[i] ELSE '' END), '') AS redacted FROM drawn"""
