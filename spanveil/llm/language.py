@@ -2,7 +2,8 @@
 
 A text becomes counts of the byte 2- and 3-grams of its lowered letters, hashed to ``dims`` dimensions; log(1 + count) times the inverse document frequency,
 scaled to length 1. Document frequencies cover all labelled documents of the training part. Each language has up to ``centroids`` centroids from spherical k-means over a
-bounded sample of its labelled documents (``sample`` a language in expectation, chosen by a hash of the id). A text takes the language of
+bounded sample of its labelled documents (``sample`` a language in expectation, fewer where more than ``total`` would come together, chosen by a hash of the id).
+If there are more than ``languages`` label values, those with the most documents are learnt. A text takes the language of
 the nearest centroid by cosine; its score is that cosine. A text farther from every centroid than ``slack`` times what training documents
 reach at least (their ``quantile``) is marked as rejected. A text of few distinct n-grams can't come near a centroid of thousands, so the
 bound shrinks with the root of their number below ``evidence``.
@@ -11,7 +12,8 @@ The training part is everything but one document in five, by a checksum of the i
 shuffle; the model (dims x centroids numbers) travels with the task.
 
 Defined cases: a text that is null or without a letter is ``und`` with score 0 and is rejected; with nothing to learn from every text is; null labels and null ids are not learnt from;
-a null id is not held out; ``accepted`` keeps every column, whatever its name; an empty table gives no rows.
+a null id is not held out; of centroids that are equally near, the first one's language by name counts; repeated rows are learnt from and judged each by itself; a very long text is
+counted whole, in pieces; ``identify`` reads no other column and ``accepted`` keeps every column, whatever its name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,6 +38,9 @@ class Identification:
     dims: int = 4096
     centroids: int = 4
     sample: int = 600
+    #: Bounds of what is learnt from: label values, and documents of the sample over all of them.
+    languages: int = 256
+    total: int = 12_000
     quantile: float = 0.01
     slack: float = 0.5
     evidence: int = 64
@@ -121,10 +126,12 @@ def document_frequencies(texts: DataFrame, dims: int) -> tuple[np.ndarray, int]:
 
 def sample(learnable: DataFrame, options: Identification) -> tuple[list[str], np.ndarray]:
     """Languages and counts of the bounded sample, in the order of its ids."""
-    sizes = {r["lang"]: r["n"] for r in learnable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = learnable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(options.languages)
+    sizes = {r["lang"]: r["n"] for r in counted.collect()}
     if not sizes:
         return [], np.zeros((0, options.dims), np.int64)
-    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, options.sample / n))]), F.col("lang"))
+    each = min(options.sample, options.total / len(sizes))
+    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, each / n))]), F.col("lang"))
     drawn = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     dims = options.dims
 

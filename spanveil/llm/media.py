@@ -6,7 +6,8 @@ takes a hash of the lowest frequencies of the image's cosine transform. A broken
 
 Everything is row by row: no shuffle, memory bounded by a few rows' bytes (batches are cut at 8 MB, a longer text is a batch by itself), lost executors repeat only their tasks.
 
-Defined cases: a null or empty text is one row of 64 bytes 0; equal texts give equal media and features; a null doc_id stays null; repeated rows stay repeated; an empty table gives no rows; other columns are not read.
+Defined cases: a null or empty text is one row of 64 bytes 0; equal texts give equal media and features; a null doc_id stays null; a very long text is one tall image, held a few times over by
+its task; frequencies that equal the median are not above it; repeated rows stay repeated; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

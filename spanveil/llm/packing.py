@@ -12,7 +12,7 @@ a partition is therefore written as its binary digits where that is cheaper than
 Only the scan's partitions are used: nothing is shuffled, and a lost executor repeats its partitions with equal results. Memory is
 bounded by a block of ``block`` ids and the longest document. A sequence id is the partition's number and a running number in it.
 
-Defined cases: a null or empty text is the end id alone; equal rows are packed once each; a null doc_id is packed and stays null; an
+Defined cases: of cuts that are equally dear the earliest position in the queue counts, so reruns agree; a very long text is tokenised word by word and cut like any other; a null or empty text is the end id alone; equal rows are packed once each; a null doc_id is packed and stays null; an
 empty table gives no rows; other columns are not read, so that their names can't clash.
 """
 
@@ -47,7 +47,7 @@ class Packing:
     word_cut: float = 48.0
     block: int = 1 << 20
     #: Words whose ids are kept at hand in each worker: those of late, in two generations.
-    remembered: int = 240_000
+    remembered: int = 480_000
 
 
 class Words:

@@ -1,4 +1,7 @@
-"""Distributed running totals, so that not even one key with a third of all rows meets in a task."""
+"""Distributed running totals, so that not even one key with a third of all rows meets in a task.
+
+Rows that are equal in keys, levels and order are interchangeable; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 

@@ -6,8 +6,8 @@ Rules go first: a rule fits its host, all subdomains, and paths that start with
 
 Row by row, no shuffle; the vocabulary and rules are parameters that travel with the task.
 
-Defined cases: a null URL or one without ``://`` has empty host and path; a null URL has no hits and is allowed; repeated rows stay repeated; an
-empty table gives no rows; other columns are not read.
+Defined cases: a null URL or one without ``://`` has empty host and path; a null URL has no hits and is allowed; a very long URL is read whole, once; of
+rules that are equally long the first one decides; repeated rows stay repeated; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

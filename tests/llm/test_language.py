@@ -80,3 +80,10 @@ def test_short_texts_stay_and_foreign_ones_go(spark):
     foreign = ["Съешь же ещё этих мягких французских булок да выпей чаю " * 3, "東京都は日本の首都であり世界最大級の都市である" * 4, "ααα βββ γγγ δδδ εεε ζζζ ηηη θθθ " * 4]
     assert not language.judged(short, model)[2].any()
     assert language.judged(foreign, model)[2].all()
+
+
+def test_many_labels_are_bounded(spark):
+    rows = [(i, f"wort nummer {i} in {'der' if i % 2 else 'the'} schule", f"l{i % 40}" if i % 3 == 0 else "en", "s", 1) for i in range(200)]
+    options = language.Identification(languages=5, total=50)
+    model = language.learn(documents(spark, rows), options)
+    assert len(set(model.languages)) <= 5 and "en" in model.languages

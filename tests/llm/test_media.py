@@ -1,4 +1,5 @@
 import hashlib
+import math
 import struct
 import zlib
 
@@ -83,3 +84,27 @@ def test_hash_is_low_frequency():
     near = bin(int(media.frequency_hash(smooth), 16) ^ int(media.frequency_hash(noisy), 16)).count("1")
     other = np.random.default_rng(1).integers(0, 256, (64, 64)).astype(np.uint8)
     assert near <= 6 < bin(int(media.frequency_hash(smooth), 16) ^ int(media.frequency_hash(other), 16)).count("1")
+
+
+def plain_feature(samples):
+    """Cell by cell and frequency by frequency."""
+    height, width = len(samples), len(samples[0])
+    picture = [[0.0] * 32 for _ in range(32)]
+
+    def shares(n):
+        """Of each of 32 stretches of n rows, the rows that it covers and how much of them."""
+        return [[(k, min(n * (i + 1) / 32, k + 1) - max(n * i / 32, k)) for k in range(int(n * i / 32), min(n, int(n * (i + 1) / 32) + 1))] for i in range(32)]
+
+    for i, rows in enumerate(shares(height)):
+        for j, columns in enumerate(shares(width)):
+            picture[i][j] = sum(samples[y][x] * a * b for y, a in rows if a > 0 for x, b in columns if b > 0) * (32 / height) * (32 / width)
+    wave = [[math.cos(math.pi * (x + 0.5) * u / 32) for x in range(32)] for u in range(8)]
+    low = [round(sum(wave[u][y] * wave[v][x] * picture[y][x] for y in range(32) for x in range(32)), 6) for u in range(8) for v in range(8)]
+    middle = sorted(low[1:])[31]
+    return f"{int(''.join('1' if f > middle else '0' for f in low), 2):016x}"
+
+
+@pytest.mark.parametrize("height", [1, 5, 32, 77])
+def test_feature_equals_a_plain_version(height):
+    samples = np.random.default_rng(height).integers(0, 256, (height, 64), dtype=np.uint8)
+    assert media.frequency_hash(samples) == plain_feature(samples.tolist())

@@ -107,3 +107,23 @@ def test_null_only_component_and_repeats(spark):
     docs = documents(spark, rows)
     assert simhash.keep_one(docs).count() == 2
     assert [r["component_id"] for r in simhash.groups(docs).where("doc_id is null").collect()] == [None] * 3
+
+
+def test_very_long_texts_of_many_words(spark):
+    draw = random.Random(5)
+    words = [f"w{draw.randrange(10**6)}" for _ in range(60_000)]
+    near = list(words)
+    near[500] = "other"
+    rows = [(1, " ".join(words), "en", "s", 1), (2, " ".join(near), "en", "s", 1), (3, " ".join(words[::-1]), "en", "s", 1)]
+    assert [r["component_id"] for r in simhash.groups(documents(spark, rows)).orderBy("doc_id").collect()] == [1, 1, 3]
+    assert {r["doc_id"] for r in simhash.keep_one(documents(spark, rows), simhash.SimHash.similar(0.8)).collect()} == {1, 3}
+
+
+def test_postings_hold_every_pair_of_the_minimum():
+    """Two fingerprints that share four of eight bytes share a key; no key needs the last byte."""
+    from itertools import combinations
+
+    options = simhash.SimHash()
+    choices = set(combinations(range(options.first), options.posted))
+    assert options.first == 7 and len(choices) == 35
+    assert all(any(set(c) <= set(shared) for c in choices) for shared in combinations(range(8), options.matches))
