@@ -372,19 +372,26 @@ def train(coded: DataFrame, numbers: np.ndarray, options: Scoring) -> Network:
         start = context.broadcast(network)
 
         def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            own = copy(start.value)
+            own, total, count = copy(start.value), None, None
             for shard in by_shard(batches):
                 own.parts = [p.copy() for p in start.value.parts]
                 own.begin()
                 for x, y in stretches(shard, options, own.pad):
                     own.learn(x, y)
+                if total is None:  # the shards of a task are summed up here
+                    total, count = (np.zeros(sum(p.size for p in own.parts), np.int64) for _ in range(2))
                 places, values = own.answer()
-                for at in range(0, len(places), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(places[at : at + (1 << 16)].astype(np.int32)), pa.array(values[at : at + (1 << 16)])], ["place", "value"])
+                total[places] += values
+                count[places] += 1
+            places = np.flatnonzero(count) if total is not None else []
+            for at in range(0, len(places), 1 << 16):
+                part = places[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part]), pa.array(count[part])], ["place", "value", "shards"])
 
         mine = documents.where(F.col("turn") == turn).select("shard", "place", "ids")
         mine = mine.repartition("shard").sortWithinPartitions("shard", "place", "ids")
-        summed = map_arrow(mine, run, "place int, value long").groupBy("place").agg((F.sum("value") / F.count(F.lit(1)) / UNIT).alias("value"))
+        answers = map_arrow(mine, run, "place int, value long, shards long").groupBy("place")
+        summed = answers.agg((F.sum("value") / F.sum("shards") / UNIT).alias("value"))
         found = summed.toArrow()  # bounded by the parameters
         network.take(found.column("place").to_numpy(), found.column("value").to_numpy())
         start.unpersist()
