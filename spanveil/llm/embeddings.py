@@ -114,8 +114,8 @@ def placed(nodes: DataFrame, options: Passes) -> DataFrame:
     rows = settle(map_arrow(ordered, run, "pass int, kind long, node long, one long, two long, part int, at long"))
     sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # one row a partition
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    begin = F.broadcast(sizes.select("part", F.coalesce(before, F.lit(0)).alias("begin")))
-    return rows.join(begin, "part").select(*ROW, (F.col("begin") + F.col("at")).alias("pos"))
+    begin = settle(sizes.select("part", F.coalesce(before, F.lit(0)).alias("begin")), 1)
+    return rows.join(F.broadcast(begin), "part").select(*ROW, (F.col("begin") + F.col("at")).alias("pos"))
 
 
 ROW = ["pass", "kind", "node", "one", "two"]

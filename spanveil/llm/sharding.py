@@ -40,9 +40,9 @@ def _loads(state: DataFrame, shards: int) -> list[int]:
     return loads
 
 
-def _together(state: DataFrame) -> int | None:
-    """Twice the links that are not cut, and the documents."""
-    return state.agg(F.sum(F.col("n").cast("decimal(19,0)") * F.col("n"))).first()[0]
+def _together(state: DataFrame) -> tuple[int | None, int]:
+    """Twice the links that are not cut, and the documents; and the rows of the state."""
+    return tuple(state.agg(F.sum(F.col("n").cast("decimal(19,0)") * F.col("n")), F.count(F.lit(1))).first())
 
 
 def circulation(wants: list[list[int]], free: list[int]) -> list[list[int]]:
@@ -90,8 +90,8 @@ def propagate(state: DataFrame, quotas: list[int]) -> DataFrame:
 
     Of two kinds, free places come first, then they take turns: texts move to their largest holding with free places, or to their largest one in exchange.
     """
-    count, together, still, turn = len(quotas), _together(state), 0, 0
-    exchange = False
+    count, still, turn, exchange = len(quotas), 0, 0, False
+    together, rows = _together(state)
     while still < 2:
         loads = _loads(state, count)
         free = [max(0, q - n) for q, n in zip(quotas, loads, strict=True)]
@@ -114,10 +114,10 @@ def propagate(state: DataFrame, quotas: list[int]) -> DataFrame:
         admitted = moving.select("text", "shard", "to", F.greatest(F.lit(0).cast("long"), F.least("n", left)).alias("n")).where(F.col("n") > 0)
         change = admitted.select("text", F.explode(F.array(F.struct("shard", (-F.col("n")).alias("n")), F.struct(F.col("to").alias("shard"), "n"))).alias("c"))
         following = state.unionByName(change.select("text", "c.shard", "c.n")).groupBy("text", "shard").agg(F.sum("n").alias("n")).where(F.col("n") > 0)
-        following = settle(following)
+        following = settle(following, rows)
         discard(state)
         state, before = following, together
-        together = _together(state)
+        together, rows = _together(state)
         still = still + 1 if together == before else 0  # every move raises this sum
         turn += 1
         exchange = exchange != (still > 0 or turn >= 6)  # few free places come up late, one after the other; exchanges do not wait for them
