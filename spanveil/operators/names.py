@@ -78,7 +78,8 @@ def domain_lemmas(words: Iterable[str] = DOMAIN) -> Callable[[Column], Column]:
 def stop_fragment(fragment: Column, stop: Iterable[str] = STOP, lemmas: Callable[[Column], Column] | None = None) -> Column:
     """Whether a fragment is made of stop words: all of them, one of at most two, or four fifths of a short one. Without words it is."""
     lemmas = lemmas or domain_lemmas()
-    words = F.transform(F.regexp_extract_all(fragment, F.lit(TOKEN), F.lit(1)), lambda w: lemmas(w))
+    initial = lambda w: (F.length(w) == 1) & (w != F.lower(w))  # noqa: E731  a capital by itself is no word
+    words = F.transform(F.regexp_extract_all(fragment, F.lit(TOKEN), F.lit(1)), lambda w: F.when(initial(w), w).otherwise(lemmas(w)))
     table = F.array(*[F.lit(w) for w in stop])
     hits = F.size(F.filter(words, lambda w: F.array_contains(table, w)))
     n = F.size(words)
