@@ -47,7 +47,7 @@ class Packing:
     word_cut: float = 48.0
     block: int = 1 << 20
     #: Words whose ids are kept at hand in each worker: those of late, in two generations.
-    remembered: int = 480_000
+    remembered: int = 800_000
 
 
 class Words:
