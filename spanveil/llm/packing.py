@@ -61,6 +61,8 @@ class Words:
     TAIL = re.compile(rb"(.*[a-z])([!-/:-@\[-`{-~]+)", re.DOTALL)
     #: Byte-level letters: bytes without a printable Latin-1 character take the characters from U+0100 on, in order.
     BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+    #: Bytes of letters up to U+00FF in UTF-8, and of some other signs that are no letters.
+    WESTERN = bytes([*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC2, 0xC3])
     BLANK = bytes.maketrans(b"\t\r\n\x0b\x0c", b"     ")
     LOWER = bytes.maketrans(bytes(range(65, 91)) + b"\t\r\n\x0b\x0c", bytes(range(97, 123)) + b"     ")
 
@@ -102,8 +104,7 @@ class Words:
 
     def latin(self, word: bytes) -> str | None:
         """The byte-level form of a word of letters up to U+00FF, which normalising only lowers; None for any other word."""
-        text = word.decode()
-        if not text.isalpha() or max(text) > "\u00ff":
+        if word.translate(None, self.WESTERN) or not (text := word.decode()).isalpha():
             return None
         return text.lower().encode().decode("latin-1").translate(self.BYTES)
 
