@@ -71,15 +71,23 @@ def anonymize_contacts(df: DataFrame, style: str | None = None, text: str = "tex
     settings = settings or load_settings()
     style = (style or settings.mask_style or "tag").lower()
     out = F.col(text)
-    for one in recognisers(settings):
-        if one.source != CONTACTS or one.score < min_score:
-            continue
-        java = compile_pattern(one.label, one.pattern, ["U"]).java
-        if style in ("mask", "hash"):
-            pieces, found = F.split(out, java, -1), F.regexp_extract_all(out, F.lit(java), F.lit(0))
-            new = F.transform(found, lambda m: F.repeat(F.lit("*"), F.length(m)) if style == "mask" else F.sha2(m.cast("binary"), 256))
-            woven = F.zip_with(pieces, new, lambda p, m: F.concat(p, F.coalesce(m, F.lit(""))))
-            out = F.array_join(woven, "")
-        else:
-            out = F.regexp_replace(out, java, TAGS[one.label].replace("[", r"\[").replace("$", r"\$"))
+    contacts = [r for r in recognisers(settings) if r.source == CONTACTS and r.score >= min_score]
+    patterns = [compile_pattern(r.label, r.pattern, ["U"]).java for r in contacts]
+    if style in ("mask", "hash"):
+        return df.withColumn(text, _rewritten(out, patterns, style))
+    for one, java in zip(contacts, patterns, strict=True):
+        out = F.regexp_replace(out, java, TAGS[one.label].replace("[", r"\[").replace("$", r"\$"))
     return df.withColumn(text, out)
+
+
+def _rewritten(text: Column, patterns: list[str], style: str) -> Column:
+    """Matches of the first pattern, and between them those of the others: what has been replaced is not searched, as the digits of a hash may look like a telephone number."""
+    if not patterns:
+        return text
+    java, *others = patterns
+    pieces = F.split(text, java, -1)
+    if others:
+        pieces = F.transform(pieces, lambda p: _rewritten(p, others, style))
+    found = F.regexp_extract_all(text, F.lit(java), F.lit(0))
+    new = F.transform(found, lambda m: F.repeat(F.lit("*"), F.length(m)) if style == "mask" else F.sha2(m.cast("binary"), 256))
+    return F.array_join(F.zip_with(pieces, new, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")

@@ -127,6 +127,15 @@ def test_structured_identifiers_and_contacts(spark):
     assert one("hash").endswith(hashlib.sha256(b"a.b@c.example.com").hexdigest())
 
 
+def test_hashes_of_contacts_are_not_searched_again(spark):
+    """The hash of the first address holds what looks like a telephone number; a hash's last digit is no digit before a number."""
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    last = next(m for m in (f"v{i}@x.de" for i in range(99)) if sha(m)[-1].isdigit())
+    df = spark.createDataFrame([(0, "an u49@x.de, 8 999 123-45-67."), (1, f"{last}+79991234567"), (2, None)], "k int, text string")
+    got = {r["k"]: r["text"] for r in structured.anonymize_contacts(df, "hash", settings=structured.Settings()).collect()}
+    assert got == {0: f"an {sha('u49@x.de')}, {sha('8 999 123-45-67')}.", 1: sha(last) + sha("+79991234567"), 2: None}
+
+
 def test_summaries(spark):
     log = "array<struct<start:int,end:int,label:string>>"
     df = spark.createDataFrame([(1, "x", [(0, 3, "ORG"), (5, 6, "ORG"), (7, 9, "ROLE+PERSON")]), (2, "y", []), (3, None, None)], f"doc_id int, redacted string, logs {log}")
