@@ -205,10 +205,11 @@ def shared(posted: DataFrame) -> DataFrame:
     """The postings of keys with two members or more.
 
     Members are counted by partial aggregation, and only lists that can form a pair are moved by their key; the join has no row order or group
-    behind it, so that adaptive execution splits a long list there.
+    behind it, so that adaptive execution splits a long list there. Spark takes the postings for as large as the nodes they are made of and
+    would broadcast them, so the join is told to merge.
     """
     counted = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    return settle(posted.join(counted, "key"))
+    return settle(posted.hint("merge").join(counted, "key"))
 
 
 def cells(members: DataFrame, block: int, budget: int = 8 << 20) -> DataFrame:

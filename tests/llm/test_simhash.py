@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from spanveil.llm import simhash
 
@@ -127,3 +128,11 @@ def test_postings_hold_every_pair_of_the_minimum():
     choices = set(combinations(range(options.first), options.posted))
     assert options.first == 7 and len(choices) == 35
     assert all(any(set(c) <= set(shared) for c in choices) for shared in combinations(range(8), options.matches))
+
+
+def test_postings_are_not_broadcast(spark, monkeypatch):
+    """35 rows are made of each node; Spark guesses their size from the nodes."""
+    monkeypatch.setattr(simhash, "settle", lambda df: df)
+    nodes = spark.range(1000).select(F.col("id").alias("node"), F.unhex(F.lpad(F.hex("id"), 16, "0")).alias("fp"))
+    plan = simhash.shared(simhash.postings(nodes, simhash.SimHash()))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
