@@ -270,7 +270,7 @@ def redact_all_recognisers(spark, sf_dir):
     """Contracts through recognisers, the name rules and patterns together."""
     options = Options(recognizers=("structured", "ner", "regex"))
     signed = F.concat(F.col("text"), F.lit(" Подписал: Иванов И.И."))
-    out = redact(contracts(spark, sf_dir).select("doc_id", signed.alias("text")), SHIPPED, options)
+    out = redact(spread(contracts(spark, sf_dir).select("doc_id", signed.alias("text"))), SHIPPED, options)
     return summary.logs(out).select("doc_id", "label", "start", "end", "score", "source")
 
 

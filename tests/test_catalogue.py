@@ -32,6 +32,13 @@ def test_query_equals_sql(spark, name):
         assert got == sorted(want, key=repr)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
+def test_all_recognisers_run_on_all_cores(spark):
+    """The customers are one file, which one task would read and redact."""
+    df = catalogue.redact_all_recognisers(spark, SF)
+    assert df._jdf.queryExecution().toRdd().getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_entry_needs_no_training_data_operators(tmp_path):
     """The entry without the optional parts: the same queries but theirs."""
     for name in ("__spark_entry__.py", "spanveil"):
