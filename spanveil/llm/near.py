@@ -1,7 +1,9 @@
 """Near-duplicates by the Jaccard similarity of shingle sets: an inverted index over byte positions finds candidates, the sets themselves decide.
 
-This is the method of ``simhash`` with other bytes: SimHash bits do not reach a similarity of 0.8 (see the README), bytes of MinHashes do. A text's set
-is the distinct XXH64 hashes of its word shingles, its fingerprint the last bytes of ``BANDS * ROWS`` MinHashes a seed. The index posts
+The first turn is the method of ``simhash``: the SimHash of a text's set is posted under three of its first seven bytes, pairs that meet have their
+positional bytes tallied and their bits verified, and the exact similarity of their sets then decides. SimHash bits do not reach all of a similarity of
+0.8 (see the README), so further turns follow with other bytes, over what the first one has not joined. A text's set
+is the distinct XXH64 hashes of its word shingles, its second fingerprint the last bytes of ``BANDS * ROWS`` MinHashes a seed. The index posts
 every band of ``ROWS`` positions with its bytes. A pair of similarity s shares a band with a probability of 1 - (1 - s**ROWS)**bands, which for the 32
 bands of 8 seeds leaves out 3 in a million pairs at 0.8 and fewer above.
 
@@ -24,14 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import discard, map_arrow, rows_of_bytes, settle, slices, whole_groups
 from .graph import components
 from .simhash import CELL, SEED, SMALL, cells, shared, shingle_hashes, small_pairs
 
 #: Bands of a seed, and MinHashes of a band.
 BANDS, ROWS = 4, 5
-#: Bytes behind the MinHashes: the set's own digest and the set's size.
-DIGEST, SIZE = 16, 4
+#: Bytes behind the MinHashes: the set's own digest, the set's size, and its SimHash.
+DIGEST, SIZE, PRINT = 16, 4, 8
+#: What stands for a band in the turn of the SimHashes.
+BITS = -1
 
 
 @dataclass(frozen=True)
@@ -44,6 +49,8 @@ class Near:
     block: int = 1024
     #: Bands whose links are joined before the others are looked at.
     early: int = 2
+    #: The turn of the SimHashes.
+    prints: simhash.SimHash = simhash.SimHash()
 
     @property
     def bands(self) -> int:
@@ -73,18 +80,18 @@ def salts(options: Near) -> tuple[np.ndarray, np.ndarray]:
 
 
 def mark(text: bytes | None, options: Near) -> bytes:
-    """A byte of each MinHash, a digest of the set and the number of its members; zeros without words."""
+    """A byte of each MinHash, a digest of the set, the number of its members and its SimHash; zeros without words."""
     from xxhash import xxh3_128_digest
 
     own = shingle_set(text, options)
     if not len(own):
-        return bytes(options.size + DIGEST + SIZE)
+        return bytes(options.size + DIGEST + SIZE + PRINT)
     add, times = salts(options)
     folded = (own ^ (own >> np.uint64(32))).astype(np.uint32)
     least = np.full(options.size, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(folded), 512):
         np.minimum(least, ((folded[None, at : at + 512] ^ add) * times).min(axis=1), out=least)
-    return (least * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).tobytes() + xxh3_128_digest(own.tobytes()) + len(own).to_bytes(SIZE, "big")
+    return (least * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).tobytes() + xxh3_128_digest(own.tobytes()) + len(own).to_bytes(SIZE, "big") + simhash.majority(own)
 
 
 def band_keys(fps: np.ndarray, options: Near) -> np.ndarray:
@@ -109,19 +116,29 @@ def postings(nodes: DataFrame, options: Near) -> DataFrame:
 
 
 def hopeful(x: np.ndarray, y: np.ndarray, kx: np.ndarray, ky: np.ndarray, band: int, options: Near) -> np.ndarray:
-    """Which pairs may reach the limit and share no earlier band. x, y: fingerprints, kx, ky: their band keys, one row each (or one row for all)."""
+    """Which pairs may reach the limit and share no earlier band. x, y: fingerprints, kx, ky: their band keys, one row each (or one row for all).
+
+    In the turn of the SimHashes: which pairs share enough of their bytes and differ in few bits.
+    """
+    if band == BITS:
+        return simhash.verified(x[:, -PRINT:], y[:, -PRINT:], options.prints)
     good = (x[:, : options.size] == y[:, : options.size]).sum(axis=1) >= options.fewest
     return good & ~(kx[:, :band] == ky[:, :band]).any(axis=1) if band else good
 
 
-def pending(dealt: DataFrame, options: Near) -> DataFrame:
-    """The rows of the cells that stand in a pair that may be a link: key, lo, hi, side, node, root, fp."""
+def bands_of(part: pa.RecordBatch, bits: bool) -> np.ndarray:
+    """The band of each row's key."""
+    return np.full(part.num_rows, BITS) if bits else part.column("key").to_numpy() >> 8 * ROWS
+
+
+def pending(dealt: DataFrame, options: Near, bits: bool = False) -> DataFrame:
+    """The rows of the cells that stand in a pair that may be a link: key, lo, hi, side, node, root, fp. bits: the lists are those of the SimHashes."""
     columns = [*CELL, "side", "node", "root", "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, begins, ends in whole_groups(batches, CELL):
             root, side, fps = part.column("root").to_numpy(), part.column("side").to_numpy(), rows_of_bytes(part.column("fp"))
-            keys, band = band_keys(fps, options), part.column("key").to_numpy() >> 8 * ROWS
+            keys, band = band_keys(fps, options), bands_of(part, bits)
             needed = np.zeros(part.num_rows, bool)
             small = ends - begins <= SMALL
             for i, j in small_pairs(begins[small], (ends - begins)[small]):
@@ -160,13 +177,13 @@ def similar(one: np.ndarray, others: list[np.ndarray], least: float) -> np.ndarr
     return good
 
 
-def decided(waiting: DataFrame, options: Near) -> DataFrame:
+def decided(waiting: DataFrame, options: Near, bits: bool = False) -> DataFrame:
     """a, b: roots that the links of the cells connect. waiting: as ``pending`` gives it, and set; each cell's rows together and in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, begins, ends in whole_groups(batches, CELL):
             root, side, fps, sets = part.column("root").to_numpy(), part.column("side").to_numpy(), rows_of_bytes(part.column("fp")), part.column("set")
-            keys, band = band_keys(fps, options), part.column("key").to_numpy() >> 8 * ROWS
+            keys, band = band_keys(fps, options), bands_of(part, bits)
             seen: set[tuple[int, int]] = set()
             for begin, end in zip(begins.tolist(), ends.tolist(), strict=True):
                 own = [np.frombuffer(sets[k].as_buffer(), np.uint64) for k in range(begin, end)]
@@ -200,23 +217,33 @@ def sets(texts: DataFrame, options: Near) -> DataFrame:
 def rooted(nodes: DataFrame, texts: DataFrame, options: Near) -> DataFrame:
     """The nodes with the root of their component. nodes: node, fp, best (with the row of the text); texts: row and text.
 
-    The first bands' links are joined first: what they connect need not be compared again under the others.
+    The links of the SimHashes are joined first, then those of the first bands: what they connect need not be compared again under the others.
     """
+    weight = F.conv(F.hex(F.substring("fp", options.size + DIGEST + 1, SIZE)), 16, 10).cast("long") * 8
+    first, nodes = nodes, nodes.withColumn("root", F.col("node")).withColumn("weight", weight)
+
+    def met(posted: DataFrame, nodes: DataFrame, bits: bool = False) -> DataFrame:
+        members = posted.join(nodes.select("node", "root", "weight", "fp"), "node").select("key", "node", "root", "weight", "fp")
+        return pending(cells(members, options.block), options, bits)
+
+    prints = nodes.select("node", F.substring("fp", options.size + DIGEST + SIZE + 1, PRINT).alias("fp"))
+    listed = shared(simhash.postings(prints, options.prints))
+    alike = settle(met(listed, nodes, True))
+    discard(listed)
     posted = shared(postings(nodes, options))
-    row = nodes.select("node", F.col("best.row").alias("row")).join(posted.select("node").distinct(), "node")
+    row = first.select("node", F.col("best.row").alias("row")).join(posted.select("node").unionByName(alike.select("node")).distinct(), "node")
     own = settle(sets(texts.join(row, "row").select("node", "text"), options))
-    weight = F.conv(F.hex(F.substring("fp", options.size + DIGEST + 1, SIZE)), 16, 10).cast("long") * 8
-    nodes = nodes.withColumn("root", F.col("node")).withColumn("weight", weight)
     band = F.shiftright("key", 8 * ROWS)
     before = None
-    for turn in (band < options.early, band >= options.early):
-        members = posted.where(turn).join(nodes.select("node", "root", "weight", "fp"), "node").select("key", "node", "root", "weight", "fp")
-        waiting = pending(cells(members, options.block), options).join(own, "node")
+    for turn in (None, band < options.early, band >= options.early):
+        bits = turn is None
+        waiting = (alike if bits else met(posted.where(turn), nodes)).join(own, "node")
         waiting = waiting.select(*CELL, "side", "root", "fp", "set", "node").repartition(*CELL).sortWithinPartitions(*CELL, "node")
-        found = components(decided(waiting, options), "a", "b").select(F.col("node").alias("root"), F.col("root").alias("new"))
+        found = components(decided(waiting, options, bits), "a", "b").select(F.col("node").alias("root"), F.col("root").alias("new"))
         nodes = settle(nodes.join(found, "root", "left").withColumn("root", F.coalesce("new", "root")).drop("new"))
         discard(before)
         before = nodes
     discard(posted)
+    discard(alike)
     discard(own)
     return nodes

@@ -7,7 +7,8 @@ three of its first seven positions with their bytes: two that share m = 4 of all
 Pairs that meet in a list have their shared positional bytes tallied over all eight; those below the minimum go, and the rest is verified by the differing bits.
 
 ``SimHash()`` finds every link. A text may have several fingerprints of different seeds; then a pair is verified over the bits of all of them and
-is a candidate if any one shares the minimum. Bits do not reach a Jaccard similarity of 0.8; ``similar`` gives the options of ``near``, which does, for ``keep_one``.
+is a candidate if any one shares the minimum. Bits do not reach all of a Jaccard similarity of 0.8; ``similar`` gives the options of ``near``, for ``keep_one``: this method
+with an exact check of the shingle sets, and further turns for the links that bits miss.
 
 Copies never form pairs: texts with equal fingerprints are one node before anything is posted. Lists with one member go before any row moves by its key.
 A long list (a large group of near copies) is cut into blocks by hash and all pairs of blocks meet in cells, so that no task holds a
@@ -86,7 +87,6 @@ def fingerprint(text: bytes | None, shingle: int, seeds: tuple[int, ...] = (SEED
     hashes = shingle_hashes(text, shingle, seeds[0])
     if hashes is None:
         return bytes(8 * len(seeds))
-    n = len(hashes)
     out = []
     for turn, seed in enumerate(seeds):
         if turn:  # further hashes are mixed from the first one
@@ -95,14 +95,19 @@ def fingerprint(text: bytes | None, shingle: int, seeds: tuple[int, ...] = (SEED
             own ^= own >> np.uint64(32)
         else:
             own = hashes
-        counts = np.zeros(64, np.int64)
-        for at in range(0, n, 1 << 16):
-            part = own[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
-            counts += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-        out.append(np.packbits(2 * counts > n).tobytes())
+        out.append(majority(own))
     return b"".join(out)
 
 
+def majority(hashes: np.ndarray) -> bytes:
+    """The bits that are set in over half of the hashes, high bits first."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes)).tobytes()
+
+
 def fingerprints(docs: DataFrame, options: SimHash) -> DataFrame:
     """doc_id and fp, the fingerprints' bytes."""
     shingle, seeds = options.shingle, options.seeds
@@ -138,7 +143,7 @@ def postings(nodes: DataFrame, options: SimHash) -> DataFrame:
 def verified(x: np.ndarray, y: np.ndarray, options: SimHash) -> np.ndarray:
     """Which pairs are links. x, y: fingerprints' bytes, one row each (or one row for all)."""
     differ = x ^ y
-    shared = (differ.reshape(len(differ), -1, 8) == 0).sum(axis=2).max(axis=1)
+    shared = (differ.reshape(len(differ), differ.shape[1] // 8, 8) == 0).sum(axis=2).max(axis=1)
     return (shared >= options.matches) & (np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= options.bits)
 
 
