@@ -108,7 +108,8 @@ def copies(docs: DataFrame, options: Mix = Mix()) -> DataFrame:
     names = [f"`{c}`" for c in docs.columns]
     held = settle(docs.select(*names, words(F.col("text")).alias("__words"), F.monotonically_increasing_id().alias("__row")))
     mixed = taken(keyed(held, F.col("__words"), F.col("__row")), options).where("copies > 0").select("__row", F.col("copies").cast("int").alias("__times"))
-    return held.join(settle(mixed), "__row").withColumn("__one", F.explode(F.array_repeat(F.lit(0), F.col("__times")))).select(*names)
+    # There is a row for each document, so it is merged at any size and never broadcast.
+    return held.join(settle(mixed).hint("merge"), "__row").withColumn("__one", F.explode(F.array_repeat(F.lit(0), F.col("__times")))).select(*names)
 
 
 def oracle(options: Mix = Mix()) -> str:
