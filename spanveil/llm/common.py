@@ -134,3 +134,38 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str], budget:
 def rows_of_bytes(column: pa.Array) -> np.ndarray:
     """A matrix of the bytes of values of one length."""
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def parted(texts: Sequence[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts whose blanks are all spaces, in order, and how many each text has."""
+    whole = b" ".join(texts)
+    letter = np.zeros(len(whole) + 2, bool)
+    np.not_equal(np.frombuffer(whole, np.uint8), 32, out=letter[1:-1])
+    edges = np.flatnonzero(letter[1:] != letter[:-1])
+    begin = edges[::2]
+    offsets = np.zeros(len(begin) + 1, np.int32)
+    np.cumsum(edges[1::2] - begin, out=offsets[1:])
+    words = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(whole.translate(None, b" "))])
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return words, np.diff(np.searchsorted(begin, ends), prepend=0)
+
+
+def distinct(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The distinct words, and the place of each word among them."""
+    coded = words.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy()
+
+
+def strung(words: np.ndarray, flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of words in order, and where each word's end; flat, size: the numbers of the distinct words, one word after the other, and how many each has."""
+    begin = np.cumsum(size) - size
+    own = size.take(words)
+    ends = np.cumsum(own)
+    at = np.repeat(begin.take(words) - ends + own, own)
+    at += np.arange(len(at))
+    return flat.take(at), ends
+
+
+def text_ends(word_ends: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """0 and the place where each text ends, from those of its words and how many words it has."""
+    return np.append(0, word_ends)[np.append(0, np.cumsum(counts))]

@@ -20,17 +20,17 @@ across their edges.
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from copy import copy
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_arrow, settle, slices
+from .common import discard, distinct, map_arrow, parted, settle, slices, strung, text_ends
 
 #: ASCII signs and white space part words; letters are lowered and bytes of other characters stay.
 PARTING = bytes(32 if b < 128 and not chr(b).isalnum() else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -38,10 +38,8 @@ PARTING = bytes(32 if b < 128 and not chr(b).isalnum() else b + 32 if 65 <= b <=
 PAIRS = 26**2
 PIECES = PAIRS + 256
 SPELLING = 2 * PIECES
-#: Nodes of the tree whose decisions are computed for all tokens at once; numbers of a unit; rows that are scored at once.
-TOP, UNIT, ROWS = 127, 1 << 20, 8192
-#: Spelled words that an encoder keeps at hand.
-REMEMBERED = 200_000
+#: Nodes of the tree whose decisions are computed for all tokens at once; numbers of a unit; tokens that are scored at once; numbers of a shuffled row.
+TOP, UNIT, ROWS, BLOCK = 32, 1 << 20, 2048, 1 << 12
 
 
 @dataclass(frozen=True)
@@ -64,35 +62,54 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(PARTING).split()
 
 
+def words_in(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Of a column of texts the distinct words, each word's place among them, and how many words each text has."""
+    words, counts = parted([(text or b"").translate(PARTING) for text in column.to_pylist()])
+    return *distinct(words), counts
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """word, n: of all words of all documents; counted on the executors before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[bytes] = Counter()
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+        held: list[pa.Table] = []
+
+        def out() -> list[pa.RecordBatch]:
+            whole = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+            held.clear()
+            return whole.rename_columns({"n_sum": "n"}).to_batches(1 << 16)
+
         for batch in slices(batches, "text"):
-            for text in batch.column("text").to_pylist():
-                found.update(words_of(text))
-            if len(found) > 200_000:
-                yield out()
-                found.clear()
-        yield out()
+            words, at, _ = words_in(batch.column("text"))
+            held.append(pa.table({"word": words, "n": np.bincount(at, minlength=len(words)).astype(np.int64)}))
+            if sum(t.num_rows for t in held) > 400_000:
+                yield from out()
+        if held:
+            yield from out()
 
     return map_arrow(texts, run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def pieces(word: bytes) -> list[int]:
-    """Numbers of a word's pieces, among the ``SPELLING`` ones."""
-    out, at, end = [], 0, len(word) - 1
-    while at <= end:
-        one = word[at]
-        if at < end and 97 <= one <= 122 and 97 <= (two := word[at + 1]) <= 122:
-            piece, size = (one - 97) * 26 + two - 97, 2
-        else:
-            piece, size = PAIRS + one, 1
-        out.append(piece + PIECES if at else piece)
-        at += size
-    return out
+def spelled(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the pieces of words, among the ``SPELLING`` ones, and how many each word has. Letters that stand together go by pairs."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset) if len(words) else np.zeros(1, np.int32)
+    begin, size = offsets[:-1] - offsets[0], int(offsets[-1] - offsets[0])
+    raw = np.frombuffer(words.buffers()[2], np.uint8, size, int(offsets[0])).astype(np.int32) if size else np.zeros(0, np.int32)
+    first = np.zeros(size + 1, bool)
+    first[begin] = True
+    letter = np.append((raw >= 97) & (raw <= 122), False)
+    run = letter & first
+    run[1:] |= letter[1:] & ~letter[:-1]
+    at = np.arange(size + 1)
+    even = (at - np.maximum.accumulate(np.where(run, at, 0))) % 2 == 0
+    stands = (~letter | even)[:-1]
+    pair = stands & letter[:-1] & letter[1:] & ~first[1:]
+    number = PAIRS + raw
+    two = np.flatnonzero(pair)
+    number[two] = (raw[two] - 97) * 26 + raw[two + 1] - 97
+    number[~first[:-1]] += PIECES
+    ends = np.append(0, np.cumsum(stands))
+    return number[stands], ends[begin + np.diff(offsets)] - ends[begin]
 
 
 def spelled_counts(words: DataFrame) -> np.ndarray:
@@ -101,9 +118,8 @@ def spelled_counts(words: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SPELLING, np.int64)
         for batch in batches:
-            found = [pieces(w) for w in batch.column("word").to_pylist()]
-            numbers = np.repeat(batch.column("n").to_numpy(), [len(x) for x in found])
-            np.add.at(total, np.array([p for x in found for p in x], np.int64), numbers)
+            found, size = spelled(batch.column("word"))
+            np.add.at(total, found, np.repeat(batch.column("n").to_numpy(), size))
         places = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(places.astype(np.int32)), pa.array(total[places])], ["token", "n"])
 
@@ -123,26 +139,16 @@ def vocabulary(counted: DataFrame, options: Scoring) -> tuple[list[bytes], np.nd
     return words, np.concatenate(([r["n"] for r in top], spelled_counts(others)))
 
 
-class Encoder(dict):
-    """Words to the two bytes of their token; a word beyond the vocabulary to those of its pieces, of which the latest are kept."""
-
-    def __init__(self, words: list[bytes]):
-        self.words = words
-        self.begin()
-
-    def begin(self) -> None:
-        self.clear()
-        self.update((w, k.to_bytes(2, "little")) for k, w in enumerate(self.words))
-
-    def __missing__(self, word: bytes) -> bytes:
-        base = len(self.words)
-        found = self[word] = b"".join([(base + p).to_bytes(2, "little") for p in pieces(word)])
-        return found
-
-    def tokens(self, words: list[bytes]) -> bytes:
-        if len(self) > len(self.words) + REMEMBERED:
-            self.begin()
-        return b"".join([self[w] for w in words])
+def numbered(words: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of words, one word after the other, and how many each has: its place in the vocabulary, or its pieces behind that."""
+    place = pc.fill_null(pc.index_in(words, value_set=vocabulary), -1).to_numpy()
+    odd = place < 0
+    own, sizes = spelled(words.filter(pa.array(odd)))
+    size = np.ones(len(words), np.int64)
+    size[odd] = sizes
+    flat = np.repeat(place, size)
+    flat[np.repeat(odd, size)] = own + len(vocabulary)
+    return flat.astype(np.uint16), size
 
 
 def encoded(docs: DataFrame, words: list[bytes]) -> DataFrame:
@@ -150,12 +156,13 @@ def encoded(docs: DataFrame, words: list[bytes]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
-        for batch in slices(batches, "text", 2 << 20):
-            split = [words_of(t) for t in batch.column("text").to_pylist()]
-            ids = [encoder.tokens(s) for s in split]
-            columns = [batch.column("doc_id"), pa.array(map(len, split), pa.int64()), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n", "ids"])
+        vocabulary = pa.array(shared.value, pa.binary())
+        for batch in slices(batches, "text", 4 << 20):
+            words, at, counts = words_in(batch.column("text"))
+            ids, ends = strung(at, *numbered(words, vocabulary))
+            ends = text_ends(ends, counts)
+            texts = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer((2 * ends).astype(np.int32)), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(np.diff(ends)), texts], ["doc_id", "n_words", "n", "ids"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return map_arrow(texts, run, "doc_id long, n_words long, n long, ids binary")
@@ -171,13 +178,35 @@ class Ways:
 
     def __post_init__(self):
         self.begin = np.cumsum(self.depth) - self.depth
+        self.rank = (self.depth.max(initial=0) - self.depth).astype(np.uint16)
+
+    def order(self, tokens: np.ndarray) -> np.ndarray:
+        """The tokens' places by falling depth: those with a decision of any level then stand first."""
+        return np.argsort(self.rank.take(tokens), kind="stable")
+
+    def levels(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Node and sign of the first decisions of all tokens, which stand in that order, then of the second ones and so on; and how many each level has."""
+        sizes = (len(tokens) - np.cumsum(np.bincount(self.depth.take(tokens)))[:-1]).tolist()
+        begin = self.begin.take(tokens)
+        at = joined([begin[:n] + k for k, n in enumerate(sizes)]) if sizes else begin[:0]
+        return self.node.take(at).astype(np.intp), self.sign.take(at), sizes
 
-    def of(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each decision of the tokens its node, its sign and its token's place."""
-        depth = self.depth[tokens]
-        first = np.cumsum(depth) - depth
-        at = np.arange(int(depth.sum())) + np.repeat(self.begin[tokens] - first, depth)
-        return self.node[at], self.sign[at], np.repeat(np.arange(len(tokens)), depth)
+
+def joined(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(parts, axis=-1)
+
+
+def spread(columns: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """For each decision, level by level, its token's column."""
+    return joined([columns[:, :n] for n in sizes])
+
+
+def gathered(values: np.ndarray, sizes: list[int], out: np.ndarray) -> None:
+    """Adds to each token's number (or column) those of its decisions."""
+    first = 0
+    for n in sizes:
+        out[..., :n] += values[..., first : first + n]
+        first += n
 
 
 class Tree:
@@ -208,6 +237,19 @@ class Tree:
                 depth[part, token] += 1
                 at = up[at]
         self.top, self.below = (Ways(d, np.array([n for n, _ in f], np.uint16), np.array([x for _, x in f], np.float32)) for d, f in zip(depth, found, strict=True))
+        #: Of each token its signs at all of the first nodes, 0 where its way does not pass.
+        self.signs = np.zeros((tokens, self.heavy), np.int8)
+        self.signs[np.repeat(np.arange(tokens), depth[0]), self.top.node] = self.top.sign
+
+    def whole(self) -> Ways:
+        """The ways from the root on."""
+        parts = (self.top, self.below)
+        depth = self.top.depth + self.below.depth
+        out = Ways(depth, np.empty(depth.sum(), np.uint16), np.empty(depth.sum(), np.float32))
+        for part, begin in zip(parts, (out.begin, out.begin + self.top.depth), strict=True):
+            at = np.repeat(begin - part.begin, part.depth) + np.arange(len(part.node))
+            out.node[at], out.sign[at] = part.node, part.sign
+        return out
 
 
 def contexts(ids: np.ndarray, side: int, pad: int) -> np.ndarray:
@@ -217,28 +259,39 @@ def contexts(ids: np.ndarray, side: int, pad: int) -> np.ndarray:
     return np.stack([wide[k : k + n] for k in range(2 * side + 1) if k != side], axis=1)
 
 
-def summed(places: np.ndarray, values: np.ndarray, count: int) -> np.ndarray:
-    """The sum of the rows of each place, a column at a time."""
-    out = np.empty((count, values.shape[1]), values.dtype)
-    for k, column in enumerate(np.ascontiguousarray(values.T)):
-        out[:, k] = np.bincount(places, column, count)
+def added(rows: np.ndarray, columns: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, of ``count``, and the sums of their values, which are given and returned as columns."""
+    place, own = np.empty(count, np.intp), np.arange(len(rows))
+    place[rows] = own
+    found = rows.take(np.flatnonzero(place.take(rows) == own))  # where a row stands last
+    place[found] = own[: len(found)]
+    places = place.take(rows)
+    out = np.empty((len(columns), len(found)), columns.dtype)
+    for k, column in enumerate(columns.astype(np.float64)):
+        out[k] = np.bincount(places, column, len(found))
+    return found, out
+
+
+def with_one(h: np.ndarray) -> np.ndarray:
+    """The columns of the hidden layer and a last one of ones, which a node's bias is multiplied by."""
+    out = np.ones((h.shape[1] + 1, len(h)), h.dtype)
+    out[:-1] = h.T
     return out
 
 
-def added(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows (numbers of two bytes) and the sums of their values."""
-    order = np.argsort(rows, kind="stable")
-    ordered = rows[order]
-    new = np.ones(len(rows), bool)
-    new[1:] = ordered[1:] != ordered[:-1]
-    places = np.empty(len(rows), np.int64)
-    places[order] = np.cumsum(new) - 1
-    return ordered[new], summed(places, values, int(new.sum()))
+def put_rows(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """table[rows] = values, a row as one item."""
+    item = np.dtype((np.void, table.dtype.itemsize * table.shape[1]))
+    table.view(item).ravel()[rows] = values.view(item).ravel()
 
 
 def pulled(logit: np.ndarray, sign: np.ndarray) -> np.ndarray:
     """The loss's derivative by the logit."""
-    return -sign / (1 + np.exp(np.minimum(logit * sign, 60)))
+    out = logit * sign
+    np.exp(np.minimum(out, 60, out=out), out=out)
+    out += 1
+    np.divide(sign, out, out=out)
+    return np.negative(out, out=out)
 
 
 class Network:
@@ -263,43 +316,48 @@ class Network:
 
     def hidden(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         e, w, b, _ = self.parts
-        x = e[context].reshape(len(context), -1)
+        x = e.take(context, axis=0).reshape(len(context), -1)
         return x, np.tanh(x @ w + b)
 
     def gradients(self, context: np.ndarray, target: np.ndarray) -> list:
         """Of the loss summed over a batch: (rows, values) of the tables, arrays of the other parts."""
         e, w, _, v = self.parts
+        order = self.tree.below.order(target)
+        context, target = context.take(order, axis=0).astype(np.intp), target.take(order)
         x, h = self.hidden(context)
+        ones = with_one(h)
         top = v[: self.tree.heavy]
-        node, sign, row = self.tree.top.of(target)
-        at = row * len(top) + node
-        logit = h @ top[:, :-1].T
-        logit += top[:, -1]
-        pull = np.zeros_like(logit)
-        pull.ravel()[at] = pulled(logit.ravel()[at], sign)
-        back = pull @ top[:, :-1]
-        met = np.flatnonzero(np.bincount(node, minlength=len(top)))
-        rows, values = [met], [np.concatenate((pull.T @ h, pull.sum(axis=0)[:, None]), axis=1)[met]]
-        node, sign, row = self.tree.below.of(target)
-        if len(node):
-            own, known = v[node], h[row]
-            pull = pulled(np.einsum("ij,ij->i", own[:, :-1], known) + own[:, -1], sign)[:, None]
-            back += summed(row, pull * own[:, :-1], len(target))
-            found = added(node, np.concatenate((pull * known, pull), axis=1))
+        sign = self.tree.signs.take(target, axis=0).astype(v.dtype)
+        pull = pulled(ones.T @ top.T, sign)
+        back = np.ascontiguousarray((pull @ top[:, :-1]).T)
+        met = np.flatnonzero(ones[-1] @ (sign * sign))
+        rows, values = [met], [(ones @ pull).take(met, axis=1)]
+        node, sign, sizes = self.tree.below.levels(target)
+        if sizes:
+            own, known = np.ascontiguousarray(v.take(node, axis=0).T), spread(ones, sizes)
+            pull = pulled(np.einsum("ji,ji->i", own, known), sign)
+            own *= pull
+            gathered(own[:-1], sizes, back)
+            known *= pull
+            found = added(node, known, len(v))
             rows.append(found[0])
             values.append(found[1])
-        back *= 1 - h * h
-        inward = (back @ w.T).reshape(-1, e.shape[1])
-        return [added(context.ravel().astype(np.uint16), inward), x.T @ back, back.sum(axis=0), (np.concatenate(rows), np.concatenate(values))]
+        back *= 1 - ones[:-1] ** 2
+        width = e.shape[1]
+        by_column = w.reshape(-1, width, w.shape[1]).swapaxes(0, 1).reshape(w.shape)
+        beside, inward = added(context.T.ravel(), (by_column @ back).reshape(width, -1), len(e))
+        return [(beside, inward.T), (back @ x).T, back.sum(axis=1), (np.concatenate(rows), joined(values).T)]
 
     def learn(self, context: np.ndarray, target: np.ndarray) -> None:
         """A step against the gradients, each divided by the root of the squares so far (of a row of a table: their mean)."""
         for i, (part, squares, gradient) in enumerate(zip(self.parts, self.squares, self.gradients(context, target), strict=True)):
             if i in self.TABLES:
                 rows, values = gradient
-                so_far = squares[rows] + np.einsum("ij,ij->i", values, values) / values.shape[1]
+                so_far = squares.take(rows) + np.einsum("ij,ij->i", values, values) / values.shape[1]
                 squares[rows] = so_far
-                part[rows] -= (self.options.step / np.sqrt(so_far))[:, None] * values
+                new = part.take(rows, axis=0)
+                new -= np.ascontiguousarray((values.T * (self.options.step / np.sqrt(so_far))).T)
+                put_rows(part, rows, new)
                 self.changed[self.TABLES.index(i)][rows] = True
             else:
                 squares += gradient * gradient
@@ -316,9 +374,11 @@ class Network:
             base += part.size
         return np.concatenate(places), np.concatenate(values)
 
-    def take(self, places: np.ndarray, values: np.ndarray) -> None:
+    def take(self, blocks: list[tuple[int, np.ndarray]]) -> None:
+        """Numbers from a place on; those that are not a number leave what stands there."""
         flat = np.concatenate([p.ravel() for p in self.parts])
-        flat[places] = values
+        for begin, values in blocks:
+            np.copyto(flat[begin : begin + len(values)], values, casting="same_kind", where=~np.isnan(values))
         at = 0
         for i, part in enumerate(self.parts):
             self.parts[i] = flat[at : at + part.size].reshape(part.shape).copy()
@@ -383,21 +443,36 @@ def train(coded: DataFrame, numbers: np.ndarray, options: Scoring) -> Network:
                 places, values = own.answer()
                 total[places] += values
                 count[places] += 1
-            places = np.flatnonzero(count) if total is not None else []
-            for at in range(0, len(places), 1 << 16):
-                part = places[at : at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part]), pa.array(count[part])], ["place", "value", "shards"])
+            for at in range(0, 0 if total is None else len(total), BLOCK):
+                part = slice(at, at + BLOCK)
+                if count[part].any():
+                    yield pa.RecordBatch.from_pydict({"block": pa.array([at], pa.int32()), "value": [total[part].tobytes()], "shards": [count[part].astype(np.int32).tobytes()]})
 
         mine = documents.where(F.col("turn") == turn).select("shard", "place", "ids")
         mine = mine.repartition("shard").sortWithinPartitions("shard", "place", "ids")
-        answers = map_arrow(mine, run, "place int, value long, shards long").groupBy("place")
-        summed = answers.agg((F.sum("value") / F.sum("shards") / UNIT).alias("value"))
-        found = summed.toArrow()  # bounded by the parameters
-        network.take(found.column("place").to_numpy(), found.column("value").to_numpy())
+        found = map_arrow(map_arrow(mine, run, BLOCKS).repartition("block"), averaged, "block int, value binary").toArrow()  # bounded by the parameters
+        network.take([(k, np.frombuffer(x)) for k, x in zip(*(c.to_pylist() for c in found.columns), strict=True)])
         start.unpersist()
     return network
 
 
+#: ``BLOCK`` numbers in a row, from place ``block`` on: 64-bit sums, and by how many shards (32-bit).
+BLOCKS = "block int, value binary, shards binary"
+
+
+def averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each block the means over the shards, as doubles; not a number where no shard has changed a number."""
+    sums: dict[int, list[np.ndarray]] = {}
+    for batch in batches:
+        for block, value, shards in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found = np.frombuffer(value, np.int64), np.frombuffer(shards, np.int32)
+            for total, own in zip(sums.setdefault(block, [np.zeros_like(x) for x in found]), found, strict=True):
+                total += own
+    for block, (value, shards) in sums.items():
+        mean = np.divide(value, shards, out=np.full(len(value), np.nan), where=shards > 0) / UNIT
+        yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "value": [mean.tobytes()]})
+
+
 def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[np.ndarray]]:
     """The documents of each shard, one shard after the other; a shard is read as it trains."""
     rows = ((s, ids) for b in batches for s, ids in zip(b.column("shard").to_pylist(), b.column("ids"), strict=True))
@@ -417,37 +492,41 @@ class Scorer:
     """The trained model with the first layer's products tabulated for each token and place."""
 
     def __init__(self, network: Network):
-        e, w, self.b, v = network.parts
-        self.side, width, self.tree, self.pad = network.options.side, network.options.width, network.tree, network.pad
-        self.tables = [np.ascontiguousarray(e @ w[k * width : (k + 1) * width]) for k in range(2 * self.side)]
-        self.weights, self.bias = np.ascontiguousarray(v[:, :-1]), np.ascontiguousarray(v[:, -1])
+        e, w, self.b, self.nodes = network.parts
+        self.side, width, self.ways, self.pad = network.options.side, network.options.width, network.tree.whole(), network.pad
+        self.tables = [e @ w[k * width : (k + 1) * width] for k in range(2 * self.side)]
 
     def log_probabilities(self, texts: Sequence[np.ndarray]) -> list[float]:
-        """The sum of each text's log-probabilities. Products always have ``ROWS`` rows, of which the last ones may stand for nothing, so that texts beside each other don't matter."""
+        """The sum of each text's log-probabilities. A token's is computed apart from the others, so texts beside each other don't matter."""
         gap = np.full(self.side, self.pad)
         wide = np.concatenate([gap, *(x for t in texts for x in (t, gap))])
         size = np.array([len(t) for t in texts])
         begin = np.cumsum(size + self.side) - size
         at = np.concatenate([np.arange(b, b + n) for b, n in zip(begin, size, strict=True)])
-        out, top = np.empty(len(at)), self.tree.heavy
+        out = np.empty(len(at))
         for first in range(0, len(at), ROWS):
             own = at[first : first + ROWS]
-            h = np.zeros((ROWS, len(self.b)), np.float32)
-            h[: len(own)] = self.b
+            order = self.ways.order(wide.take(own))
+            own = own.take(order)
+            h = np.tile(self.b, (len(own), 1))
             for k, table in zip((k for k in range(-self.side, self.side + 1) if k), self.tables, strict=True):
-                h[: len(own)] += table[wide[own + k]]
-            np.tanh(h, out=h)
-            logit = h @ self.weights[:top].T
-            node, sign, row = self.tree.top.of(wide[own])
-            total = self.losses(logit.ravel()[row * top + node], node, sign, row, len(own))
-            node, sign, row = self.tree.below.of(wide[own])
-            total += self.losses(np.einsum("ij,ij->i", self.weights[node], h[row]), node, sign, row, len(own))
-            out[first : first + ROWS] = -total
+                h += table.take(wide.take(own + k), axis=0)
+            node, sign, sizes = self.ways.levels(wide.take(own))
+            logit = np.ascontiguousarray(self.nodes.take(node, axis=0).T)
+            logit *= spread(with_one(np.tanh(h, out=h)), sizes)
+            total = np.zeros(len(own))
+            gathered(losses(logit.sum(axis=0) * sign), sizes, total)
+            out[first + order] = -total
         sums = np.concatenate(([0], np.cumsum(size)))
         return [float(out[a:b].sum()) for a, b in zip(sums[:-1].tolist(), sums[1:].tolist(), strict=True)]
 
-    def losses(self, logit: np.ndarray, node: np.ndarray, sign: np.ndarray, row: np.ndarray, count: int) -> np.ndarray:
-        return np.bincount(row, np.log1p(np.exp(-sign * (logit + self.bias[node]))), count)
+
+def losses(logit: np.ndarray) -> np.ndarray:
+    """log(1 + exp(-logit)), of any size."""
+    small = np.abs(logit)
+    np.log1p(np.exp(np.negative(small, out=small), out=small), out=small)
+    small -= np.minimum(logit, 0)
+    return small
 
 
 SCORES = "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double, perplexity double"

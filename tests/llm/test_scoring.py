@@ -230,3 +230,38 @@ def test_odd_tables_and_reruns(spark):
     assert {tuple(r)[1:4] for r in scoring.score(nothing).collect()} == {(0, 0.0, None)}
     docs = documents(spark, corpus(30)).coalesce(2)
     assert rows_of(scoring.score(docs, SMALL)) == rows_of(scoring.score(docs, SMALL))
+
+
+def test_words_are_coded_by_columns():
+    draw = random.Random(2)
+    words = [b"q", *(bytes(draw.choice(b"abz0\xc3\xa4{`") for _ in range(draw.randint(1, 9))) for _ in range(300))]
+    found, size = scoring.spelled(scoring.pa.array(words, "binary")[1:])
+    want = [plain_pieces(w) for w in words[1:]]
+    assert found.tolist() == [p for x in want for p in x] and size.tolist() == [len(x) for x in want]
+    assert [len(x) for x in scoring.spelled(scoring.pa.array([], "binary"))] == [0, 0]
+    texts = ["", " A b", None, "ab  ab?c", "!"]
+    distinct, at, counts = scoring.words_in(scoring.pa.array([t and t.encode() for t in texts], "binary"))
+    assert [distinct[k].as_py() for k in at.tolist()] == [b"a", b"b", b"ab", b"ab", b"c"] and counts.tolist() == [0, 2, 0, 3, 0]
+
+
+def test_scores_are_finite_and_do_not_depend_on_the_texts_beside():
+    draw = np.random.default_rng(5)
+    network = scoring.Network(scoring.Tree(draw.integers(0, 50, 300)), SMALL)
+    network.parts = [(p + draw.standard_normal(p.shape)).astype(np.float32) for p in network.parts]
+    texts = [draw.integers(0, 300, n).astype(np.int32) for n in (1, 3000, 7, 500)]
+    scorer = scoring.Scorer(network)
+    assert [scorer.log_probabilities([t])[0] for t in texts] == scorer.log_probabilities(texts)
+    network.parts[3][:, -1] = 200  # exp(200) is too large for four bytes
+    for text, got in zip(texts, scoring.Scorer(network).log_probabilities(texts), strict=True):
+        want = sum(s < 0 and 200 for t in text.tolist() for _, s in way(network.tree, t))
+        assert got == pytest.approx(-want, rel=0.05, abs=1)
+
+
+def test_shards_are_averaged_by_blocks():
+    draw = np.random.default_rng(4)
+    values, shards = draw.integers(-(1 << 40), 1 << 40, (3, 5)), np.array([[1, 0, 2, 1, 0], [1, 1, 0, 3, 0], [1, 0, 0, 1, 0]], np.int32)
+    rows = [scoring.pa.record_batch({"block": scoring.pa.array([8], "int32"), "value": [v.tobytes()], "shards": [s.tobytes()]}) for v, s in zip(values, shards, strict=True)]
+    (got,) = scoring.averaged(iter(rows))
+    found = np.frombuffer(got.column("value")[0].as_py())
+    assert got.column("block").to_pylist() == [8] and np.isnan(found[4])
+    assert found[:4] == pytest.approx(values.sum(axis=0)[:4] / shards.sum(axis=0)[:4] / scoring.UNIT)
