@@ -156,6 +156,14 @@ def distinct(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return coded.dictionary, coded.indices.to_numpy()
 
 
+def listed(words: pa.Array) -> list[bytes]:
+    """Words without spaces as a list: they are split in one go, which is faster than one by one."""
+    if not len(words):
+        return []
+    whole = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+    return pc.binary_join(whole, b" ")[0].as_py().split(b" ")
+
+
 def strung(words: np.ndarray, flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of words in order, and where each word's end; flat, size: the numbers of the distinct words, one word after the other, and how many each has."""
     begin = np.cumsum(size) - size

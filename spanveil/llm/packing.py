@@ -19,7 +19,6 @@ empty table gives no rows; other columns are not read, so that their names can't
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
 from collections import deque
@@ -32,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slices
+from .common import distinct, listed, map_arrow, parted, slices, strung, text_ends
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 #: Bits of a sequence id below the partition's number.
@@ -53,14 +52,12 @@ class Packing:
 class Words:
     """The ids of texts, from ids of white-space separated words: the tokenizer drops white space and never merges across it.
 
-    Words that came before are looked up, so that the tokenizer sees each frequent word about once and no long text as a whole. Of the two
+    The distinct words of a stretch of texts are looked up, if they came before, so that the tokenizer sees each frequent word about once and no long text as a whole. Of the two
     generations of known words the older one goes when the younger one is full; a word that is met again moves up before.
     """
 
-    #: A word with signs behind its last plain letter: the tokenizer parts them in any case.
-    TAIL = re.compile(rb"(.*[a-z])([!-/:-@\[-`{-~]+)", re.DOTALL)
-    #: Byte-level letters: bytes without a printable Latin-1 character take the characters from U+0100 on, in order.
-    BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+    #: Signs: the tokenizer parts those behind a word's last plain letter in any case.
+    SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
     #: Bytes of letters up to U+00FF in UTF-8, and of some other signs that are no letters.
     WESTERN = bytes([*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC2, 0xC3])
     BLANK = bytes.maketrans(b"\t\r\n\x0b\x0c", b"     ")
@@ -75,54 +72,83 @@ class Words:
         self.remembered = remembered
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        #: Of each id whether it ends a word.
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.ends = np.array(sorted({i for i in map(self.tokenizer.token_to_id, (".</w>", "!</w>", "?</w>")) if i is not None}), dtype=np.uint32)
 
     def learn(self, words: list[bytes]) -> None:
         """A word's signs at the end are parted from its letters first, so that few distinct words are left to ask for."""
-        parted = [(w, m) for w in words if (m := self.TAIL.fullmatch(w)) and b"<|" not in w]
-        whole = {w for w, _ in parted}
-        own = {m[i] for _, m in parted for i in (1, 2)}.union(w for w in words if w not in whole)
-        self.ask([w for w in own if w not in self.known])
-        for word, m in parted:
-            self.known[word] = self.known[m[1]] + self.known[m[2]]
+        known, older, signs = self.known, self.older, self.SIGNS
+        parted, own = [], set()
+        for word in words:
+            stem = word.rstrip(signs)
+            if stem != word and b"a" <= stem[-1:] <= b"z" and b"<|" not in word:
+                tail = word[len(stem) :]
+                parted.append((word, stem, tail))
+                own.add(stem)
+                own.add(tail)
+            else:
+                own.add(word)
+        own.difference_update(known)
+        met = own.intersection(older)
+        known.update((w, older[w]) for w in met)
+        self.ask([w for w in own if w not in met])
+        for word, stem, tail in parted:
+            known[word] = known[stem] + known[tail]
 
     def ask(self, words: list[bytes]) -> None:
-        """Plain lower-case words go to the tokenizer's model as they are; other words go through its whole chain."""
+        """Plain lower-case words go to the tokenizer's model as they are; other words go through its whole chain, those of letters up to U+00FF many at a time."""
         tokenize, known = self.model.tokenize, self.known
-        odd = []
+        western, odd = [], []
         for word in words:
             if word.isalpha():  # of bytes: ASCII letters only
-                piece = word.decode().lower()
-            elif (piece := self.latin(word)) is None:
+                known[word] = array("I", [t.id for t in tokenize(word.decode().lower())]).tobytes()
+            elif not word.translate(None, self.WESTERN) and word.decode().isalpha():
+                western.append(word)
+            else:
                 odd.append(word)
-                continue
-            known[word] = array("I", [t.id for t in tokenize(piece)]).tobytes()
+        for at in range(0, len(western), 4096):
+            odd += self.together(western[at : at + 4096])
         for at in range(0, len(odd), 1024):
             part = odd[at : at + 1024]
             for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
                 known[word] = np.array(found.ids, dtype="<u4").tobytes()
 
-    def latin(self, word: bytes) -> str | None:
-        """The byte-level form of a word of letters up to U+00FF, which normalising only lowers; None for any other word."""
-        if word.translate(None, self.WESTERN) or not (text := word.decode()).isalpha():
-            return None
-        return text.lower().encode().decode("latin-1").translate(self.BYTES)
-
-    def split(self, text: bytes) -> list[bytes]:
+    def together(self, words: list[bytes]) -> list[bytes]:
+        """Words of letters only, parted where ids end a word; the words are returned if that is not once in each."""
+        lines = [b" ".join(words[k : k + 512]).decode() for k in range(0, len(words), 512)]
+        ids = np.concatenate([np.array(found.ids, dtype="<u4") for found in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+        ends = 4 * (np.flatnonzero(self.last[ids]) + 1)
+        if len(ends) != len(words) or ends[-1] != ids.nbytes:
+            return words
+        whole, begin = ids.tobytes(), 0
+        for word, end in zip(words, ends.tolist(), strict=True):
+            self.known[word] = whole[begin:end]
+            begin = end
+        return []
+
+    def spaced(self, text: bytes) -> bytes:
         """Special tokens are found before letters are lowered, so a text that may hold one keeps its letters."""
-        return text.translate(self.BLANK if b"<|" in text else self.LOWER).split(b" ")
+        return text.translate(self.BLANK if b"<|" in text else self.LOWER)
 
-    def ids(self, texts: list[bytes]) -> list[bytes]:
+    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text, as little-endian 32-bit numbers."""
-        split = [self.split(t) for t in texts]
+        words, counts = parted([self.spaced(t) for t in texts])
+        words, at = distinct(words)
+        words = listed(words)
         if len(self.known) > self.remembered // 2:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        new = set().union(*split).difference(known)
-        met = new.intersection(older)
-        known.update((w, older[w]) for w in met)
-        self.learn(list(new - met))
-        return [b"".join([known[w] for w in words]) for words in split]
+        new = [w for w in words if w not in known]
+        known.update((w, older[w]) for w in new if w in older)
+        self.learn([w for w in new if w not in older])
+        numbers = [known[w] for w in words]
+        size = np.fromiter(map(len, numbers), np.int64, len(numbers)) // 4
+        flat, ends = strung(at, np.frombuffer(b"".join(numbers), "<u4"), size)
+        ends = text_ends(ends, counts).tolist()
+        return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def cuts(ends: np.ndarray, costs: np.ndarray, size: int) -> tuple[np.ndarray, float]:
@@ -169,18 +195,18 @@ def cuts(ends: np.ndarray, costs: np.ndarray, size: int) -> tuple[np.ndarray, fl
 
 def boundaries(ids: np.ndarray, doc_ends: np.ndarray, sentence_ends: np.ndarray, options: Packing) -> tuple[np.ndarray, np.ndarray]:
     """Where cuts are allowed and what they cost; long stretches without a boundary get one in every quarter of a sequence."""
-    sentence = np.flatnonzero(np.isin(ids, sentence_ends)) + 1
-    place = np.union1d(doc_ends, sentence)
+    costs = np.array([options.word_cut, options.sentence_cut, 0.0])
+    kind = np.zeros(len(ids) + 1, np.uint8)
+    for end in sentence_ends:
+        kind[1:] |= ids == end
+    kind[doc_ends] = 2
+    place = np.flatnonzero(kind)
     edges = np.concatenate(([0], place))
     step = options.size // 4
     wide = np.flatnonzero(np.diff(edges) > step)
-    inside = [np.arange(edges[i] + step, edges[i + 1], step) for i in wide]
-    if inside:
-        place = np.union1d(place, np.concatenate(inside))
-    cost = np.full(len(place), options.word_cut)
-    cost[np.isin(place, sentence)] = options.sentence_cut
-    cost[np.isin(place, doc_ends)] = 0.0
-    return place, cost
+    if len(wide):
+        place = np.union1d(place, np.concatenate([np.arange(edges[i] + step, edges[i + 1], step) for i in wide]))
+    return place, costs[kind[place]]
 
 
 def last_windows(length: int, options: Packing) -> list[int]:
@@ -250,11 +276,11 @@ def pack(docs: DataFrame, tokenizer: str, options: Packing = Packing()) -> DataF
             held, count = rest, len(stream) - begin
             return pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in rows], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length"])
 
-        end = np.array([options.end_id], dtype="<u4").tobytes()
-        for batch in slices(batches, "text", 2 << 20):
+        end = np.array([options.end_id], dtype="<u4")
+        for batch in slices(batches, "text", 4 << 20):
             texts = [x or b"" for x in batch.column("text").to_pylist()]
             for doc_id, found in zip(batch.column("doc_id").to_pylist(), words.ids(texts), strict=True):
-                ids = np.frombuffer(found + end, dtype="<u4")
+                ids = np.concatenate((found, end))
                 held.append((doc_id, 0, len(ids), ids))
                 count += len(ids)
                 if count >= options.block:

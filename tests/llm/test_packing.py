@@ -95,3 +95,34 @@ def test_odd_rows(spark):
     got = packing.pack(documents(spark, rows), tokenizer_file()).collect()
     assert sum(r["length"] for r in got) == len(ids("a text")) + 3
     assert packing.pack(empty(spark), tokenizer_file()).count() == 0
+
+
+class Counting(dict):
+    """Counts how often it is asked."""
+
+    asked = 0
+
+    def __getitem__(self, word):
+        self.asked += 1
+        return super().__getitem__(word)
+
+
+def test_repeated_words_are_looked_up_once():
+    words = packing.Words(tokenizer_file(), 1000)
+    words.known = Counting()
+    texts = ["the house, über " * 500, "", "the  house, <|endoftext|> The\n" * 300]
+    assert [x.tolist() for x in map(np.asarray, words.ids([t.encode() for t in texts]))] == [ids(t)[:-1] for t in texts]
+    assert words.known.asked < 20
+
+
+def test_words_of_letters_are_asked_for_together():
+    words = packing.Words(tokenizer_file(), 1000)
+    western = ["über", "größe", "é", "straße", "ÀÉ", "naïveté" * 30]
+    assert words.together([w.encode() for w in western]) == []
+    assert [np.frombuffer(words.known[w.encode()], "<u4").tolist() for w in western] == [ids(w)[:-1] for w in western]
+    assert words.together([b"it's", b"x"]) == [b"it's", b"x"]  # ids end a word more than once there
+
+
+def test_boundaries_where_ends_meet():
+    place, cost = packing.boundaries(np.array([5, 1, 7, 2, 1, 2, 9, 9, 9, 2], np.uint32), np.array([4, 6, 10]), np.array([1, 7]), packing.Packing(size=8))
+    assert place.tolist() == [2, 3, 4, 5, 6, 8, 10] and cost.tolist() == [6, 6, 0, 6, 0, 48, 0]
