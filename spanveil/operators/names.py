@@ -6,6 +6,7 @@ rules here (surnames with initials, and patronymics) are our own and claim no pa
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Callable, Iterable
 
@@ -18,6 +19,8 @@ from ..schema import NAMES, SPANS, span
 from ..workers import reach_workers
 from .merge import similar
 
+log = logging.getLogger("spanveil")
+
 # The words of the domain that never are names.
 DOMAIN = tuple(
     """акт арендатор арендодатель аудитор внеплановый выписка гарантия глава далее договор договорной доначисленные заказчик исполнитель клиент контрагент минтруд минтранс
@@ -91,18 +94,24 @@ def rules() -> Model:
     return lambda texts: [[(m.start(), m.end(), "PERSON", NAME_SCORE) for m in rx.finditer(t or "")] for t in texts]
 
 
-def model_spans(text: Column, build: Callable[[], Model]) -> Column:
-    """array<SPAN> of a model, a batch at a time; a model that can't be built or fails gives no spans."""
+def model_spans(text: Column, build: Callable[[], Model], required: bool = True) -> Column:
+    """array<SPAN> of a model, a batch at a time. A model that fails stops the query: texts that it has not searched would look like texts without names.
+
+    So does one that can't be built, unless it is not required: then it gives no spans at all, and the workers' logs say so.
+    """
     reach_workers()
 
     @F.pandas_udf("array<struct<start:int,end:int,label:string,score:double>>")
     def run(texts: pd.Series) -> pd.Series:
-        try:
-            if build not in _MODELS:
+        if build not in _MODELS:
+            try:
                 _MODELS[build] = build()
-            found = _MODELS[build]([t or "" for t in texts])
-        except Exception:  # noqa: BLE001  a detector that is out of order is off
-            found = [[] for _ in texts]
+            except Exception:
+                if required:
+                    raise
+                log.warning("a model that is not required can't be built: %d texts are not searched by it", len(texts), exc_info=True)
+                return pd.Series([[] for _ in texts], dtype=object)
+        found = _MODELS[build]([t or "" for t in texts])
         return pd.Series([[dict(zip(("start", "end", "label", "score"), s, strict=True)) for s in own] for own in found], dtype=object)
 
     return F.transform(run(text), lambda s: span(s["start"], s["end"], s["label"], s["score"], NAMES))
@@ -129,13 +138,15 @@ def extracted_names(text: Column, names: Column, known: Column) -> Column:
     return bind(both, lambda x: F.filter(x["names"], lambda s: good(s, x["people"])))
 
 
-def name_spans(text: Column, full: Callable[[], Model] | None = None, names: Callable[[], Model] | None = rules, addresses: Callable[[], Model] | None = None) -> list[Column]:
-    """Spans of a full model, of a name extractor beside it, and of an address extractor; each may be None."""
+def name_spans(
+    text: Column, full: Callable[[], Model] | None = None, names: Callable[[], Model] | None = rules, addresses: Callable[[], Model] | None = None, required: bool = False
+) -> list[Column]:
+    """Spans of a full model, of a name extractor beside it, and of an address extractor; each may be None. The plans require what they are given; here it is asked for."""
     none = F.array().cast(SPANS)
-    known = without_stop_words(text, model_spans(text, full)) if full else none
+    known = without_stop_words(text, model_spans(text, full, required)) if full else none
     out = [known]
     if names:
-        out.append(extracted_names(text, model_spans(text, names), known))
+        out.append(extracted_names(text, model_spans(text, names, required), known))
     if addresses:
-        out.append(without_stop_words(text, model_spans(text, addresses)))
+        out.append(without_stop_words(text, model_spans(text, addresses, required)))
     return out

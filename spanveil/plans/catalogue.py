@@ -276,7 +276,7 @@ def redact_all_recognisers(spark, sf_dir):
 
 def person_names(spark, sf_dir):
     text = F.concat(F.lit("Договор подписал Иванов И.И. и Петрова Анна Ивановна, "), F.col("doc_id").cast("string"))
-    df = contracts(spark, sf_dir).select("doc_id", text.alias("text")).withColumn("spans", F.concat(*names.name_spans(F.col("text"))))
+    df = contracts(spark, sf_dir).select("doc_id", text.alias("text")).withColumn("spans", F.concat(*names.name_spans(F.col("text"), required=True)))
     return _spans(df, F.col("spans"))
 
 

@@ -17,12 +17,12 @@ from ..schema import Options, with_fields
 
 
 def detected(norm: Column, bundle: Bundle, options: Options = Options(), models: dict | None = None) -> Column:
-    """All spans of normalised text in the order of detection: recognisers, names, patterns."""
+    """All spans of normalised text in the order of detection: recognisers, names, patterns. Models must be there, unless ``models`` says ``required=False``."""
     parts: list[Column] = []
     if "structured" in options.recognizers:
         parts += structured_spans(norm, min_score=options.min_score)
     if "ner" in options.recognizers:
-        parts += people.name_spans(norm, **(models or {}))
+        parts += people.name_spans(norm, **({"required": True} | (models or {})))
     if "regex" in options.recognizers:
         parts += regex_spans(norm, bundle, options.include_subject)
     return in_order(parts)

@@ -3,10 +3,12 @@ import random
 
 import pyspark.sql.functions as F
 import pytest
+from pyspark.errors import PythonException
 
 from spanveil.operators import names, structured, summary
 from spanveil.operators.mask import ALPHABET, masked
 from spanveil.operators.merge import merged, overlap, scored, similar
+from spanveil.plans.pipeline import redact
 from spanveil.schema import SOURCE_PRIORITY, SPANS, MaskStyle, Options
 
 
@@ -163,3 +165,31 @@ def test_persons_of_a_model_suppress_the_rules(spark):
     df = spark.createDataFrame([(text,)], "t string")
     found = [r for part in names.name_spans(F.col("t"), full=full_model, names=names.rules) for r in df.select(F.explode(part).alias("s")).select("s.start", "s.end", "s.label").collect()]
     assert sorted(map(tuple, found)) == [(0, 11, "PERSON"), (14, 25, "PERSON")]
+
+
+def failing_model():
+    """It fails on an empty text."""
+    return lambda texts: [[] if 1 // len(t) else [] for t in texts]
+
+
+@pytest.mark.parametrize("kind", ["full", "names", "addresses"])
+def test_failures_of_a_model_are_no_result(spark, kind):
+    """A text that a model has not searched must not look like one without names."""
+    off = {"full": None, "names": None, "addresses": None}
+    texts = spark.createDataFrame([("Петров П.П.",), ("",)], "text string").coalesce(1)
+    spans = lambda df, model, **more: df.select(F.concat(*names.name_spans(F.col("text"), **(off | {kind: model}), **more)).alias("s")).collect()
+    with pytest.raises(PythonException, match="ZeroDivisionError"):
+        spans(texts, failing_model)
+    with pytest.raises(PythonException, match="no model"):
+        spans(texts, broken_model, required=True)
+    assert [r["s"] for r in spans(texts.where("text != ''"), failing_model)] == [[]]
+
+
+def test_redaction_stops_without_its_models(spark):
+    df = spark.createDataFrame([("Подписал: Петров П.П.",)], "text string")
+    done = lambda **models: redact(df, options=Options(recognizers=("structured", "ner", "regex")), models=models).first()["redacted"]
+    for kind in ("full", "names", "addresses"):
+        with pytest.raises(PythonException, match="no model"):
+            done(**{kind: broken_model})
+    assert done() == "Подписал: [[ENTITY:PERSON]]"
+    assert done(full=broken_model, required=False) == "Подписал: [[ENTITY:PERSON]]"
